@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skyloom.llm.spelling import target_names
 from skyloom.llm.top_items import latest_observations
 from skyloom.session import load
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    names = target_names(load(spark, d, "spectroscopy_holdings"), load(spark, d, "stars"))
+    return names.filter("status = 'matched'").select("raw_target_name", "star_id")
+
+
+def p3_names(spark: SparkSession, d: str) -> DataFrame:
+    return target_names(load(spark, d, "spectroscopy_holdings"), load(spark, d, "stars"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return latest_observations(load(spark, d, "spectroscopy_holdings")).select("star_id", "id")
 
@@ -16,7 +26,10 @@ def p4_places(spark: SparkSession, d: str) -> DataFrame:
     return latest_observations(load(spark, d, "spectroscopy_holdings"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_places": p4_places}
+QUERIES = {
+    "p3_found": p3_found, "p3_names": p3_names,
+    "p4_found": p4_found, "p4_places": p4_places,
+}
 
 _P4 = """
     WITH c AS (SELECT * FROM spectroscopy_holdings
