@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from skyloom.llm.encoding import repair_encoding
 from skyloom.llm.spelling import target_names
 from skyloom.llm.top_items import latest_observations
 from skyloom.session import load
@@ -26,9 +28,19 @@ def p4_places(spark: SparkSession, d: str) -> DataFrame:
     return latest_observations(load(spark, d, "spectroscopy_holdings"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return repair_encoding(load(spark, d, "documents")).select("doc_id")
+
+
+def p8_repairs(spark: SparkSession, d: str) -> DataFrame:
+    repairs = repair_encoding(load(spark, d, "documents"))
+    return repairs.select("doc_id", "damaged_units", F.array_join("chains", ", ").alias("chains"), "restored", "text")
+
+
 QUERIES = {
     "p3_found": p3_found, "p3_names": p3_names,
     "p4_found": p4_found, "p4_places": p4_places,
+    "p8_found": p8_found, "p8_repairs": p8_repairs,
 }
 
 _P4 = """
