@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.encoding import repair_encoding
+from skyloom.llm.leaks import find_leaks, removal_spans
 from skyloom.llm.spelling import target_names
 from skyloom.llm.top_items import latest_observations
 from skyloom.session import load
@@ -28,6 +29,15 @@ def p4_places(spark: SparkSession, d: str) -> DataFrame:
     return latest_observations(load(spark, d, "spectroscopy_holdings"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(load(spark, d, "documents"), load(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p6_spans(spark: SparkSession, d: str) -> DataFrame:
+    spans = removal_spans(find_leaks(load(spark, d, "documents"), load(spark, d, "eval_items")))
+    return spans.withColumn("items", F.array_join("items", ","))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return repair_encoding(load(spark, d, "documents")).select("doc_id")
 
@@ -40,6 +50,7 @@ def p8_repairs(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found, "p3_names": p3_names,
     "p4_found": p4_found, "p4_places": p4_places,
+    "p6_found": p6_found, "p6_spans": p6_spans,
     "p8_found": p8_found, "p8_repairs": p8_repairs,
 }
 
