@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.encoding import repair_encoding
 from skyloom.llm.leaks import find_leaks, removal_spans
+from skyloom.llm.mixing import mix_sources
 from skyloom.llm.spelling import target_names
 from skyloom.llm.top_items import latest_observations
 from skyloom.session import load
@@ -38,6 +39,14 @@ def p6_spans(spark: SparkSession, d: str) -> DataFrame:
     return spans.withColumn("items", F.array_join("items", ","))
 
 
+def p7_copies(spark: SparkSession, d: str) -> DataFrame:
+    return mix_sources(load(spark, d, "documents"), load(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix_sources(load(spark, d, "documents"), load(spark, d, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return repair_encoding(load(spark, d, "documents")).select("doc_id")
 
@@ -51,6 +60,7 @@ QUERIES = {
     "p3_found": p3_found, "p3_names": p3_names,
     "p4_found": p4_found, "p4_places": p4_places,
     "p6_found": p6_found, "p6_spans": p6_spans,
+    "p7_copies": p7_copies, "p7_shares": p7_shares,
     "p8_found": p8_found, "p8_repairs": p8_repairs,
 }
 
