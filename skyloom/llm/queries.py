@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.encoding import repair_encoding
 from skyloom.llm.leaks import find_leaks, removal_spans
+from skyloom.llm.linkage import link_rows
 from skyloom.llm.mixing import mix_sources
 from skyloom.llm.spelling import target_names
 from skyloom.llm.top_items import latest_observations
@@ -30,6 +31,14 @@ def p4_places(spark: SparkSession, d: str) -> DataFrame:
     return latest_observations(load(spark, d, "spectroscopy_holdings"))
 
 
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    return link_rows(load(spark, d, "spectroscopy_holdings"), load(spark, d, "stars"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_links(spark, d).select("id", "gaia_source_id")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(load(spark, d, "documents"), load(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -59,6 +68,7 @@ def p8_repairs(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found, "p3_names": p3_names,
     "p4_found": p4_found, "p4_places": p4_places,
+    "p5_found": p5_found, "p5_links": p5_links,
     "p6_found": p6_found, "p6_spans": p6_spans,
     "p7_copies": p7_copies, "p7_shares": p7_shares,
     "p8_found": p8_found, "p8_repairs": p8_repairs,
