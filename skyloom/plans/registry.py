@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from skyloom.plans import problems
+from skyloom.plans import derived, problems
 
-_PARTS = (problems,)
+_PARTS = (problems, derived)
 QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 SQL = {k: s for part in _PARTS for k, s in part.SQL.items()}
