@@ -11,6 +11,11 @@ MAS = math.pi / 180 / 3_600_000
 ARCSEC = 180 * 3600 / math.pi
 
 
+def clamp(x: Column, low: float, high: float) -> Column:
+    """x within limits; null stays null, which greatest and least would pass over."""
+    return F.when(x < low, low).when(x > high, high).otherwise(x)
+
+
 def usable(ra: Column, dec: Column) -> Column:
     """True where both coordinates are numbers and the declination exists; never null."""
     return F.coalesce(ra.isNotNull() & dec.isNotNull() & ~F.isnan(ra) & ~F.isnan(dec) & dec.between(-90, 90), F.lit(False))
@@ -41,7 +46,7 @@ def moved_vector(ra: Column, dec: Column, pmra: Column, pmdec: Column, years: Co
 def vector_separation(u: list[Column], v: list[Column]) -> Column:
     """Arcseconds between unit vectors, by the chord, exact for small angles too."""
     chord = F.sqrt(sum(((a - b) * (a - b) for a, b in zip(u, v)), F.lit(0.0)))
-    return 2 * F.asin(F.least(chord / 2, F.lit(1.0))) * ARCSEC
+    return 2 * F.asin(clamp(chord / 2, 0.0, 1.0)) * ARCSEC
 
 
 def separation(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
@@ -51,4 +56,4 @@ def separation(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
 def cosine_separation_deg(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
     """Degrees by the law of cosines, clamped; can't resolve the smallest angles."""
     c = F.sin(F.radians(dec1)) * F.sin(F.radians(dec2)) + F.cos(F.radians(dec1)) * F.cos(F.radians(dec2)) * F.cos(F.radians(ra1 - ra2))
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))))
+    return F.degrees(F.acos(clamp(c, -1.0, 1.0)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.functions.geo import clamp
 from skyloom.functions.names import common_name, group_key, known_as, search_key
 
 TOP = 20
@@ -232,7 +233,7 @@ def triage_queue(holdings: DataFrame, archives: DataFrame, keep: int = 50, top:
         )
     )
     length = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy") + F.col("vz") * F.col("vz")) / F.col("nv")
-    spread = F.when(F.col("nv") >= 2, F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(0.0), length)))))
+    spread = F.when(F.col("nv") >= 2, F.degrees(F.acos(clamp(length, 0.0, 1.0))))
     return newest.join(F.broadcast(chosen), key).join(F.broadcast(archives.select("archive_code", "display_name")), "archive_code").select(
         "archive_code", "display_name", "group_key", "raw_target_name", "n_records",
         F.transform("all", lambda x: x["archive_obs_id"]).alias("archive_obs_ids"), F.transform("all", lambda x: x["archive_url"]).alias("archive_urls"),
