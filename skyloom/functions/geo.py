@@ -57,3 +57,98 @@ def cosine_separation_deg(ra1: Column, dec1: Column, ra2: Column, dec2: Column)
     """Degrees by the law of cosines, clamped; can't resolve the smallest angles."""
     c = F.sin(F.radians(dec1)) * F.sin(F.radians(dec2)) + F.cos(F.radians(dec1)) * F.cos(F.radians(dec2)) * F.cos(F.radians(ra1 - ra2))
     return F.degrees(F.acos(clamp(c, -1.0, 1.0)))
+
+
+def aitoff(ra: Column, dec: Column) -> Column:
+    """(x, y) of the Aitoff projection seen from inside: right ascension grows to the left."""
+    lam = F.radians(F.when(ra > 180, 360 - ra).otherwise(-ra))
+    d = F.radians(dec)
+    alpha = F.acos(clamp(F.cos(d) * F.cos(lam / 2), -1.0, 1.0))
+    sinc = F.when(alpha == 0, 1.0).otherwise(F.sin(alpha) / alpha)
+    return F.struct((2 * F.cos(d) * F.sin(lam / 2) / sinc).alias("x"), (F.sin(d) / sinc).alias("y"))
+
+
+# The J2000 direction of the galactic pole and the longitude of the celestial pole, degrees.
+GALACTIC_POLE = (192.85948, 27.12825, 122.93192)
+
+
+def galactic_to_icrs(lon: Column, lat: Column) -> Column:
+    ra0, dec0, l0 = (math.radians(x) for x in GALACTIC_POLE)
+    b, dl = F.radians(lat), l0 - F.radians(lon)
+    sin_d = F.sin(b) * math.sin(dec0) + F.cos(b) * math.cos(dec0) * F.cos(dl)
+    y = F.cos(b) * F.sin(dl)
+    x = F.sin(b) * math.cos(dec0) - F.cos(b) * math.sin(dec0) * F.cos(dl)
+    return F.struct(F.pmod(F.degrees(F.atan2(y, x) + ra0), F.lit(360.0)).alias("ra"), F.degrees(F.asin(clamp(sin_d, -1.0, 1.0))).alias("dec"))
+
+
+def _spread_bits(x: Column) -> Column:
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+    return x
+
+
+def healpix(ra: Column, dec: Column, level: int) -> Column:
+    """Nested HEALPix pixel (Gorski et al. 2005) of a position; nside is 2**level."""
+    n = 1 << level
+    z, tt = F.sin(F.radians(dec)), F.pmod(ra, F.lit(360.0)) / 90
+    whole = lambda x: F.floor(x).cast("bigint")
+    jp, jm = whole(n * (0.5 + tt) - n * z * 0.75), whole(n * (0.5 + tt) + n * z * 0.75)
+    fp, fm = F.shiftright(jp, level), F.shiftright(jm, level)
+    belt_face = F.when(fp == fm, F.pmod(fp, F.lit(4)) + 4).when(fp < fm, fp).otherwise(fm + 8)
+    belt_x, belt_y = jm.bitwiseAND(F.lit(n - 1)), (n - 1) - jp.bitwiseAND(F.lit(n - 1))
+    quarter = F.least(whole(tt), F.lit(3))
+    tp, size = tt - quarter, n * F.sqrt(3 * (1 - F.abs(z)))
+    cp, cm = F.least(whole(tp * size), F.lit(n - 1)), F.least(whole((1 - tp) * size), F.lit(n - 1))
+    north = z >= 0
+    belt = F.abs(z) <= 2 / 3
+    face = F.when(belt, belt_face).when(north, quarter).otherwise(quarter + 8)
+    x = F.when(belt, belt_x).when(north, (n - 1) - cm).otherwise(cp)
+    y = F.when(belt, belt_y).when(north, (n - 1) - cp).otherwise(cm)
+    return F.shiftleft(face, 2 * level) + _spread_bits(x).bitwiseOR(F.shiftleft(_spread_bits(y), 1))
+
+
+def source_id_range(pixel: Column, level: int) -> Column:
+    """The catalogue ids, which lead with a level-12 pixel, that lie in a pixel of a level."""
+    shift = 35 + 2 * (12 - level)
+    return F.struct(F.shiftleft(pixel, shift).alias("first"), (F.shiftleft(pixel + 1, shift) - 1).alias("last"))
+
+
+# Fixed values of the HEALPix geometry: steps to the 8 neighbours, faces beyond each edge and the turns there.
+STEPS = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+FACES = [
+    [8, 9, 10, 11, -1, -1, -1, -1, 10, 11, 8, 9], [5, 6, 7, 4, 8, 9, 10, 11, 9, 10, 11, 8], [-1, -1, -1, -1, 5, 6, 7, 4, -1, -1, -1, -1],
+    [4, 5, 6, 7, 11, 8, 9, 10, 11, 8, 9, 10], [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11], [1, 2, 3, 0, 0, 1, 2, 3, 5, 6, 7, 4],
+    [-1, -1, -1, -1, 7, 4, 5, 6, -1, -1, -1, -1], [3, 0, 1, 2, 3, 0, 1, 2, 4, 5, 6, 7], [2, 3, 0, 1, -1, -1, -1, -1, 0, 1, 2, 3],
+]
+TURNS = [[0, 0, 3], [0, 0, 6], [0, 0, 0], [0, 0, 5], [0, 0, 0], [5, 0, 0], [0, 0, 0], [6, 0, 0], [3, 0, 0]]
+
+
+def ring(pixel: int, level: int) -> list[int]:
+    """A pixel and its up to 8 neighbours, ascending."""
+    n = 1 << level
+    face, rest = pixel >> (2 * level), pixel & (n * n - 1)
+    x = sum(((rest >> (2 * i)) & 1) << i for i in range(level))
+    y = sum(((rest >> (2 * i + 1)) & 1) << i for i in range(level))
+    out = {pixel}
+    for dx, dy in STEPS:
+        a, b, side = x + dx, y + dy, 4
+        if a < 0:
+            a, side = a + n, side - 1
+        elif a >= n:
+            a, side = a - n, side + 1
+        if b < 0:
+            b, side = b + n, side - 3
+        elif b >= n:
+            b, side = b - n, side + 3
+        f = FACES[side][face]
+        if f < 0:
+            continue
+        turn = TURNS[side][face >> 2]
+        if turn & 1:
+            a = n - a - 1
+        if turn & 2:
+            b = n - b - 1
+        if turn & 4:
+            a, b = b, a
+        out.add((f << (2 * level)) + sum(((a >> i) & 1) << (2 * i) | ((b >> i) & 1) << (2 * i + 1) for i in range(level)))
+    return sorted(out)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from skyloom.plans import derived, matching, problems
+from skyloom.plans import basics, derived, matching, problems
 
-_PARTS = (problems, derived, matching)
+_PARTS = (problems, derived, matching, basics)
 QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 SQL = {k: s for part in _PARTS for k, s in part.SQL.items()}
