@@ -24,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"<[^<>\n]{1,120}>|(?:[A-Za-z0-9\x80-\U0010ffff]|&(?!nbsp|amp|lt|gt|quot)[A-Za-z]{2,8};|(?<=[a-z])-[ \t]*\r?\n[ \t]*(?=[a-z]))+")
+WORD = re.compile(r"<[^<>\n]{1,120}>|(?:[A-Za-z0-9\x80-\U0010ffff]|&[A-Za-z]{2,8};|(?<=[a-z])-[ \t]*\r?\n[ \t]*(?=[a-z]))+")
 NOT_KEPT = re.compile(r"&[A-Za-z]+;|[^A-Za-z0-9]+")
 JOINED = re.compile("(?<=[\x21-\x7e])[\xa0–—](?=[\x21-\x7e])")
+BLANKS = re.compile(r"&(?:nbsp|amp|lt|gt|quot);")
 SPACES = re.compile("[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 WILD, SEED, SHARD, SAMPLE = "~", 5, 250_000, 8
 NEAR = 8  # words by which the hits of a candidate may leave the diagonal
@@ -38,7 +39,9 @@ def reduce(word: str) -> str:
 
 
 def prepare(text: str) -> str:
-    """The text with odd spaces as plain ones; lengths stay."""
+    """The text with odd spaces and entities that part words as plain spaces; lengths stay."""
+    if "&" in text:
+        text = BLANKS.sub(lambda m: " " * len(m[0]), text)
     return text if text.isascii() else JOINED.sub(" ", SPACES.sub(" ", text))
 
 
