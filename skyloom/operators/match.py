@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skyloom.functions import geo
 from skyloom.functions.names import match_key
 from skyloom.operators.skew import spread_join
+from skyloom.session import cut
 
 # Match radii in arcsec, by archive and instrument, and the one for all others.
 RADIUS, NAME_RADIUS = 1.0, 600.0
@@ -101,6 +102,7 @@ def match_records(records: DataFrame, stars: DataFrame, key: list[str]) -> DataF
     star = geo.moved_vector(F.col("n_ra"), F.col("n_dec"), F.col("n_pmra"), F.col("n_pmdec"), F.col("_year") - F.col("n_ref_epoch"))
     far = F.coalesce(F.col("_placed") & (geo.vector_separation(geo.unit_vector(F.col("ra"), F.col("dec")), star) > NAME_RADIUS), F.lit(False))
     tried = tried.withColumn("_name_star", F.when(~far, F.col("n_star_id"))).withColumn("_turned", far & F.col("n_star_id").isNotNull()).drop(*[f"n_{c}" for c in MOTION])
+    tried = cut(tried)  # read four times below
     rest = tried.filter(F.col("gaia_source_id").isNull() & F.col("_name_star").isNull() & F.col("_placed"))
     span = rest.agg(F.min("_year"), F.max("_year"), F.max("_radius")).first()
     found = radial_pairs(
