@@ -179,3 +179,38 @@ def radius_simulation(targets: DataFrame, stars: DataFrame, radii: list[float],
     return base.join(some, "radius", "left").crossJoin(total).select(
         "radius", (F.col("total") - F.coalesce("one", F.lit(0)) - F.coalesce("many", F.lit(0))).alias("none"), F.coalesce("one", F.lit(0)).alias("one"), F.coalesce("many", F.lit(0)).alias("many")
     )
+
+
+def pixel_pairs(targets: DataFrame, pool: DataFrame, radius_arcsec: float, level: int = 7) -> DataFrame:
+    """targets (t_ra, t_dec, t_year and any others) with the catalogue sources within the radius on their date, by
+    nested pixels: every target looks into its pixel and the ring around it, which is far wider than any radius
+    used here. pool: source_id, ra, dec, ref_epoch, pmra, pmdec and others."""
+    names = targets.columns
+
+    def look(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            pixels = b.column(b.num_columns - 1).to_pylist()
+            rings = [geo.ring(p, level) for p in pixels]
+            at = pa.array([i for i, r in enumerate(rings) for _ in r], pa.int64())
+            taken = b.take(at)
+            yield pa.RecordBatch.from_arrays([*taken.columns[:-1], pa.array([p for r in rings for p in r], pa.int64())], names=[*names, "_pixel"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in targets.schema) + ", _pixel bigint"
+    looked = targets.withColumn("_pixel", geo.healpix(F.col("t_ra"), F.col("t_dec"), level)).mapInArrow(look, schema)
+    placed = pool.filter("ra IS NOT NULL AND dec IS NOT NULL").withColumn("_pixel", geo.healpix(F.col("ra"), F.col("dec"), level))
+    star = geo.moved_vector(F.col("ra"), F.col("dec"), F.col("pmra"), F.col("pmdec"), F.col("t_year") - F.col("ref_epoch"))
+    pairs = spread_join(looked, placed, ["_pixel"]).drop("_pixel")
+    return pairs.withColumn("sep_arcsec", geo.vector_separation(geo.unit_vector(F.col("t_ra"), F.col("t_dec")), star)).filter(F.col("sep_arcsec") <= radius_arcsec)
+
+
+def fallback_match(targets: DataFrame, stars: DataFrame, pool: DataFrame, first_year: float, last_year: float, radius_arcsec: float = 60.0) -> DataFrame:
+    """A guess for records that nothing else matched, always for review: t_id, star_id or the gaia_source_id of a
+    source not yet in the catalogue, theta_arcsec and the reason. Tracked stars and the pool's sources compete."""
+    cols = ["t_id", "archive_code", "star_id", "gaia_source_id", "source_catalog", F.col("sep_arcsec").alias("separation_arcsec"), "phot_g_mean_mag"]
+    near = radial_pairs(targets.withColumn("t_radius", F.lit(radius_arcsec)), stars, radius_arcsec, first_year, last_year).select(*cols)
+    live = pixel_pairs(targets, pool, radius_arcsec).withColumns({"star_id": F.lit(None).cast("bigint"), "source_catalog": F.lit("gaia_untracked")})
+    live = live.withColumnRenamed("source_id", "gaia_source_id").select(*cols)
+    best = pick_best(merge_candidates(near, live, ["t_id"]), ["t_id"])
+    return best.select("t_id", F.col("winner.star_id").alias("star_id"), F.col("winner.gaia_source_id").alias("gaia_source_id"), F.col("winner.sep").alias("theta_arcsec"), "reason")

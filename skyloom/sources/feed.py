@@ -33,14 +33,16 @@ NARROWEST, WIDEST, MOST_WINDOWS = 1, 365, 60
 
 def _records(table: pa.Table) -> Iterator[tuple]:
     for row in table.to_pylist():
-        yield tuple(row.get(f) for f in FIELDS)
+        yield tuple(row[f] if f in row else row.get(f"raw_{f}") for f in FIELDS)
 
 
 class Log:
-    """A recorded log: columns mark (a number or text that orders it) and id, besides the record's."""
+    """A recorded log: a mark that orders it, a number or text in a column of the log, besides the record's columns."""
 
-    def __init__(self, path: str, archive: str):
+    def __init__(self, path: str, archive: str, mark: str = "mark"):
         table = pq.read_table(path)
+        if mark != "mark":
+            table = table.append_column("mark", table[mark])
         if "archive_code" in table.column_names:
             table = table.filter(pc.equal(table["archive_code"], archive))
         self.table = table.sort_by([("mark", "ascending"), ("archive_obs_id", "ascending")])
@@ -96,13 +98,14 @@ class FeedStream(SimpleDataSourceStreamReader):
         self.archive, self.path = options["archive"], options["path"]
         spec = ARCHIVES.get(self.archive)
         self.paging = options.get("paging") or (spec.paging if spec else "W")
+        self.mark = options.get("mark", "mark")
         self.size = int(options.get("page_size") or (spec.page if spec else 20_000))
 
     def initialOffset(self) -> dict:
         return {"cursor": "{}"}
 
     def _page(self, start: dict) -> tuple[pa.Table, dict]:
-        page, cursor = next_page(Log(self.path, self.archive), self.paging, json.loads(start["cursor"]), self.size)
+        page, cursor = next_page(Log(self.path, self.archive, self.mark), self.paging, json.loads(start["cursor"]), self.size)
         return page, {"cursor": json.dumps(cursor, sort_keys=True)}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
