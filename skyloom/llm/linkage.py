@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions import geo
-from skyloom.llm.spelling import _costs, _parse_reference, parse
+from skyloom.llm.spelling import _costs, _parse_reference, parse, plausible
 from skyloom.operators.skew import spread_join
 from skyloom.session import cut
 
@@ -73,7 +73,7 @@ def name_candidates(typed: DataFrame, listed: DataFrame) -> DataFrame:
     asked, names = (df.select("form", "key").distinct() for df in (typed.filter("key IS NOT NULL"), listed))
     codes = asked.filter("form = 'code'").join(names, ["form", "key"], "left_semi").select("form", "key", F.col("key").alias("entry"), F.lit(0.0).alias("cost"))
     sign = lambda df: df.filter("form = 'name'").select("key").mapInArrow(_sign, "key string, band bigint")
-    pairs = sign(asked).withColumnRenamed("key", "typed").join(sign(names).withColumnRenamed("key", "entry"), "band").select("typed", "entry").distinct()
+    pairs = sign(asked).withColumnRenamed("key", "typed").join(sign(names).withColumnRenamed("key", "entry"), "band").filter(plausible(F.col("typed"), F.col("entry"))).select("typed", "entry").distinct()
     near = pairs.mapInArrow(_costs, "typed string, entry string, cost double")
     return codes.unionByName(near.select(F.lit("name").alias("form"), F.col("typed").alias("key"), "entry", "cost"))
 

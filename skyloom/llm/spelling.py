@@ -22,9 +22,11 @@ from itertools import combinations
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.session import cut
+
 PREFIX, EDITS = 7, 2
 # Cyrillic and Greek letters that look like Latin ones.
 LOOKALIKES = str.maketrans("абвгеёзікмнорстухѕјԁԛԝυοαερκιντχ", "abbreeзikmhopctyxsjdqwuoaepkivtx".replace("з", "3"))
@@ -126,10 +128,10 @@ def cost(typed: str, entry: str) -> float:
 PARSED = "value string, form string, key string"
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parse_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [(v, *p) for v in b.column(0).to_pylist() if (p := parse(v))]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in range(3)], names=["value", "form", "key"])
+        found = [parse(v) or (None, None) for v in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([f[i] for f in found], pa.string()) for i in range(2)]], names=["value", "form", "key"])
 
 
 def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,9 +147,13 @@ def _costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.float64())], names=["typed", "entry", "cost"])
 
 
-def parsed(values: DataFrame, column: str) -> DataFrame:
-    """(value, form, key) of every distinct value that is a designation or a name."""
-    return values.select(F.col(column).alias("value")).filter("value IS NOT NULL").distinct().mapInArrow(_parse, PARSED)
+def plausible(typed: Column, entry: Column) -> Column:
+    """What cost() may accept, by built-in functions: every pair it accepts passes. Two transpositions are four plain
+    edits; before a last word that is cut short, one is two."""
+    head, head0 = (F.regexp_replace(F.regexp_replace(x, " [^ ]*$", ""), " ", "") for x in (typed, entry))
+    tail, tail0 = F.substring_index(typed, " ", -1), F.substring_index(entry, " ", -1)
+    whole = F.levenshtein(F.replace(typed, F.lit(" "), F.lit("")), F.replace(entry, F.lit(" "), F.lit("")), 2 * EDITS) >= 0
+    return whole | (typed.contains(" ") & entry.contains(" ") & F.startswith(tail0, tail) & (F.levenshtein(head, head0, 2) >= 0))
 
 
 def similar_names(typed: DataFrame, entries: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
@@ -155,7 +161,7 @@ def similar_names(typed: DataFrame, entries: DataFrame, broadcast_rows: int = 20
     index = entries.select("key").distinct().mapInArrow(_delete, "key string, hash bigint").withColumnRenamed("key", "entry")
     asked = typed.select("key").distinct().mapInArrow(_delete, "key string, hash bigint").withColumnRenamed("key", "typed")
     small = entries.select("key").distinct().limit(broadcast_rows // 29 + 1).count() * 29 <= broadcast_rows  # 29 keys a name
-    pairs = asked.join(F.broadcast(index) if small else index, "hash").select("typed", "entry").distinct()
+    pairs = asked.join(F.broadcast(index) if small else index, "hash").filter(plausible(F.col("typed"), F.col("entry"))).select("typed", "entry").distinct()
     return pairs.mapInArrow(_costs, "typed string, entry string, cost double")
 
 
@@ -168,9 +174,8 @@ def map_values(values: DataFrame, column: str, reference: DataFrame, entry: str,
     of any length is read whole. Columns besides those named are ignored, whatever their names."""
     listed = reference.select(F.col(entry).alias("value"), F.col(target).alias("target")).filter("value IS NOT NULL AND target IS NOT NULL")
     names = listed.groupBy("value", "target").count().mapInArrow(_parse_reference, "entry string, target bigint, times bigint, form string, key string")
-    wanted = values.select(F.col(column).alias("value")).filter("value IS NOT NULL").distinct()
-    typed = wanted.mapInArrow(_parse, PARSED)
-    lists = names.groupBy("form", "key", "target").agg(F.min("entry").alias("entry"), F.sum("times").alias("times"))
+    lists = cut(names.groupBy("form", "key", "target").agg(F.min("entry").alias("entry"), F.sum("times").alias("times")))
+    typed = cut(values.select(F.col(column).alias("value")).filter("value IS NOT NULL").distinct().mapInArrow(_parse_all, PARSED))  # both are read several times
     codes = typed.filter("form = 'code'").join(lists.filter("form = 'code'"), ["form", "key"]).withColumn("cost", F.lit(0.0))
     words, words0 = typed.filter("form = 'name'"), lists.filter("form = 'name'")
     near = similar_names(words, words0, broadcast_rows)
@@ -183,7 +188,7 @@ def map_values(values: DataFrame, column: str, reference: DataFrame, entry: str,
     )
     rivals = F.exists("all", lambda x: (x["to"] != F.col("best.target")) & (x["cost"] <= F.col("best.cost") + 0.15))
     judged = best.select("value", F.when(rivals, "ambiguous").otherwise("matched").alias("status"), "best")
-    return wanted.join(judged, "value", "left").select(
+    return typed.select("value").join(judged, "value", "left").select(
         "value", F.coalesce("status", F.lit("unmatched")).alias("status"),
         F.when(F.col("status") == "matched", F.col("best.target")).alias("target"), F.col("best.entry").alias("entry"), F.col("best.cost").alias("cost"),
     )
