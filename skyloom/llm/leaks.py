@@ -141,17 +141,18 @@ class FMIndex:
         return phrase, position
 
 
-def align(item: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> tuple[int, int, int, int]:
-    """Best local alignment: first and last place in item and in doc. A match scores its weight, anything else -1."""
+def align(item: np.ndarray, doc: np.ndarray, weight: np.ndarray, penalty: float = 1.0) -> tuple[int, int, int, int]:
+    """Best local alignment: first and last place in item and in doc. A match scores its weight, anything else costs
+    the penalty."""
 
     def forward(a: np.ndarray, w: np.ndarray, d: np.ndarray, anchored: bool) -> tuple[int, int, float]:
-        ramp = np.arange(len(d) + 1, dtype=float)
+        ramp = np.arange(len(d) + 1) * penalty
         floor = -np.inf if anchored else 0.0
         row = -ramp if anchored else np.zeros(len(d) + 1)
         best = (-1, -1, 0.0)
         for i in range(len(a)):
-            new = np.maximum(row - 1, floor)
-            new[1:] = np.maximum(new[1:], row[:-1] + np.where(d == a[i], w[i], -1.0))
+            new = np.maximum(row - penalty, floor)
+            new[1:] = np.maximum(new[1:], row[:-1] + np.where(d == a[i], w[i], -penalty))
             row = np.maximum.accumulate(new + ramp) - ramp
             j = int(row.argmax())
             if row[j] > best[2]:
@@ -212,7 +213,8 @@ class Items:
         self.offset = np.cumsum([0, *(len(c) + 1 for c in self.codes)])
         self.sums = np.concatenate([np.r_[0, np.cumsum(t)] for t in self.figures] or [np.zeros(1)])
         self.least = np.array([min(FIGURES, 0.15 * t.sum()) for t in self.figures])
-        seeds = [s for s in seeds if s[-1] >= 0 and s[2:].count(self.wild) < 3]
+        tells = lambda s: (wild := s[2:].count(self.wild)) < 3 or wild == 3 and max(figure[list(s[2:])]) == 1
+        seeds = [s for s in seeds if s[-1] >= 0 and tells(s)]
         self.seeds = np.array(seeds, np.int64).reshape(-1, SEED + 2)
         self.phrases, self.which = np.unique(self.seeds[:, 2:], axis=0, return_inverse=True)
         self.by_phrase = np.argsort(self.which.ravel(), kind="stable")
@@ -272,13 +274,16 @@ def _search(sent, min_words: int, least: float):
         hits: dict[tuple[int, int], tuple] = {}
         for d, i, lo, hi in candidates(items, codes, np.repeat(np.arange(len(rows)), sizes), start):
             code = items.codes[i]
-            a, b, x, y = align(code, codes[lo:hi], items.weight(code))
-            if b < a:
-                continue
-            same, figures = agreement(code[a : b + 1], codes[lo + x : lo + y + 1], items.of_word[i][a : b + 1], items.figures[i][a : b + 1])
-            n = int(items.of_word[i][b] - items.of_word[i][a]) + 1
-            if n >= items.needed[i] and holds(n, same, figures, least) and n > hits.get((d, i), (0,))[0]:
-                hits[d, i] = (n, same, figures, lo + x - start[d], lo + y - start[d])
+            for penalty in (1.0, 2.0):  # the second parts a passage from common wording that happens to stand beside it
+                a, b, x, y = align(code, codes[lo:hi], items.weight(code), penalty)
+                if b < a:
+                    break
+                same, figures = agreement(code[a : b + 1], codes[lo + x : lo + y + 1], items.of_word[i][a : b + 1], items.figures[i][a : b + 1])
+                n = int(items.of_word[i][b] - items.of_word[i][a]) + 1
+                if n >= items.needed[i] and holds(n, same, figures, least):
+                    if n > hits.get((d, i), (0,))[0]:
+                        hits[d, i] = (n, same, figures, lo + x - start[d], lo + y - start[d])
+                    break
         out = []
         for (d, i), (n, same, figures, x, y) in hits.items():
             key, text, _ = rows[d]
