@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 PARTS = 2000
 
 
-def spread_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", parts: int = PARTS) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", parts: int = PARTS, least: int = 10_000) -> DataFrame:
     """big join small on equal keys ('inner' or 'left'), where a key may own any share of big.
 
-    Keys with more than 1/parts of big's rows, fewer than `parts` of them, are counted first. Their rows in big
+    Keys with more than 1/parts of big's rows and more than `least`, fewer than `parts` of them, are counted first. Their rows in big
     are dealt to as many numbers as they have such shares, and their rows in small are repeated for each number,
     so no task gets more than about 1/parts of big for one key. Rows are dealt by a hash of their columns. Null keys match
     nothing and are spread as well."""
     if how not in ("inner", "left"):
         raise ValueError(how)
-    heavy_at = max(1, big.count() // parts)
+    heavy_at = max(least, big.count() // parts)
     heavy = (
         big.select(*keys).na.drop().groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > heavy_at)
         .select(*keys, F.ceil(F.col("_n") / heavy_at).cast("int").alias("_deal"))
