@@ -1,8 +1,10 @@
 """Evaluation passages inside a training corpus.
 
 Texts are compared as sequences of words reduced to their ASCII letters and digits in lower case, so letter
-case, punctuation, line breaks, mark-up and characters damaged by a wrong encoding don't count; a word with
-nothing left is WILD, which matches itself, weakly.
+case, punctuation, line breaks, mark-up and characters damaged by a wrong encoding don't count. A word with
+nothing left but with letters of another script is a symbol of its own, WILD and those letters; signs alone are
+WILD, which matches itself, weakly. Documents with such words that no item has may be damaged: they are searched
+once more with all these words as WILD.
 
 A shard is a run of documents with about SHARD words. Each shard gets an FM-index over its words: the suffix
 array by prefix doubling, its Burrows-Wheeler transform in a wavelet matrix with rank tables, and every
@@ -16,7 +18,10 @@ a document becomes character spans, merged where they touch, ready for removal.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from html import unescape
 from itertools import pairwise
 
 import numpy as np
@@ -30,6 +35,7 @@ JOINED = re.compile("(?<=[\x21-\x7e])[\xa0–—](?=[\x21-\x7e])")
 BLANKS = re.compile(r"&(?:nbsp|amp|lt|gt|quot);")
 SPACES = re.compile("[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 WILD, SEED, SHARD, SAMPLE = "~", 5, 250_000, 8
+SIGNS = {"Po", "Pd", "Ps", "Pe", "Pi", "Pf", "Pc", "Sm", "Sc", "Sk", "Zs"}  # what text has without being damaged
 NEAR = 8  # words by which the hits of a candidate may leave the diagonal
 COVER, FIGURES, ENOUGH = 9, 2.0, 17  # words that the hits cover, with so much weight of figures, or words that do without
 
@@ -45,6 +51,19 @@ def prepare(text: str) -> str:
     return text if text.isascii() else JOINED.sub(" ", SPACES.sub(" ", text))
 
 
+@lru_cache(1 << 16)
+def own(word: str) -> str:
+    """WILD with the letters of a word that has no ASCII ones; WILD alone where it has only signs."""
+    plain = unicodedata.normalize("NFKC", unescape(word)).casefold()
+    if letters := "".join(c for c in plain if c.isalnum() or unicodedata.category(c)[0] == "M"):
+        return WILD + letters
+    return WILD if all(unicodedata.category(c) in SIGNS or c in "°¦" for c in plain) else WILD + "?"
+
+
+def spelled(text: str) -> list[str]:
+    return [own(w) if (r := reduce(w)) == WILD else r for w in WORD.findall(prepare(text)) if w[0] != "<"]
+
+
 def words(text: str) -> list[str]:
     return [reduce(w) for w in WORD.findall(prepare(text)) if w[0] != "<"]
 
@@ -189,54 +208,68 @@ def holds(words_: int, identity: float, figures: float, least: float) -> bool:
     return (identity + figures) / 2 >= least and figures >= 0.5 and identity >= least + max(0, 30 - words_) * 0.012
 
 
+class Seeds:
+    """Phrases of `length` successive words of items, each once, and where they stand: rows of item, place, words."""
+
+    def __init__(self, rows: list[tuple[int, ...]], length: int):
+        self.length = length
+        self.rows = np.array(rows, np.int64).reshape(-1, length + 2)
+        self.phrases, which = np.unique(self.rows[:, 2:], axis=0, return_inverse=True)
+        self.by_phrase = np.argsort(which.ravel(), kind="stable")
+        self.phrase_start = np.searchsorted(which.ravel()[self.by_phrase], np.arange(len(self.phrases) + 1))
+
+
+def phrases(codes: list[np.ndarray], which: list[int], length: int, keep: Callable = lambda s: True) -> list[tuple[int, ...]]:
+    return [(k, i, *s) for k in which for i in range(len(codes[k]) - length + 1) if keep(s := codes[k][i : i + length].tolist())]
+
+
 class Items:
-    """The evaluation items, ready for search. Made from at most the rows that the caller bounds."""
+    """The evaluation items, ready for search. Made from at most the rows that the caller bounds. `seeds` are of the
+    words as they are, `damaged` of the items with words in other scripts, these taken as WILD."""
 
     def __init__(self, rows: list[tuple[int, str]], min_words: int):
-        self.vocabulary: dict[str, int] = {}
-        self.keys, self.codes, self.of_word, self.needed, seeds = [], [], [], [], []
+        self.wild = 2
+        self.vocabulary: dict[str, int] = {WILD: self.wild}
+        self.keys, self.codes, self.of_word, self.needed = [], [], [], []
         for key, text in rows:
             spoken, of_word = [], []
             for n, chunk in enumerate((text or "").split()):
-                own = words(chunk)
-                spoken += own
-                of_word += [n] * len(own)
+                parts = [WILD if w == WILD + "?" else w for w in spelled(chunk)]
+                spoken += parts
+                of_word += [n] * len(parts)
             if not spoken:
                 continue
             code = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in spoken])
-            seeds += [(len(self.keys), i, *code[i : i + SEED]) for i in range(len(code) - SEED + 1)] or [(len(self.keys), 0, *code, *[-1] * (SEED - len(code)))]
             self.keys.append(key), self.codes.append(code), self.of_word.append(np.array(of_word))
             self.needed.append(min(min_words, of_word[-1] + 1))
-        self.wild = self.vocabulary.get(WILD, -1)
-        figure = np.array([0.0, 0.0, *(min(len(w), 3) / 3 if any(c.isdigit() for c in w) and len(w) > 1 else 0.0 for w in self.vocabulary)])
+        figure = np.array([0.0, 0.0, *(min(len(w), 3) / 3 if any(c.isdigit() for c in w) and len(w) > 1 and w[0] != WILD else 0.0 for w in self.vocabulary)])
         self.figures = [figure[c] for c in self.codes]
         self.offset = np.cumsum([0, *(len(c) + 1 for c in self.codes)])
         self.sums = np.concatenate([np.r_[0, np.cumsum(t)] for t in self.figures] or [np.zeros(1)])
         self.least = np.array([min(FIGURES, 0.15 * t.sum()) for t in self.figures])
-        tells = lambda s: (wild := s[2:].count(self.wild)) < 3 or wild == 3 and max(figure[list(s[2:])]) == 1
-        seeds = [s for s in seeds if s[-1] >= 0 and tells(s)]
-        self.seeds = np.array(seeds, np.int64).reshape(-1, SEED + 2)
-        self.phrases, self.which = np.unique(self.seeds[:, 2:], axis=0, return_inverse=True)
-        self.by_phrase = np.argsort(self.which.ravel(), kind="stable")
-        self.phrase_start = np.searchsorted(self.which.ravel()[self.by_phrase], np.arange(len(self.phrases) + 1))
+        self.reduced = np.array([0, 1, *(self.wild if w[0] == WILD else c for w, c in self.vocabulary.items())])
+        self.seeds = Seeds(phrases(self.codes, range(len(self.codes)), SEED), SEED)
+        tells = lambda s: (wild := s.count(self.wild)) < 3 or wild == 3 and max(figure[s]) == 1
+        lettered = [k for k, c in enumerate(self.codes) if (self.reduced[c] != c).any()]
+        self.damaged = Seeds(phrases([self.reduced[c] for c in self.codes], lettered, SEED, tells), SEED)
         self.bits = max(2, int(len(self.vocabulary) + 2).bit_length())
 
     def weight(self, code: np.ndarray) -> np.ndarray:
         return np.where(code == self.wild, 0.5, 1.0)
 
 
-def candidates(items: Items, codes: np.ndarray, doc_of: np.ndarray, doc_start: np.ndarray) -> list[tuple[int, int, int, int]]:
+def candidates(items: Items, seeds: Seeds, codes: np.ndarray, doc_of: np.ndarray, doc_start: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(doc, item, first, last word of the doc to align) by the shard's FM-index. Words 1 are the documents' ends,
     word 0 what no item has; the last is the shard's own end."""
     end = (1 << items.bits) - 1
     index = FMIndex(np.r_[codes, end], items.bits)
-    phrase, position = index.search(items.phrases)
+    phrase, position = index.search(seeds.phrases)
     if not len(phrase):
         return []
-    times = items.phrase_start[phrase + 1] - items.phrase_start[phrase]
-    seed = items.by_phrase[np.repeat(items.phrase_start[phrase] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())]
+    times = seeds.phrase_start[phrase + 1] - seeds.phrase_start[phrase]
+    seed = seeds.by_phrase[np.repeat(seeds.phrase_start[phrase] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())]
     position = np.repeat(position, times)
-    item, at = items.seeds[seed, 0], items.seeds[seed, 1]
+    item, at = seeds.rows[seed, 0], seeds.rows[seed, 1]
     doc = doc_of[position]
     order = np.lexsort((at, position - at, item, doc))
     doc, item, at, position = doc[order], item[order], at[order], position[order]
@@ -249,9 +282,9 @@ def candidates(items: Items, codes: np.ndarray, doc_of: np.ndarray, doc_start: n
     p, a = pair[span], at[span]
     fresh = np.r_[True, p[1:] != p[:-1]]
     base = items.offset[item[span]]
-    begin = np.where(fresh, a, np.maximum(a, np.r_[0, a[:-1] + SEED]))
-    figures = np.bincount(p, items.sums[base + a + SEED] - items.sums[base + begin], minlength=len(starts))
-    covered = np.bincount(p, a + SEED - begin, minlength=len(starts))
+    begin = np.where(fresh, a, np.maximum(a, np.r_[0, a[:-1] + seeds.length]))
+    figures = np.bincount(p, items.sums[base + a + seeds.length] - items.sums[base + begin], minlength=len(starts))
+    covered = np.bincount(p, a + seeds.length - begin, minlength=len(starts))
     least = np.minimum(COVER, np.array([len(c) for c in items.codes])[item[starts]] // 2)
     for k in np.flatnonzero((covered >= least) & (figures >= items.least[item[starts]]) | (covered >= ENOUGH)):
         s = starts[k]
@@ -266,14 +299,10 @@ LEAK = "doc_id bigint, item_id bigint, words int, identity double, figures doubl
 
 
 def _search(sent, min_words: int, least: float):
-    def shard(items: Items, rows: list[tuple[int, str, list[str]]]) -> pa.RecordBatch:
-        get = items.vocabulary.get
-        codes = np.fromiter((c for _, _, ws in rows for c in (*(get(w, 0) for w in ws), 1)), np.int64)
-        sizes = np.array([len(ws) + 1 for *_, ws in rows])
+    def collect(items: Items, seeds: Seeds, codes: np.ndarray, of_items: list[np.ndarray], sizes: np.ndarray, docs: np.ndarray, hits: dict) -> None:
         start = np.r_[0, np.cumsum(sizes)]
-        hits: dict[tuple[int, int], tuple] = {}
-        for d, i, lo, hi in candidates(items, codes, np.repeat(np.arange(len(rows)), sizes), start):
-            code = items.codes[i]
+        for d, i, lo, hi in candidates(items, seeds, codes, np.repeat(np.arange(len(sizes)), sizes), start):
+            code, key = of_items[i], (int(docs[d]), i)
             for penalty in (1.0, 2.0):  # the second parts a passage from common wording that happens to stand beside it
                 a, b, x, y = align(code, codes[lo:hi], items.weight(code), penalty)
                 if b < a:
@@ -281,9 +310,21 @@ def _search(sent, min_words: int, least: float):
                 same, figures = agreement(code[a : b + 1], codes[lo + x : lo + y + 1], items.of_word[i][a : b + 1], items.figures[i][a : b + 1])
                 n = int(items.of_word[i][b] - items.of_word[i][a]) + 1
                 if n >= items.needed[i] and holds(n, same, figures, least):
-                    if n > hits.get((d, i), (0,))[0]:
-                        hits[d, i] = (n, same, figures, lo + x - start[d], lo + y - start[d])
+                    if n > hits.get(key, (0,))[0]:
+                        hits[key] = (n, same, figures, lo + x - start[d], lo + y - start[d])
                     break
+
+    def shard(items: Items, rows: list[tuple[int, str, list[str]]]) -> pa.RecordBatch:
+        get = items.vocabulary.get
+        code_of = lambda w: get(w) or (items.wild if w[0] == WILD else 0)
+        codes = np.fromiter((c for _, _, ws in rows for c in (*map(code_of, ws), 1)), np.int64)
+        sizes = np.array([len(ws) + 1 for *_, ws in rows])
+        hits: dict[tuple[int, int], tuple] = {}
+        collect(items, items.seeds, codes, items.codes, sizes, np.arange(len(rows)), hits)
+        odd = np.array([any(w[0] == WILD != w and w not in items.vocabulary for w in ws) for *_, ws in rows])
+        if odd.any() and len(items.damaged.rows):
+            part = items.reduced[codes[np.repeat(odd, sizes)]]
+            collect(items, items.damaged, part, [items.reduced[c] for c in items.codes], sizes[odd], np.flatnonzero(odd), hits)
         out = []
         for (d, i), (n, same, figures, x, y) in hits.items():
             key, text, _ = rows[d]
@@ -298,14 +339,14 @@ def _search(sent, min_words: int, least: float):
         rows, size = [], 0
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = words(text) if text else []
-                if len(own) >= SEED:
-                    rows.append((key, text, own))
-                    size += len(own) + 1
+                found = spelled(text) if text else []
+                if len(found) >= SEED:
+                    rows.append((key, text, found))
+                    size += len(found) + 1
                 if size >= SHARD:
                     yield shard(items, rows)
                     rows, size = [], 0
-        if rows and len(items.seeds):
+        if rows and len(items.seeds.rows):
             yield shard(items, rows)
 
     return run

@@ -55,3 +55,19 @@ def test_empty(spark):
     assert find_leaks(d, i).count() == 0
     assert find_leaks(spark.createDataFrame([(1, "a b c d e f g", "x", 1)], DOC), i).count() == 0
     assert removal_spans(find_leaks(d, spark.createDataFrame([(1, "a b c d e f g h", 1)], ITEM))).count() == 0
+
+
+def test_other_scripts_are_found_word_for_word_and_damaged(spark):
+    rng = random.Random(5)
+    cyrillic = lambda n: " ".join("".join(rng.choice("абвгдежзиклмнопрст") for _ in range(6)) for _ in range(n))
+    latin = sentence(rng, 60).split()
+    item = [cyrillic(60), " ".join(x for pair in zip(cyrillic(30).split(), latin) for x in pair), "観測 記録 " * 3 + " ".join(chr(0x4E00 + k) + chr(0x5E00 + k) for k in range(30))]
+    w = item[0].split()
+    docs = [
+        cyrillic(40) + " " + " ".join(w[15:35]) + " " + cyrillic(40), cyrillic(90), " ".join(w[20:34]) + " " + cyrillic(40),
+        item[1].encode().decode("latin-1"), sentence(rng, 50), sentence(rng, 50) + " " + " ".join(item[2].split()[5:26]),
+    ]
+    leaks = find_leaks(spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(docs)], DOC), spark.createDataFrame([(i, t, 1) for i, t in enumerate(item)], ITEM))
+    got = {(r["doc_id"], r["item_id"]): r for r in leaks.collect()}
+    assert set(got) == {(0, 0), (3, 1), (5, 2)}
+    assert docs[0][got[0, 0]["span_start"] : got[0, 0]["span_end"]] == " ".join(w[15:35])
