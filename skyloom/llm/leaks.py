@@ -8,9 +8,9 @@ once more with all these words as WILD.
 
 A shard is a run of documents with about SHARD words. Each shard gets an FM-index over its words: the suffix
 array by prefix doubling, its Burrows-Wheeler transform in a wavelet matrix with rank tables, and every
-SAMPLE-th suffix position. All phrases of SEED successive item words are searched backwards at once through the
+SAMPLE-th suffix position. All phrases of SHORT successive item words (SEED in damaged documents) are searched backwards at once through the
 wavelet ranks, their occurrences located by walking to the next sampled position. Hits of one item that lie
-close to one diagonal of a document make a candidate, and a local alignment of the words decides: at least
+close to one diagonal of a document make a candidate if enough words agree there, and a local alignment decides: at least
 `min_words` successive words of the item (or all of it) with a few altered, added or missing. What is found in
 a document becomes character spans, merged where they touch, ready for removal.
 """
@@ -34,10 +34,12 @@ NOT_KEPT = re.compile(r"&[A-Za-z]+;|[^A-Za-z0-9]+")
 JOINED = re.compile("(?<=[\x21-\x7e])[\xa0–—](?=[\x21-\x7e])")
 BLANKS = re.compile(r"&(?:nbsp|amp|lt|gt|quot);")
 SPACES = re.compile("[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-WILD, SEED, SHARD, SAMPLE = "~", 5, 250_000, 8
+WILD, SEED, SHORT, SHARD, SAMPLE = "~", 5, 4, 250_000, 8
 SIGNS = {"Po", "Pd", "Ps", "Pe", "Pi", "Pf", "Pc", "Sm", "Sc", "Sk", "Zs"}  # what text has without being damaged
 NEAR = 8  # words by which the hits of a candidate may leave the diagonal
-COVER, FIGURES, ENOUGH = 9, 2.0, 17  # words that the hits cover, with so much weight of figures, or words that do without
+COVER, FIGURES, ENOUGH = 9, 2.0, 17  # words that hits of SEED words cover, with so much weight of figures, or words that do without
+SOME = 8  # words that hits of SHORT words cover in 20 with any three altered, at least
+ALTERED = 3  # words altered in 20 with which a passage is still found
 
 
 def reduce(word: str) -> str:
@@ -204,8 +206,25 @@ def agreement(item: np.ndarray, doc: np.ndarray, of_word: np.ndarray, figures: n
 
 def holds(words_: int, identity: float, figures: float, least: float) -> bool:
     """Whether an aligned passage is the item's text and not just common wording with other names and numbers in
-    it. Short passages have room for fewer altered words."""
-    return (identity + figures) / 2 >= least and figures >= 0.5 and identity >= least + max(0, 30 - words_) * 0.012
+    it. Short passages have room for fewer altered words, those of 20 for ALTERED at the default `least`."""
+    return (identity + figures) / 2 >= least and figures >= 0.5 and identity >= least + max(0, 30 - words_) * 0.01 - 1e-9
+
+
+def stretch(item: np.ndarray, doc: np.ndarray, of_word: np.ndarray, ends: tuple[int, int, int, int], needed: int) -> tuple[int, int, int, int]:
+    """The aligned passage carried on at its ends, over altered words to agreeing ones, until it has the words needed.
+    An alignment leaves out an agreeing word behind an altered one, as both weigh the same."""
+    a, b, x, y = ends
+    left = ALTERED
+    while of_word[b] - of_word[a] + 1 < needed:
+        before = next((k for k in range(1, min(a, x, left + 1) + 1) if item[a - k] == doc[x - k]), 0)
+        after = next((k for k in range(1, min(len(item) - 1 - b, len(doc) - 1 - y, left + 1) + 1) if item[b + k] == doc[y + k]), 0)
+        if before and (before <= after or not after):
+            a, x, left = a - before, x - before, left - before + 1
+        elif after:
+            b, y, left = b + after, y + after, left - after + 1
+        else:
+            break
+    return a, b, x, y
 
 
 class Seeds:
@@ -247,8 +266,11 @@ class Items:
         self.offset = np.cumsum([0, *(len(c) + 1 for c in self.codes)])
         self.sums = np.concatenate([np.r_[0, np.cumsum(t)] for t in self.figures] or [np.zeros(1)])
         self.least = np.array([min(FIGURES, 0.15 * t.sum()) for t in self.figures])
+        self.start = np.cumsum([0, *(len(c) for c in self.codes)])
+        self.flat, self.word, self.figure = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (self.codes, self.of_word, self.figures))
+        self.parts = np.array([(np.searchsorted(w, w + 20) - np.arange(len(w))).max() for w in self.of_word])
         self.reduced = np.array([0, 1, *(self.wild if w[0] == WILD else c for w, c in self.vocabulary.items())])
-        self.seeds = Seeds(phrases(self.codes, range(len(self.codes)), SEED), SEED)
+        self.seeds = Seeds(phrases(self.codes, range(len(self.codes)), SHORT), SHORT)
         tells = lambda s: (wild := s.count(self.wild)) < 3 or wild == 3 and max(figure[s]) == 1
         lettered = [k for k, c in enumerate(self.codes) if (self.reduced[c] != c).any()]
         self.damaged = Seeds(phrases([self.reduced[c] for c in self.codes], lettered, SEED, tells), SEED)
@@ -258,6 +280,44 @@ class Items:
         return np.where(code == self.wild, 0.5, 1.0)
 
 
+def places(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each, so many."""
+    return np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+
+
+def plausible(items: Items, which: np.ndarray, codes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which of the candidates (item, first and last diagonal) have 20 words of the item, or 30, that can agree as well as
+    holds() wants, with 0.4 of the figures among them. A word agrees if all its parts are near the diagonals."""
+    order = np.argsort(low - high, kind="stable")  # the widest first
+    item, low, width = which[order], low[order], (high - low)[order]
+    size = items.start[item + 1] - items.start[item]
+    flat = places(items.start[item], size)
+    want, at, same = items.flat[flat], places(low, size), np.zeros(len(flat), bool)
+    ends = np.cumsum(size)
+    for step in range(-ALTERED - 1, int(width[0]) + ALTERED + 2):
+        n = ends[np.count_nonzero(width >= step - ALTERED - 1) - 1]
+        same[:n] |= codes[np.clip(at[:n] + step, 0, len(codes) - 1)] == want[:n]
+    count = np.array([w[-1] + 1 for w in items.of_word])[item]
+    first = np.r_[0, np.cumsum(count)[:-1]]
+    word = items.word[flat] + np.repeat(first, size)
+    whole = np.ones(count.sum(), np.int64)
+    whole[word[~same]] = 0
+    figure = items.figure[flat]
+    sums = [np.r_[0, np.bincount(word, w, len(whole)).cumsum()] for w in (figure, figure * same)]
+    total, good = np.r_[0, whole.cumsum()], np.zeros(len(item), bool)
+    for n, least in ((20, 20 - ALTERED), (30, 22)):
+        length = np.minimum(count, n) if n == 20 else np.where(count >= n, n, count + 1)
+        begin = places(first, count - length + 1)
+        of = np.repeat(np.arange(len(item)), count - length + 1)
+        end = begin + length[of]
+        fits = total[end] - total[begin] >= (length - n + least)[of]
+        fits &= sums[1][end] - sums[1][begin] >= 0.4 * (sums[0][end] - sums[0][begin]) - 1e-9
+        good[of[fits]] = True
+    out = np.empty(len(item), bool)
+    out[order] = good
+    return out
+
+
 def candidates(items: Items, seeds: Seeds, codes: np.ndarray, doc_of: np.ndarray, doc_start: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(doc, item, first, last word of the doc to align) by the shard's FM-index. Words 1 are the documents' ends,
     word 0 what no item has; the last is the shard's own end."""
@@ -286,7 +346,20 @@ def candidates(items: Items, seeds: Seeds, codes: np.ndarray, doc_of: np.ndarray
     figures = np.bincount(p, items.sums[base + a + seeds.length] - items.sums[base + begin], minlength=len(starts))
     covered = np.bincount(p, a + seeds.length - begin, minlength=len(starts))
     least = np.minimum(COVER, np.array([len(c) for c in items.codes])[item[starts]] // 2)
-    for k in np.flatnonzero((covered >= least) & (figures >= items.least[item[starts]]) | (covered >= ENOUGH)):
+    loose = seeds.length == SHORT
+    if loose:  # what the hits cover from each of them on, in as many parts as 20 words of the item have
+        place = p * (1 << 32) + a
+        until = np.searchsorted(place, place + items.parts[item[span]] - seeds.length, "right")
+        total = np.r_[0, np.cumsum(a + seeds.length - begin)]
+        near = total[until] - total[:-1] + begin - a
+        some = np.minimum(SOME, np.array([len(c) for c in items.codes])[item[starts]] // 2)
+        good = np.flatnonzero(np.maximum.reduceat(near, np.flatnonzero(fresh)) >= some)
+        ends = np.r_[starts[1:], len(doc)][good] - 1  # in order of the diagonals
+        if len(good):
+            good = good[plausible(items, item[starts[good]], codes, diagonal[starts[good]], diagonal[ends])]
+    else:
+        good = np.flatnonzero((covered >= least) & (figures >= items.least[item[starts]]) | (covered >= ENOUGH))
+    for k in good:
         s = starts[k]
         e = starts[k + 1] if k + 1 < len(starts) else len(doc)
         n = len(items.codes[item[s]])
@@ -307,6 +380,7 @@ def _search(sent, min_words: int, least: float):
                 a, b, x, y = align(code, codes[lo:hi], items.weight(code), penalty)
                 if b < a:
                     break
+                a, b, x, y = stretch(code, codes[lo:hi], items.of_word[i], (a, b, x, y), items.needed[i])
                 same, figures = agreement(code[a : b + 1], codes[lo + x : lo + y + 1], items.of_word[i][a : b + 1], items.figures[i][a : b + 1])
                 n = int(items.of_word[i][b] - items.of_word[i][a]) + 1
                 if n >= items.needed[i] and holds(n, same, figures, least):
@@ -340,7 +414,7 @@ def _search(sent, min_words: int, least: float):
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 found = spelled(text) if text else []
-                if len(found) >= SEED:
+                if len(found) >= SHORT:
                     rows.append((key, text, found))
                     size += len(found) + 1
                 if size >= SHARD:
@@ -358,7 +432,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = 20, leas
     characters span_start to span_end of the document, once per pair that leaks.
 
     Null, empty and very short texts hold nothing; an item shorter than min_words must be there as a whole, one
-    shorter than SEED words is never found. Copies of a document leak each. A text longer than SHARD is a shard of
+    shorter than SHORT words is never found. Copies of a document leak each. A text longer than SHARD is a shard of
     its own and is read whole. Items go to every task: more than max_items are refused, in place of a plan that
     breaks. Other columns are not read."""
     spark = documents.sparkSession

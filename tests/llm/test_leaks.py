@@ -71,3 +71,16 @@ def test_other_scripts_are_found_word_for_word_and_damaged(spark):
     got = {(r["doc_id"], r["item_id"]): r for r in leaks.collect()}
     assert set(got) == {(0, 0), (3, 1), (5, 2)}
     assert docs[0][got[0, 0]["span_start"] : got[0, 0]["span_end"]] == " ".join(w[15:35])
+
+
+def test_three_altered_words_in_twenty(spark):
+    rng = random.Random(11)
+    item = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) if k % 5 else str(rng.randrange(1000, 9999)) for k in range(60))
+    w, docs = item.split(), []
+    for altered in ((1, 7, 18), (4, 9, 14), (6, 11, 17), (1, 2, 3), (16, 17, 18), (1, 7, 13, 16), (1, 4, 8, 12, 17)):  # every fifth from 0 on is a figure
+        own = w[20:40]
+        for k in altered:
+            own[k] = "zz" + "qrstuv"[k % 6] * 3
+        docs.append(sentence(rng, 40) + " " + " ".join(own) + " " + sentence(rng, 40))
+    found = find_leaks(spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(docs)], DOC), spark.createDataFrame([(0, item, 1)], ITEM))
+    assert {r["doc_id"] for r in found.collect()} == {0, 1, 2, 3, 4}
