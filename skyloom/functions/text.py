@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def clean_float(x: Column) -> Column:
-    """A double; what is no number is null."""
+    """A double; what is no number is null, so are Java's literals with a type letter (1d, 2f) or in hexadecimal."""
     y = x.try_cast("double")
-    return F.when(~F.isnan(y), y)
+    return F.when(~F.isnan(y) & ~x.cast("string").rlike(r"[0-9.][dDfF]\s*$|0[xX]"), y)
 
 
 def reduction_status(level: Column) -> Column:

@@ -47,6 +47,8 @@ SKEY = r"lower(regexp_replace(regexp_replace(trim({x}), '^(NAME|\*)\s+', '', 'i'
 # names and labels
 simple("f01_match_key", h, lambda: {"id": C("id"), "k": names.match_key(C("raw_target_name"))}, f"SELECT id, {key_sql('raw_target_name')} AS k FROM spectroscopy_holdings WHERE raw_target_name SIMILAR TO '[ -~]*'", "raw_target_name RLIKE '^[ -~]*$'")
 simple("f02_search_key", h, lambda: {"id": C("id"), "k": names.search_key(C("raw_target_name"))}, f"SELECT id, {SKEY.format(x='raw_target_name')} AS k FROM spectroscopy_holdings WHERE raw_target_name SIMILAR TO '[ -~]*'", "raw_target_name RLIKE '^[ -~]*$'")
+simple("f01_match_key_all", h, lambda: {"id": C("id"), "k": names.match_key(C("raw_target_name"))}, None)
+simple("f02_search_key_all", h, lambda: {"id": C("id"), "k": names.search_key(C("raw_target_name"))}, None)
 simple("f03_common_name", s, lambda: {"star_id": C("star_id"), "label": D.label()}, f"SELECT star_id, {LABEL} AS label FROM stars")
 simple("f04_known_as", s, lambda: {"star_id": C("star_id"), "label": names.known_as(C("name_aliases"), C("input_name"), C("gaia_source_id"))}, f"SELECT star_id, {KNOWN} AS label FROM stars")
 simple("f05_julian_year", h, lambda: {"id": C("id"), "y": F.round(geo.julian_year(C("obs_date")), 8)}, f"SELECT id, round({YEAR}, 8) AS y FROM spectroscopy_holdings")
@@ -250,6 +252,7 @@ def u03(spark, d):
 
 # idioms of the connectors
 simple("x01_clean_float", h, lambda: {"id": C("id"), "x": text.clean_float(C("archive_obs_id"))}, "SELECT id, CASE WHEN isnan(x) THEN NULL ELSE x END AS x FROM (SELECT id, try_cast(archive_obs_id AS DOUBLE) AS x FROM spectroscopy_holdings WHERE regexp_full_match(archive_obs_id, '[0-9]*|[a-z]{2}[0-9][a-z0-9]*|[A-Z].*'))", "archive_obs_id RLIKE '^([0-9]*|[a-z]{2}[0-9][a-z0-9]*|[A-Z].*)$'")
+simple("x01_clean_float_all", h, lambda: {"id": C("id"), "x": text.clean_float(C("archive_obs_id"))}, "SELECT id, CASE WHEN isnan(x) THEN NULL ELSE x END AS x FROM (SELECT id, try_cast(archive_obs_id AS DOUBLE) AS x FROM spectroscopy_holdings)")
 simple("x02_reduction_status", h, lambda: {"id": C("id"), "x": text.reduction_status((C("id") % 4).cast("string"))}, "SELECT id, CASE WHEN id % 4 <= 1 THEN 'raw' ELSE 'reduced' END AS x FROM spectroscopy_holdings")
 simple("x03_mjd_date", h, lambda: {"id": C("id"), "x": text.mjd_date(40000 + (C("id") % 20000) + 0.7)}, "SELECT id, DATE '1858-11-17' + (40000 + id % 20000)::INT AS x FROM spectroscopy_holdings")
 simple("x04_jd_date", h, lambda: {"id": C("id"), "x": text.jd_date(2440000.5 + (C("id") % 20000).cast("double"))}, "SELECT id, DATE '1858-11-17' + (40000 + id % 20000)::INT AS x FROM spectroscopy_holdings")
@@ -300,7 +303,15 @@ def x17(spark, d):
 
 @query("x18_flexible_date", "SELECT id, obs_date AS x FROM spectroscopy_holdings WHERE year(obs_date) BETWEEN 1960 AND 2049")
 def x18(spark, d):
-    rows = h(spark, d).filter("year(obs_date) BETWEEN 1960 AND 2049")
+    return flexible_dates(h(spark, d).filter("year(obs_date) BETWEEN 1960 AND 2049"))
+
+
+@query("x18_flexible_date_all")
+def x18_all(spark, d):
+    return flexible_dates(h(spark, d))
+
+
+def flexible_dates(rows: DataFrame) -> DataFrame:
     iso, short = F.date_format("obs_date", "yyyy-MM-dd"), F.date_format("obs_date", "dd/MM/yy")
     typed = F.when(C("id") % 3 == 0, iso).when(C("id") % 3 == 1, short).otherwise("?")
     return rows.select("id", text.flexible_date(typed, F.concat(F.lit("w"), F.date_format("obs_date", "yyyyMMdd"), F.lit(".fit"))).alias("x"))
