@@ -5,7 +5,7 @@ live client would take the recorded table's place. What orders and resumes depen
 class:
 
 W, T, V, A, O: compound mark (time, id) in one comparison, so rows that tie on the time at a page's edge are
-neither lost nor read twice; V and A read half-open windows of that time, and step over empty ones, A halving
+neither lost nor read twice; V and A read half-open windows of that time, and jump over gaps to the next mark, A halving
 a window that overflows and widening after one that doesn't.
 I, R, P, L: the id, row, page or list position alone.
 M: one mark per instrument.
@@ -28,7 +28,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 from skyloom.sources.catalog import ARCHIVES, RAW_OBSERVATION
 
 FIELDS = [x.split(" ")[0] for x in RAW_OBSERVATION.split(", ")]
-NARROWEST, WIDEST, MOST_WINDOWS = 1, 365, 60
+NARROWEST, WIDEST = 1, 365
 
 
 def _records(table: pa.Table) -> Iterator[tuple]:
@@ -76,18 +76,15 @@ def next_page(log: Log, paging: str, cursor: dict, size: int, width: float = 7.0
     if paging in "VA" and len(log.table):
         first, last = log.table["mark"][0].as_py(), log.table["mark"][-1].as_py()
         start, width = cursor.get("start", first), cursor.get("width", width)
-        for _ in range(MOST_WINDOWS):
-            if start > last:
-                break
+        while start <= last:
             page = log.window(start, start + width)
             if paging == "A" and len(page) >= size and width > NARROWEST:
                 width = max(width / 2, NARROWEST)
                 continue
-            start += width
             if len(page):
                 grown = min(width * 2, WIDEST) if paging == "A" else width
-                return page, {"start": start, "width": grown}
-            width = min(width * 4, WIDEST) if paging == "A" else width
+                return page, {"start": start + width, "width": grown}
+            start = pc.min(log.window(start + width, float("inf"))["mark"]).as_py()  # the first mark behind the gap
         return log.table.slice(0, 0), {"start": start, "width": width}
     page = log.after(cursor.get("mark"), cursor.get("id"), size)
     return (page, {"mark": page["mark"][-1].as_py(), "id": page["archive_obs_id"][-1].as_py()}) if len(page) else (page, cursor)

@@ -49,18 +49,19 @@ def write_batch(spark: SparkSession, path: str, stars: DataFrame):
     return sink
 
 
-def drain(stream: DataFrame, sink, checkpoint: str, most_runs: int = 1000) -> int:
+def drain(stream: DataFrame, sink, checkpoint: str, most_runs: int | None = None) -> int:
     """Runs the stream page by page until a run has nothing new; gives the number of pages. Its checkpoint holds
-    the cursor: the same folder resumes, a new one walks the whole history again."""
+    the cursor: the same folder resumes, a new one walks the whole history again. Where most_runs is given and runs out before, it raises."""
     pages = 0
-    for _ in range(most_runs):
+    while True:
         q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         q.awaitTermination()
         done = sum(p["numInputRows"] for p in q.recentProgress)
         if not done:
-            break
+            return pages
         pages += 1
-    return pages
+        if pages == most_runs:
+            raise RuntimeError(f"not drained after {pages} pages; the checkpoint resumes")
 
 
 def period_counts(stream: DataFrame) -> DataFrame:
