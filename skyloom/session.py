@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,13 +23,15 @@ def get_session(master: str = "local[*]", app: str = "skyloom", **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach. The cluster names it in spark.checkpoint.dir; only where
-    that is unset (tests, one machine) is a temporary one made."""
+    """The folder every executor can reach. The cluster names it in spark.checkpoint.dir; where that is unset, a
+    session on one machine makes a temporary one, and a session on a cluster is refused."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if at is None and sc._jsc.sc().getCheckpointDir().isDefined():
         at = sc._jsc.sc().getCheckpointDir().get()
     if at is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="skyloom-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(at)

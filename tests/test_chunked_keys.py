@@ -3,7 +3,7 @@ from itertools import groupby
 
 from pyspark.sql import functions as F
 
-from skyloom.operators.chunked_keys import key_sequences, number_rows
+from skyloom.operators.chunked_keys import _pieces, key_sequences, number_rows
 
 SCHEMA = "k string, t bigint, id bigint, v string, _key string, n_rows string"
 
@@ -28,13 +28,13 @@ def test_uneven_keys_against_brute_force(spark):
     rng = random.Random(4)
     rows = [("hot" if rng.random() < 0.7 else rng.choice(["a", "b", None]), rng.choice([None, *range(40)]), i, rng.choice(["p", "q", None])) for i in range(900)]
     rows += rows[:50]  # repeated rows count each
-    assert run(spark, rows, chunk_rows=37, slices=5) == brute(rows)
-    assert run(spark, rows, chunk_rows=10_000, slices=2) == brute(rows)
+    assert run(spark, rows, chunk_rows=37, most_ranges=5) == brute(rows)
+    assert run(spark, rows, chunk_rows=10_000) == brute(rows)
 
 
 def test_many_chunks_merge_in_two_levels(spark):
     rows = [("k", i, i, "pq"[i % 2]) for i in range(3000)]
-    assert run(spark, rows, chunk_rows=2, slices=4) == {"k": (3000, 2999, 1, 0, 2999, "p", "q")}
+    assert run(spark, rows, chunk_rows=2, most_ranges=40) == {"k": (3000, 2999, 1, 0, 2999, "p", "q")}
 
 
 def test_empty_single_and_tied(spark):
@@ -45,5 +45,16 @@ def test_empty_single_and_tied(spark):
 
 def test_numbers_are_exact(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("k"), F.col("id"))
-    got = number_rows(df, ["k"], [F.col("id")], slices=7).select("_key.k", "id", "_number").collect()
+    got = number_rows(df, ["k"], [F.col("id")], chunk_rows=70).select("_key.k", "id", "_number").collect()
     assert all(r["_number"] == r["id"] // 3 for r in got) and len(got) == 500
+
+
+def test_one_time_value_with_most_rows_is_cut(spark):
+    """Nine tenths of the rows share key and time: no window partition exceeds chunk_rows, with few ranges as well."""
+    df = spark.range(5000).select(F.struct(F.when(F.col("id") % 10 > 0, "hot").otherwise("cold").alias("k0")).alias("_key"), F.lit(7).alias("_at"), F.col("id").alias("_tie"))
+    for ranges in (3, 1000):
+        sizes = _pieces(df, [F.col("_at"), F.col("_tie")], 100, ranges).groupBy("_key", "_piece").count()
+        assert sizes.agg(F.max("count"), F.sum("count")).first()[:] == (100, 5000)
+    rows = [("hot" if i % 10 else None, 7, i, "pq"[i // 3 % 2]) for i in range(1000)]
+    assert run(spark, rows, chunk_rows=20) == brute(rows)
+    assert run(spark, rows, chunk_rows=20, most_ranges=2) == brute(rows)
