@@ -1,18 +1,21 @@
 """Neighbours and containing regions on the sphere.
 
-Method: a bounded sample of all positions shapes a quadtree over (ra, dec); its leaves are the partitions, so
-dense sky gets small leaves. A position belongs to the one leaf that holds it; a star is also copied to every
-leaf its search circle touches, and a region to every leaf its limits touch. Each leaf bulk-loads R-trees,
+Method: a sample of all positions, in proportion to the rows, shapes a quadtree over (ra, dec); its leaves are the
+partitions, so dense sky gets small leaves. A position belongs to the one leaf that holds it; a star is also copied to
+every leaf its search circle touches, and a region to every leaf its limits touch. Each leaf bulk-loads R-trees,
 probes them with its positions, and refines the candidates exactly. A pair is reported only by the leaf that
 owns its reference point, the probing position (of two stars the one with the smaller id), so none comes twice.
 
-A leaf that stays too heavy at the greatest depth, because many rows lie at one place, is divided: its probing
-rows are spread over several tasks by hash, each with a copy of the leaf's stars and regions. The sample only
-shapes the partitions. Every row is joined, whatever the sample holds.
+A leaf that stays too heavy at the greatest depth, because many rows lie at one place, is divided into a grid of
+tasks: its probing rows are dealt to the grid's rows and its stars to the grid's columns, so each pair of the two meets
+in just one task and both sides of a task are bounded. Regions go to the first column. The sample only shapes the
+partitions. Every row is joined, whatever the sample holds. Where a place holds many rows and many stars within the
+radius, all their pairs are results, and their number is the product.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,9 +26,8 @@ from pyspark.sql import functions as F
 
 from skyloom.operators.rtree import RTree
 
-DEPTH = 12  # cells of 0.044 degrees of declination and 0.088 of right ascension at the greatest depth
-SIDE = 1 << DEPTH
-CELL_RA, CELL_DEC = 360.0 / SIDE, 180.0 / SIDE
+DEEPEST = 14  # cells of 0.011 degrees of declination and 0.022 of right ascension
+PER_LEAF = 50  # sampled positions in a full leaf
 
 
 def unit(ra: np.ndarray, dec: np.ndarray) -> np.ndarray:
@@ -40,43 +42,68 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def cells(ra: np.ndarray, dec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    col = np.clip(np.floor(ra / CELL_RA).astype(np.int64), 0, SIDE - 1)
-    row = np.clip(np.floor((dec + 90) / CELL_DEC).astype(np.int64), 0, SIDE - 1)
-    return col, row
-
-
 def morton(col: np.ndarray, row: np.ndarray) -> np.ndarray:
     return _spread(col) | (_spread(row) << 1)
 
 
 @dataclass(frozen=True)
 class QuadTree:
-    """Leaves in Morton order: first code and depth of each, and over how many tasks its probing rows go."""
+    """Leaves in Morton order at a depth of at most `deepest`: first code and depth of each, and the grid of tasks
+    that share it, so many rows for the probing positions and columns for the stars."""
 
+    deepest: int
     start: np.ndarray
     depth: np.ndarray
-    salts: np.ndarray
+    rows: np.ndarray
+    columns: np.ndarray
+
+    @property
+    def side(self) -> int:
+        return 1 << self.deepest
 
     @classmethod
-    def fit(cls, ra: np.ndarray, dec: np.ndarray, cap: float, max_leaves: int = 20_000) -> QuadTree:
-        """Splits nodes with more than `cap` sampled positions, the heaviest level by level."""
-        codes = np.sort(morton(*cells(ra, dec))) if len(ra) else np.zeros(0, np.int64)
-        todo, done = [(0, 0)], []
-        while todo:
-            code, depth = todo.pop()
-            size = 1 << (2 * (DEPTH - depth))
-            n = np.searchsorted(codes, code + size) - np.searchsorted(codes, code)
-            if n > cap and depth < DEPTH and len(todo) + len(done) < max_leaves:
-                todo += [(code + i * (size >> 2), depth + 1) for i in range(4)]
+    def fit(cls, ra: np.ndarray, dec: np.ndarray, star: np.ndarray, cap: float, radius: float) -> QuadTree:
+        """Splits the heaviest node until none weighs more than `cap` or can be split. A sampled position weighs 1, one of
+        a star 2, as a star is also copied. Cells are no smaller than the circles of `radius` degrees."""
+        deepest = int(np.clip(np.floor(np.log2(90 / max(radius, 1e-9))), 1, DEEPEST))
+        tree = cls(deepest, *(np.zeros(1, np.int64),) * 4)
+        codes = tree.codes(ra, dec)
+        order = np.argsort(codes, kind="stable")
+        codes = codes[order]
+        stars = np.r_[0, np.cumsum(star[order])]
+        spans = {d: 1 << (2 * (deepest - d)) for d in range(deepest + 1)}
+
+        def node(code: int, depth: int) -> tuple:
+            lo, hi = np.searchsorted(codes, (code, code + spans[depth]))
+            n_stars = int(stars[hi] - stars[lo])
+            return (-(int(hi - lo) + n_stars), code, depth, int(hi - lo), n_stars)
+
+        heap, done = [node(0, 0)], []
+        while heap:
+            weight, code, depth, n, n_stars = heapq.heappop(heap)
+            if -weight > cap and depth < deepest:
+                for i in range(4):
+                    heapq.heappush(heap, node(code + i * spans[depth + 1], depth + 1))
+                continue
+            if -weight <= cap:
+                done.append((code, depth, 1, 1))
+            elif n_stars <= cap / 2:
+                done.append((code, depth, int(np.ceil(n / (cap - n_stars))), 1))
             else:
-                done.append((code, depth, max(1, int(np.ceil(n / max(cap, 1))))))
+                done.append((code, depth, int(np.ceil(2 * n / cap)), int(np.ceil(2 * n_stars / cap))))
         done.sort()
-        start, depth, salts = (np.array(x, np.int64) for x in zip(*done))
-        return cls(start, depth, salts)
+        return cls(deepest, *(np.array(x, np.int64) for x in zip(*done)))
 
-    def leaf(self, col: np.ndarray, row: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.start, morton(col, row), side="right") - 1
+    def cells(self, ra: np.ndarray, dec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        column = np.clip(np.floor(ra / 360 * self.side).astype(np.int64), 0, self.side - 1)
+        row = np.clip(np.floor((dec + 90) / 180 * self.side).astype(np.int64), 0, self.side - 1)
+        return column, row
+
+    def codes(self, ra: np.ndarray, dec: np.ndarray) -> np.ndarray:
+        return morton(*self.cells(ra, dec)) if len(ra) else np.zeros(0, np.int64)
+
+    def leaf(self, codes: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.start, codes, side="right") - 1
 
     def circles(self, ra: np.ndarray, dec: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
         """(point, leaf) for every leaf that the circle of `radius` degrees about each point may touch."""
@@ -84,34 +111,38 @@ class QuadTree:
         with np.errstate(invalid="ignore", divide="ignore"):
             dra = np.degrees(np.arcsin(np.sin(np.radians(r)) / np.cos(np.radians(dec))))
         whole = ~(np.abs(dec) + r < 90) | ~np.isfinite(dra)
-        lo_c, hi_c = np.floor((ra - dra) / CELL_RA), np.floor((ra + dra) / CELL_RA)
-        lo_c, hi_c = np.where(whole, 0, lo_c).astype(np.int64), np.where(whole, SIDE - 1, hi_c).astype(np.int64)
-        lo_r = cells(ra, np.maximum(dec - r, -90))[1]
-        hi_r = cells(ra, np.minimum(dec + r, 90))[1]
-        wide, high = np.minimum(hi_c - lo_c + 1, SIDE), hi_r - lo_r + 1
+        lo_c, hi_c = (np.floor((ra + d) / 360 * self.side) for d in (-dra, dra))
+        lo_c, hi_c = np.where(whole, 0, lo_c).astype(np.int64), np.where(whole, self.side - 1, hi_c).astype(np.int64)
+        lo_r, hi_r = self.cells(ra, np.maximum(dec - r, -90))[1], self.cells(ra, np.minimum(dec + r, 90))[1]
+        wide, high = np.minimum(hi_c - lo_c + 1, self.side), hi_r - lo_r + 1
         n = wide * high
         at = np.repeat(np.arange(len(ra)), n)
         k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        leaf = self.leaf((lo_c[at] + k % wide[at]) % SIDE, lo_r[at] + k // wide[at])
+        leaf = self.leaf(morton((lo_c[at] + k % wide[at]) % self.side, lo_r[at] + k // wide[at]))
         pairs = np.unique(np.stack([at, leaf], axis=1), axis=0)
         return pairs[:, 0], pairs[:, 1]
 
     def boxes(self, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(box, leaf) for rows (ra_min, ra_max, dec_min, dec_max) with ra_min <= ra_max."""
-        col = np.zeros(len(self.start), np.int64)
-        row = np.zeros(len(self.start), np.int64)
-        for bit in range(DEPTH):
-            col |= ((self.start >> (2 * bit)) & 1) << bit
+        column, row = np.zeros(len(self.start), np.int64), np.zeros(len(self.start), np.int64)
+        for bit in range(self.deepest):
+            column |= ((self.start >> (2 * bit)) & 1) << bit
             row |= ((self.start >> (2 * bit + 1)) & 1) << bit
-        size = 1 << (DEPTH - self.depth)
-        ra0, dec0 = col * CELL_RA, row * CELL_DEC - 90
-        ra1, dec1 = (col + size) * CELL_RA, (row + size) * CELL_DEC - 90
+        size = 1 << (self.deepest - self.depth)
+        ra0, dec0 = column * 360 / self.side, row * 180 / self.side - 90
+        ra1, dec1 = (column + size) * 360 / self.side, (row + size) * 180 / self.side - 90
         found = [
-            (i, np.flatnonzero((ra0 <= b + 1e-9) & (ra1 >= a - 1e-9) & (dec0 <= d + 1e-9) & (dec1 >= c - 1e-9)))
-            for i, (a, b, c, d) in enumerate(limits)
+            np.flatnonzero((ra0 <= b + 1e-9) & (ra1 >= a - 1e-9) & (dec0 <= d + 1e-9) & (dec1 >= c - 1e-9)) for a, b, c, d in limits
         ]
-        at = np.concatenate([np.full(len(x), i) for i, x in found] or [np.zeros(0, int)]).astype(np.int64)
-        return at, np.concatenate([x for _, x in found] or [np.zeros(0, int)]).astype(np.int64)
+        at = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        return at.astype(np.int64), np.concatenate([*found, np.zeros(0, int)]).astype(np.int64)
+
+
+def region(shape: int, v: np.ndarray) -> dict:
+    """A routed region (CIRCLE or BOX and its four numbers) by the names of its limits."""
+    if shape == CIRCLE:
+        return {"shape": "circle", "center_ra": v[0], "center_dec": v[1], "radius_deg": v[2]}
+    return {"shape": "box", "ra_min": v[0], "dec_min": v[1], "ra_max": v[2], "dec_max": v[3]}
 
 
 def region_limits(r: dict) -> list[tuple[float, float, float, float]]:
@@ -144,39 +175,72 @@ def _holds(r: dict, ra: np.ndarray, dec: np.ndarray) -> np.ndarray:
     return in_dec & (((ra >= r["ra_min"]) & (ra <= r["ra_max"])) | ((ra == 0) & (r["ra_max"] == 360)))
 
 
-ROUTED = "leaf int, salt int, kind int, id bigint, ra double, dec double"
+ROUTED = "leaf int, part int, kind int, id bigint, ra double, dec double, x double, y double"
 PAIR = "kind string, id_a bigint, id_b bigint"
-STAR_PROBE, ROW_PROBE, STAR, FIELD = range(4)
+STAR_PROBE, ROW_PROBE, STAR, CIRCLE, BOX = range(5)
+
+
+def _batch(leaf, part, kind, key, ra, dec, x=None, y=None) -> pa.RecordBatch:
+    none = pa.nulls(len(leaf), pa.float64())
+    small = [pa.array(c.astype(np.int32)) for c in (leaf, part, kind)]
+    return pa.RecordBatch.from_arrays(
+        [*small, pa.array(key), pa.array(ra), pa.array(dec), none if x is None else pa.array(x), none if y is None else pa.array(y)],
+        names=["leaf", "part", "kind", "id", "ra", "dec", "x", "y"],
+    )
+
+
+def _deal(key: np.ndarray, salt: int, n: np.ndarray) -> np.ndarray:
+    return ((key ^ salt) * np.int64(-7046029254386353131) >> 33) % n
 
 
-def _router(tree: QuadTree, radius: float, copies: tuple[int, ...]):
-    """Positions (kind, id, ra, dec) to the leaves they probe in, and those of kind STAR_PROBE, when `copies`
-    has it, also as STAR to all leaves near them."""
+def _copies(tree: QuadTree, leaf: np.ndarray, first: np.ndarray, times: np.ndarray, by_row: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(index, part) of `times` copies of each, along the row `first` of its leaf's grid or along the column."""
+    at = np.repeat(np.arange(len(leaf)), times)
+    k = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+    columns = tree.columns[leaf[at]]
+    return at, first[at] * columns + k if by_row else k * columns + first[at]
+
+
+def _router(sent, radius: float):
+    """Positions (kind, id, ra, dec) to the leaves they probe in, and stars also as STAR to all leaves near them."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = QuadTree(*sent.value)
         for batch in batches:
             kind, key, ra, dec = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            leaf = tree.leaf(*cells(ra, dec))
-            salt = np.abs(key * np.int64(-7046029254386353131) >> 33) % tree.salts[leaf]
-            out = [(leaf, salt, kind, key, ra, dec)]
-            if copies:
-                own = np.flatnonzero(kind == STAR_PROBE)
-                at, to = tree.circles(ra[own], dec[own], radius)
-                times = tree.salts[to]
-                at, to = np.repeat(own[at], times), np.repeat(to, times)
-                salt = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-                out.append((to, salt, np.full(len(at), STAR, kind.dtype), key[at], ra[at], dec[at]))
-            for x in out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[0].astype(np.int32)), pa.array(x[1].astype(np.int32)), pa.array(x[2].astype(np.int32)), pa.array(x[3]), pa.array(x[4]), pa.array(x[5])],
-                    names=["leaf", "salt", "kind", "id", "ra", "dec"],
-                )
+            leaf = tree.leaf(tree.codes(ra, dec))
+            at, part = _copies(tree, leaf, _deal(key, 0, tree.rows[leaf]), tree.columns[leaf], True)
+            yield _batch(leaf[at], part, kind[at], key[at], ra[at], dec[at])
+            own = np.flatnonzero(kind == STAR_PROBE)
+            star, to = tree.circles(ra[own], dec[own], radius)
+            star = own[star]
+            at, part = _copies(tree, to, _deal(key[star], 0x5DEECE66D, tree.columns[to]), tree.rows[to], False)
+            star = star[at]
+            yield _batch(to[at], part, np.full(len(at), STAR), key[star], ra[star], dec[star])
 
     return route
 
 
-def _leaf_join(regions: list[dict], radius: float):
-    """All pairs of one leaf (or of one share of a leaf's probing rows)."""
+def _region_router(sent):
+    """Regions (shape, id and four numbers) to all leaves that their limits touch."""
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = QuadTree(*sent.value)
+        for batch in batches:
+            kind, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            v = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(2, 6)], axis=1)
+            limits = [(i, x) for i in range(len(key)) for x in region_limits(region(kind[i], v[i]))]
+            box, leaf = tree.boxes(np.array([x for _, x in limits]).reshape(-1, 4))
+            pairs = np.unique(np.stack([np.array([i for i, _ in limits], np.int64)[box], leaf], axis=1), axis=0)
+            at, part = _copies(tree, pairs[:, 1], np.zeros(len(pairs), np.int64), tree.rows[pairs[:, 1]], False)
+            of, leaf = pairs[at, 0], pairs[at, 1]
+            yield _batch(leaf, part, kind[of], key[of], *(v[of, i] for i in range(4)))
+
+    return route
+
+
+def _leaf_join(radius: float):
+    """All pairs of one leaf (or of one task of a divided leaf)."""
     chord = 2 * np.sin(np.radians(radius) / 2)
 
     def join(table: pa.Table) -> pa.Table:
@@ -197,11 +261,12 @@ def _leaf_join(regions: list[dict], radius: float):
             q, s = q[~rows], s[~rows]
             first = pid[q] < sid[s]  # the smaller id's own place is the pair's reference point
             add("star_star", pid[q[first]], sid[s[first]])
-        here = np.unique(key[kind == FIELD])
-        rows = kind == ROW_PROBE
+        here, rows = np.flatnonzero(kind >= CIRCLE), kind == ROW_PROBE
         if len(here) and rows.any():
             rid, rra, rdec = key[rows], ra[rows], dec[rows]
-            limits = [(i, x) for i in here for x in region_limits(regions[i])]
+            more = np.stack([ra, dec, *(table.column(c).to_numpy() for c in "xy")], axis=1)
+            regions = [region(kind[i], more[i]) for i in here]
+            limits = [(i, x) for i, r in enumerate(regions) for x in region_limits(r)]
             lo = np.array([(x[0], x[2]) for _, x in limits]) - 1e-9
             hi = np.array([(x[1], x[3]) for _, x in limits]) + 1e-9
             of, at = np.array([i for i, _ in limits]), np.stack([rra, rdec], axis=1)
@@ -212,7 +277,7 @@ def _leaf_join(regions: list[dict], radius: float):
                 for i in np.unique(pairs[:, 1]):
                     mine = pairs[pairs[:, 1] == i, 0]
                     mine = mine[_holds(regions[i], rra[mine], rdec[mine])]
-                    add("row_field", rid[mine], np.full(len(mine), regions[i]["field_id"], np.int64))
+                    add("row_field", rid[mine], np.full(len(mine), key[here[i]], np.int64))
         if not kinds:
             return pa.table({"kind": pa.array([], pa.string()), "id_a": pa.array([], pa.int64()), "id_b": pa.array([], pa.int64())})
         return pa.table({"kind": pa.array(np.concatenate(kinds), pa.string()), "id_a": pa.array(np.concatenate(a), pa.int64()), "id_b": pa.array(np.concatenate(b), pa.int64())})
@@ -229,36 +294,42 @@ def _positions(df: DataFrame, kind: int, key: str, ra: str, dec: str) -> DataFra
     )
 
 
+def _regions(df: DataFrame) -> DataFrame:
+    """(shape, id, four numbers) of the regions that have all their numbers."""
+    circle, box = F.col("shape") == "circle", F.col("shape") == "box"
+    pairs = {"ra": ("center_ra", "ra_min"), "dec": ("center_dec", "dec_min"), "x": ("radius_deg", "ra_max"), "y": (None, "dec_max")}
+    numbers = [F.when(circle, F.col(a) if a else F.lit(0.0)).otherwise(F.col(b)).cast("double").alias(n) for n, (a, b) in pairs.items()]
+    listed = df.filter(circle | box).select(F.when(circle, CIRCLE).otherwise(BOX).alias("kind"), F.col("field_id").cast("bigint").alias("id"), *numbers)
+    for c in ("ra", "dec", "x", "y"):
+        listed = listed.filter(F.col(c).isNotNull() & ~F.isnan(c))
+    return listed.filter("id IS NOT NULL")
+
+
 def sky_neighbours(
     stars: DataFrame, rows: DataFrame, regions: DataFrame | None = None, radius_arcsec: float = 10.0,
     star_cols: tuple[str, str, str] = ("star_id", "ra", "dec"), row_cols: tuple[str, str, str] = ("id", "raw_ra", "raw_dec"),
-    leaf_rows: int = 20_000, sample_rows: int = 100_000, max_regions: int = 100_000,
+    leaf_rows: int = 20_000, most_sample: int = 4_000_000,
 ) -> DataFrame:
     """(kind, id_a, id_b): 'star_star', stars within the radius of each other, smaller id first; 'row_star',
     rows and stars within it; 'row_field', rows and the regions (schema of sky_fields) that hold them.
 
     Positions with a null, NaN, infinite coordinate, a declination outside -90..90 or a null id take no part;
-    right ascension counts modulo 360. Edges and the radius itself are included. Repeated positions pair like
-    any other; repeated ids of one side give one row a pair. Empty tables give no rows; other columns are not
-    read. Regions with a null limit hold nothing. `regions` goes to every task: more than max_regions of them
-    are refused. sample_rows bounds the sample on the driver."""
+    right ascension counts modulo 360. Edges and the radius itself are included. Ids are keys: a pair of rows comes
+    once, and rows that repeat an id pair each, as in a join. Empty tables give no rows; other columns are not
+    read. Regions with a null limit or id hold nothing. The driver gets PER_LEAF sampled positions for each
+    leaf_rows rows, at most most_sample in all; beyond that (1.6 billion rows) leaves grow with the rows."""
     spark = stars.sparkSession
     probes = _positions(stars, STAR_PROBE, *star_cols).unionByName(_positions(rows, ROW_PROBE, *row_cols))
     total = stars.count() + rows.count()
-    share = min(1.0, sample_rows / max(total, 1))
-    sample = probes.sample(share, seed=7).select("ra", "dec").toPandas() if share < 1 else probes.select("ra", "dec").toPandas()
-    tree = QuadTree.fit(sample.ra.to_numpy(), sample.dec.to_numpy(), leaf_rows * share)
-    listed = [r.asDict() for r in regions.limit(max_regions + 1).collect()] if regions is not None else []
-    if len(listed) > max_regions:
-        raise ValueError(f"more than {max_regions} regions")
-    needed = {"circle": ("center_ra", "center_dec", "radius_deg"), "box": ("ra_min", "ra_max", "dec_min", "dec_max")}
-    listed = [r for r in listed if r["shape"] in needed and all(r[c] is not None and r[c] == r[c] for c in needed[r["shape"]])]
-    routed = probes.mapInArrow(_router(tree, radius_arcsec / 3600, (STAR,)), ROUTED)
-    if listed:
-        limits = [(i, x) for i, r in enumerate(listed) for x in region_limits(r)]
-        box, leaf = tree.boxes(np.array([x for _, x in limits]))
-        held = sorted({(int(t), s, limits[b][0]) for b, t in zip(box, leaf) for s in range(tree.salts[t])})
-        copies = spark.createDataFrame([(t, s, FIELD, i, 0.0, 0.0) for t, s, i in held], ROUTED)
-        routed = routed.unionByName(copies)
-    pairs = routed.groupBy("leaf", "salt").applyInArrow(_leaf_join(listed, radius_arcsec / 3600), PAIR)
-    return pairs.distinct()
+    share = min(1.0, PER_LEAF / leaf_rows, most_sample / max(total, 1))
+    if total * share < 100_000:  # few rows: what the driver may hold anyway shapes better leaves
+        share = min(1.0, 100_000 / max(total, 1))
+    picked = probes if share == 1 else probes.filter(F.pmod(F.xxhash64("id", "kind"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = picked.select("ra", "dec", (F.col("kind") == STAR_PROBE).alias("star")).toPandas()
+    cap = max(leaf_rows * share, PER_LEAF if share < 1 else 1)
+    tree = QuadTree.fit(sample.ra.to_numpy(), sample.dec.to_numpy(), sample.star.to_numpy().astype(np.int64), cap, radius_arcsec / 3600)
+    sent = spark.sparkContext.broadcast((tree.deepest, tree.start, tree.depth, tree.rows, tree.columns))
+    routed = probes.mapInArrow(_router(sent, radius_arcsec / 3600), ROUTED)
+    if regions is not None:
+        routed = routed.unionByName(_regions(regions).mapInArrow(_region_router(sent), ROUTED))
+    return routed.groupBy("leaf", "part").applyInArrow(_leaf_join(radius_arcsec / 3600), PAIR)

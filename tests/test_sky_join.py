@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 from skyloom.operators.rtree import RTree
-from skyloom.operators.sky_join import sky_neighbours, unit
+from skyloom.operators.sky_join import PER_LEAF, QuadTree, sky_neighbours, unit
 
 STARS = "star_id bigint, ra double, dec double, id string, kind string, leaf int"
 ROWS = "id bigint, raw_ra double, raw_dec double, ra double, salt int"
@@ -50,15 +50,15 @@ def test_against_brute_force_with_poles_wrap_and_dirt(spark):
         (3, "c", "box", None, None, None, 350.0, 10.0, -5.0, 5.0), (4, "d", "box", None, None, None, 200.0, 200.02, 10.0, 10.02), (5, "e", "box", None, None, None, None, 1.0, 0.0, 1.0),
         (6, "f", "box", None, None, None, 5.0, 5.0, 80.0, 90.0),
     ]
-    found = run(spark, stars, rows, fields, radius_arcsec=60.0, leaf_rows=20, sample_rows=1000)
+    found = run(spark, stars, rows, fields, radius_arcsec=60.0, leaf_rows=20)
     assert len({k for k, *_ in found}) == 3
-    assert run(spark, stars, rows, fields, radius_arcsec=60.0, leaf_rows=30, sample_rows=60) == found
+    assert run(spark, stars, rows, fields, radius_arcsec=60.0, leaf_rows=3000) == found
 
 
 def test_one_place_with_most_rows_is_divided(spark):
     stars = [(1, 100.0, 20.0), (2, 100.001, 20.0)]
     rows = [(i, 100.0, 20.0) for i in range(400)]
-    assert len(run(spark, stars, rows, [], radius_arcsec=10.0, leaf_rows=25, sample_rows=10_000)) == 801
+    assert len(run(spark, stars, rows, [], radius_arcsec=10.0, leaf_rows=25)) == 801
 
 
 def test_empty_tables(spark):
@@ -75,3 +75,28 @@ def test_rtree_finds_what_brute_force_finds():
         got = {(a, b) for x, y in RTree(lo, hi, 4).probe(q - 0.03, q + 0.03) for a, b in zip(x, y)}
         want = {(i, j) for i in range(80) for j in range(n) if (lo[j] <= q[i] + 0.03).all() and (hi[j] >= q[i] - 0.03).all()}
         assert got == want
+
+
+def test_crowded_stars_and_rows_are_both_divided(spark):
+    rng = random.Random(5)
+    spot = lambda i: (i, 100.0 + rng.uniform(-0.001, 0.001), 20.0 + rng.uniform(-0.001, 0.001))
+    stars, rows = [spot(i) for i in range(60)], [spot(i) for i in range(200)]
+    fields = [(8, "a", "circle", 100.0, 20.0, 0.0007, None, None, None, None)]
+    run(spark, stars, rows, fields, radius_arcsec=2.0, leaf_rows=25)
+    tree = QuadTree.fit(*(np.array([x[i] for x in stars + rows]) for i in (1, 2)), np.r_[np.ones(60, int), np.zeros(200, int)], 25, 2 / 3600)
+    assert max(tree.rows) > 1 and max(tree.columns) > 1
+
+
+def test_leaves_of_a_uniform_sky_stay_even_at_a_billion_rows():
+    """The sample that 10^9 rows give: no leaf weighs over twice leaf_rows, and stars have few copies."""
+    rng, total, leaf_rows = np.random.default_rng(2), 10**9, 20_000
+    n = total * PER_LEAF // leaf_rows
+    sky = lambda k: (rng.uniform(0, 360, k), np.degrees(np.arcsin(rng.uniform(-1, 1, k))))
+    star = (np.arange(n) % 7 == 0).astype(np.int64)
+    tree = QuadTree.fit(*sky(n), star, PER_LEAF, 10 / 3600)
+    ra, dec = sky(4_000_000)
+    leaf = tree.leaf(tree.codes(ra, dec))
+    weight = np.bincount(leaf, minlength=len(tree.start)) * total / len(ra) * 8 / 7
+    assert np.quantile(weight, 0.999) < 2 * leaf_rows and tree.rows.max() == 1
+    stars = 100_000
+    assert len(tree.circles(ra[:stars], dec[:stars], 10 / 3600)[0]) < 1.1 * stars
