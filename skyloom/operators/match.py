@@ -66,7 +66,7 @@ def radial_pairs(targets: DataFrame, stars: DataFrame, most_arcsec: float, first
     base = max(most_arcsec, 1.0) * arc * 4
     wide = F.greatest(F.lit(0), F.ceil(F.log(reach * 2.01 / base) / F.log(F.lit(8.0)))).cast("int")
     entered = stars.filter("ra IS NOT NULL AND dec IS NOT NULL").withColumns({"_reach": reach, "_w": wide})
-    widths = [r[0] for r in entered.select("_w").distinct().orderBy("_w").limit(40).collect()] or [0]
+    widths = [r[0] for r in entered.select("_w").distinct().orderBy("_w").collect()] or [0]  # a log of the sky's size, so few
     size = lambda w: F.lit(base) * F.pow(F.lit(8.0), w)
     catalogue = entered.withColumn("_c", F.explode(_cells(geo.unit_vector(F.col("ra"), F.col("dec")), F.col("_reach"), size(F.col("_w"))))).drop("_reach")
     u = geo.unit_vector(F.col("t_ra"), F.col("t_dec"))
@@ -98,7 +98,7 @@ def match_records(records: DataFrame, stars: DataFrame, key: list[str]) -> DataF
     by_id = stars.filter("gaia_source_id IS NOT NULL").select("gaia_source_id", F.col("star_id").alias("_direct"))
     motion = stars.select(*[F.col(c).alias(f"n_{c}") for c in MOTION])
     named = alias_table(stars).join(motion, F.col("star_id") == F.col("n_star_id")).drop("star_id").withColumnRenamed("key", "_key")
-    tried = spread_join(own.join(by_id, "gaia_source_id", "left"), named, ["_key"], "left")
+    tried = spread_join(spread_join(own, by_id, ["gaia_source_id"], "left"), named, ["_key"], "left")
     star = geo.moved_vector(F.col("n_ra"), F.col("n_dec"), F.col("n_pmra"), F.col("n_pmdec"), F.col("_year") - F.col("n_ref_epoch"))
     far = F.coalesce(F.col("_placed") & (geo.vector_separation(geo.unit_vector(F.col("ra"), F.col("dec")), star) > NAME_RADIUS), F.lit(False))
     tried = tried.withColumn("_name_star", F.when(~far, F.col("n_star_id"))).withColumn("_turned", far & F.col("n_star_id").isNotNull()).drop(*[f"n_{c}" for c in MOTION])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 PARTS = 2000
@@ -11,25 +14,29 @@ PARTS = 2000
 def spread_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", parts: int = PARTS, least: int = 10_000) -> DataFrame:
     """big join small on equal keys ('inner' or 'left'), where a key may own any share of big.
 
-    Keys with more than 1/parts of big's rows and more than `least`, fewer than `parts` of them, are counted first. Their rows in big
-    are dealt to as many numbers as they have such shares, and their rows in small are repeated for each number,
-    so no task gets more than about 1/parts of big for one key. Rows are dealt by a hash of their columns. Null keys match
-    nothing and are spread as well."""
+    One aggregation first counts the keys, a key with a null as well. Keys with more than 1/parts of big's rows and more
+    than `least`, fewer than `parts` of them, are frequent. Their rows in big are dealt to as many numbers as they have such
+    shares, and their rows in small are repeated for each number, so no task gets more than about 1/parts of big for one
+    key. Rows are dealt by a hash of their columns. Null keys match nothing: an inner join leaves them out, a left join
+    deals frequent ones like any other, without a partner in small. With no frequent key it is a plain join. The result
+    is the same either way."""
     if how not in ("inner", "left"):
         raise ValueError(how)
-    heavy_at = max(least, big.count() // parts)
-    heavy = (
-        big.select(*keys).na.drop().groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > heavy_at)
-        .select(*keys, F.ceil(F.col("_n") / heavy_at).cast("int").alias("_deal"))
-    )
-    listed = heavy.limit(parts + 1).collect()
+    seen = Observation()
+    counts = big.select(*keys).observe(seen, F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if how == "inner":
+        counts = counts.na.drop(subset=keys)
+    top = counts.filter(F.col("_n") > least).orderBy(F.desc("_n")).limit(parts).collect()  # holds all with over 1/parts
+    heavy_at = max(least, int((seen.get or {}).get("n", 0)) // parts) if top else least
+    listed = [(*r[:-1], -(-r["_n"] // heavy_at)) for r in top if r["_n"] > heavy_at]
     if not listed:
         return big.join(small, keys, how)
-    known = F.broadcast(big.sparkSession.createDataFrame(listed, heavy.schema))
-    null_key = F.lit(False)
-    for k in keys:
-        null_key = null_key | F.col(k).isNull()
-    number = F.pmod(F.xxhash64(*big.columns), F.lit(1 << 40))  # of the row, so a recomputed task deals alike
-    dealt = big.join(known, keys, "left").withColumn("_salt", F.pmod(number, F.when(null_key, F.lit(parts)).otherwise(F.coalesce("_deal", F.lit(1)))).cast("int")).drop("_deal")
-    repeated = small.join(known, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_deal", F.lit(1)) - 1))).drop("_deal")
+    schema = ", ".join(f"`{k}` {big.schema[k].dataType.simpleString()}" for k in keys) + ", _deal int"
+    known = F.broadcast(big.sparkSession.createDataFrame(listed, schema))
+    same = reduce(and_, [big[k].eqNullSafe(known[k]) for k in keys])
+    deal = F.coalesce("_deal", F.lit(1))
+    number = F.pmod(F.xxhash64(*[big[c] for c in big.columns]), F.lit(1 << 40))  # of the row, so a recomputed task deals alike
+    dealt = big.join(known, same, "left").select(*[big[c] for c in big.columns], F.pmod(number, deal).cast("int").alias("_salt"))
+    repeated = small.join(known, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), deal - 1))).drop("_deal")
     return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
+

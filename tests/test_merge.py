@@ -58,3 +58,19 @@ def test_spread_join_equals_join(spark):
     for how in ("inner", "left"):
         key = lambda df: sorted((r["id"], r["v"] or "") for r in df.collect())
         assert key(spread_join(big, small, ["k"], how, parts=20, least=1)) == key(big.join(small, ["k"], how))
+
+
+def test_spread_join_deals_null_keys(spark):
+    """Nearly all keys are null and no other is frequent: no task gets them all, and none is lost."""
+    big = spark.range(20_000).select(F.when(F.col("id") % 100 == 0, F.col("id")).alias("k"), F.col("id").alias("v"))
+    small = spark.range(0, 20_000, 200).select(F.col("id").alias("k"), F.lit("x").alias("w"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        joined = spread_join(big, small, ["k"], "left", parts=8, least=100)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 20_000 and max(sizes) < 11_000 and joined.filter("w IS NOT NULL").count() == 100
+        assert spread_join(big, small, ["k"], "inner", parts=8, least=100).count() == 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
