@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.names import group_key
+from skyloom.session import cut
+from skyloom.sources.tables import Snapshots
 
 KEY = ["archive_code", "archive_obs_id"]
 # The outcomes a vote may have, and those that a vote by name may give to any number of rows.
@@ -27,25 +29,26 @@ def upsert(existing: DataFrame, batch: DataFrame, order: list[Column]) -> DataFr
     return kept.select(*existing.columns)
 
 
-def assign_ids(df: DataFrame, column: str, order: list[str], chunks: int = 64) -> DataFrame:
-    """Fills null ids with numbers after the greatest, in a repeatable order and without one global window: rows are
-    numbered within hash parts, and each part starts where the parts before it end."""
+def assign_ids(df: DataFrame, column: str, order: list[str], chunks: int = 4096, above: int = 0) -> DataFrame:
+    """Fills null ids with numbers after the greatest, and after `above` where df is a part of a table, in a repeatable
+    order and without one global window: rows are numbered within hash parts, and each part starts where the parts
+    before it end."""
     part = F.pmod(F.xxhash64(*order), F.lit(chunks)).cast("int")
     new = df.filter(F.col(column).isNull()).withColumn("_part", part)
     sizes = new.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    top = df.agg(F.coalesce(F.max(column), F.lit(0)).alias("_top"))
+    top = df.agg(F.greatest(F.coalesce(F.max(column), F.lit(0)), F.lit(above)).alias("_top"))
     numbered = new.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*order))).join(F.broadcast(sizes.select("_part", "_start")), "_part").crossJoin(F.broadcast(top))
     filled = numbered.withColumn(column, F.col("_top") + F.col("_start") + F.col("_rn")).select(*df.columns)
     return df.filter(F.col(column).isNotNull()).unionByName(filled)
 
 
-def write_merged(spark: SparkSession, path: str, batch: DataFrame, order: list[Column]) -> None:
-    """Upserts batch into the Parquet table at path, partitioned by archive: only the touched archives are read and
-    replaced, each by one commit."""
-    touched = [r[0] for r in batch.select("archive_code").distinct().collect()]
-    existing = spark.read.parquet(path).filter(F.col("archive_code").isin(touched))
-    merged = assign_ids(upsert(existing, batch, order), "id", KEY).checkpoint()
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("archive_code").parquet(path)
+def write_merged(table: Snapshots, batch: DataFrame, order: list[Column]) -> None:
+    """Upserts batch into the table: only the touched archives are read and replaced, all at once. New ids follow the
+    greatest that any archive has."""
+    batch = cut(batch)
+    touched = [r[0] for r in batch.select(table.part).distinct().collect()]
+    if touched:
+        table.replace(cut(assign_ids(upsert(table.read(touched), batch, order), table.key, KEY, above=table.top())), touched)
 
 
 def superseded(holdings: DataFrame, votes: DataFrame, raw: str, reduced: str) -> DataFrame:

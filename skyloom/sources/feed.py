@@ -1,136 +1,229 @@
 """Archive logs as a Spark data source: a batch reader and a resumable stream of pages.
 
-An archive's log is a recorded table in Parquet with the columns of RAW_OBSERVATION and its ordering columns; a
-live client would take the recorded table's place. What orders and resumes depends on the archive's paging
-class:
-
-W, T, V, A, O: compound mark (time, id) in one comparison, so rows that tie on the time at a page's edge are
-neither lost nor read twice; V and A read half-open windows of that time, and jump over gaps to the next mark, A halving
-a window that overflows and widening after one that doesn't.
-I, R, P, L: the id, row, page or list position alone.
-M: one mark per instrument.
-
-The offset is a JSON object, which is what the stream's checkpoint keeps. A page ends at the last row read, an
-empty page doesn't move it.
+An archive's log is a recorded table in Parquet, a file or a folder, with the columns of RAW_OBSERVATION and its ordering
+columns; a live client would take the recorded table's place. What orders and resumes depends on the archive's
+paging class, by the names in PAGINGS:
+
+watermark, watermark with ids, window, adaptive window, once: compound mark (time, id) in one comparison, so rows
+that tie on the time at a page's edge are neither lost nor read twice; the windows are half-open, jump over gaps to
+the next mark, and an adaptive one halves when it overflows and widens after one that doesn't.
+id, row, page, list: the id, row, page or list position alone.
+per instrument: one mark per instrument.
+
+A page is read in two steps: the marks and ids after the cursor say where it ends, then the rows between. Both steps
+push the archive and the range of marks into Parquet and skip row groups by their statistics, and where the log is
+sorted by the mark the first step ends with the row group in which the page ends. Rows with a null mark are in no
+page. The offset is a JSON object with a cursor per archive, which is what the stream's checkpoint keeps. A page ends
+at the last row read, and an empty page means that an archive has nothing new.
 """
 
 from __future__ import annotations
 
+import datetime
 import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.parquet as pq
+import pyarrow.dataset as ds
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from skyloom.sources.catalog import ARCHIVES, RAW_OBSERVATION
 
 FIELDS = [x.split(" ")[0] for x in RAW_OBSERVATION.split(", ")]
+TYPES = {"string": pa.string(), "date": pa.date32(), "bigint": pa.int64(), "double": pa.float64()}
+SCHEMA = pa.schema([(n, TYPES[t]) for n, t in (x.split(" ") for x in RAW_OBSERVATION.split(", "))])
 NARROWEST, WIDEST = 1, 365
+EPOCH = datetime.datetime(1970, 1, 1, tzinfo=datetime.timezone.utc)
 
 
-def _records(table: pa.Table) -> Iterator[tuple]:
-    for row in table.to_pylist():
-        yield tuple(row[f] if f in row else row.get(f"raw_{f}") for f in FIELDS)
+def to_batch(table: pa.Table) -> pa.RecordBatch:
+    """Rows of a log in the shape of RAW_OBSERVATION: what is missing is null, and so is NaN."""
+    columns = []
+    for f in SCHEMA:
+        at = f.name if f.name in table.column_names else f"raw_{f.name}"
+        x = table[at].cast(f.type) if at in table.column_names else pa.chunked_array([pa.nulls(len(table), f.type)])
+        columns.append(pc.if_else(pc.is_nan(x), pa.scalar(None, f.type), x) if f.type == pa.float64() else x)
+    return pa.Table.from_arrays(columns, schema=SCHEMA).combine_chunks().to_batches(max_chunksize=max(len(table), 1))[0] if len(table) else pa.RecordBatch.from_pylist([], SCHEMA)
 
 
 class Log:
-    """A recorded log: a mark that orders it, a number or text in a column of the log, besides the record's columns."""
+    """A recorded log with a mark that orders it: a number, text, date or time in a column of the log."""
 
     def __init__(self, path: str, archive: str, mark: str = "mark"):
-        table = pq.read_table(path)
-        if mark != "mark":
-            table = table.append_column("mark", table[mark])
-        if "archive_code" in table.column_names:
-            table = table.filter(pc.equal(table["archive_code"], archive))
-        self.table = table.sort_by([("mark", "ascending"), ("archive_obs_id", "ascending")])
-
-    def after(self, mark, obs_id, size: int, instrument: str | None = None) -> pa.Table:
-        t = self.table
+        data = ds.dataset(path, format="parquet")
+        self.mark, self.names = mark, data.schema.names
+        self.type = data.schema.field(mark).type
+        self.mine = ds.field("archive_code") == archive if "archive_code" in self.names else ds.scalar(True)
+        groups = [g for f in data.get_fragments() for g in f.split_by_row_group()]
+        self.groups = sorted(((*self._range(g), i, g) for i, g in enumerate(groups)), key=lambda x: (x[0] is not None, x[0] or 0, x[2]))
+
+    def _range(self, group) -> tuple:
+        seen = (group.row_groups[0].statistics or {}).get(self.mark, {})
+        low, high = (self.plain(pa.scalar(seen[x]).cast(self.type)) if seen.get(x) is not None else None for x in ("min", "max"))
+        return low, high
+
+    def plain(self, x: pa.Scalar):
+        """A mark as JSON has it: dates are days and times microseconds since 1970."""
+        if not x.is_valid:
+            return None
+        if pa.types.is_date(self.type):
+            return (x.as_py() - EPOCH.date()).days
+        if pa.types.is_timestamp(self.type):
+            v = x.as_py()
+            return int((v if v.tzinfo else v.replace(tzinfo=EPOCH.tzinfo)).timestamp() * 1_000_000 + 0.5)
+        return x.as_py()
+
+    def typed(self, mark) -> pa.Scalar:
+        if pa.types.is_date(self.type):
+            return pa.scalar(int(mark), pa.int32()).cast(pa.date32()).cast(self.type)
+        if pa.types.is_timestamp(self.type):
+            return pa.scalar(int(mark), pa.timestamp("us", self.type.tz)).cast(self.type)
+        return pa.scalar(mark, self.type)
+
+    def scan(self, keep: ds.Expression, low=None, high=None, columns: list[str] | None = None) -> Iterator[tuple[object, pa.Table]]:
+        """(lowest mark of the later row groups, rows kept) by row group, of those that may hold marks from low to high."""
+        todo = [g for g in self.groups if (low is None or g[1] is None or g[1] >= low) and (high is None or g[0] is None or g[0] <= high)]
+        for i, (*_, group) in enumerate(todo):
+            yield (todo[i + 1][0] if i + 1 < len(todo) else float("inf")), group.to_table(filter=self.mine & keep, columns=columns)
+
+    def read(self, keep: ds.Expression, low=None, high=None) -> pa.Table:
+        columns = [c for c in self.names if c in FIELDS or c.removeprefix("raw_") in FIELDS or c == self.mark]
+        tables = [t for _, t in self.scan(keep, low, high, columns)]
+        return pa.concat_tables(tables).sort_by([(self.mark, "ascending"), ("archive_obs_id", "ascending")]) if tables else self.empty()
+
+    def empty(self) -> pa.Table:
+        return pa.table({n: pa.array([], TYPES.get(str(self.type), self.type) if n == self.mark else pa.string()) for n in (self.mark, "archive_obs_id")})
+
+    def beyond(self, mark, obs_id) -> ds.Expression:
+        at = ds.field(self.mark)
+        if mark is None:
+            return at.is_valid()
+        return (at > self.typed(mark)) | ((at == self.typed(mark)) & (ds.field("archive_obs_id") > (obs_id or "")))
+
+    def after(self, mark, obs_id, size: int, instrument: str | None = None) -> tuple[pa.Table, list | None]:
+        """The `size` rows that follow (mark, id), with all that tie with the last, and the last's mark and id."""
+        keep = self.beyond(mark, obs_id)
         if instrument is not None:
-            t = t.filter(pc.equal(t["instrument"], instrument))
-        if mark is not None:
-            later = pc.or_(pc.greater(t["mark"], mark), pc.and_(pc.equal(t["mark"], mark), pc.greater(t["archive_obs_id"], obs_id or "")))
-            t = t.filter(later)
-        return t.slice(0, size)
-
-    def window(self, low: float, high: float) -> pa.Table:
-        return self.table.filter(pc.and_(pc.greater_equal(self.table["mark"], low), pc.less(self.table["mark"], high)))
+            keep = keep & (ds.field("instrument") == instrument)
+        order = [(self.mark, "ascending"), ("archive_obs_id", "ascending")]
+        least = None
+        for later, t in self.scan(keep, mark, columns=[self.mark, "archive_obs_id"]):
+            least = t if least is None else pa.concat_tables([least, t])
+            if len(least) > size:
+                least = least.take(pc.select_k_unstable(least, size, order))
+            if len(least) == size and later is not None and later != float("inf") and self.plain(pc.max(least[self.mark])) < later:
+                break
+        if least is None or not len(least):
+            return self.empty(), None
+        last = least.sort_by(order).slice(len(least) - 1)
+        end = [self.plain(last[self.mark][0]), last["archive_obs_id"][0].as_py()]
+        return self.read(keep & ~self.beyond(*end), mark, end[0]), end
+
+    def window(self, low, high) -> pa.Table:
+        at = ds.field(self.mark)
+        return self.read((at >= self.typed(low)) & (at < self.typed(high)), low, high)
+
+    def span(self, low=None) -> tuple | None:
+        """The first and the last mark, from low on; None without any."""
+        at = ds.field(self.mark)
+        keep, out = (at >= self.typed(low)) if low is not None else at.is_valid(), None
+        for _, t in self.scan(keep, low, columns=[self.mark]):
+            if len(t):
+                both = [self.plain(f(t[self.mark])) for f in (pc.min, pc.max)]
+                out = both if out is None else [min(out[0], both[0]), max(out[1], both[1])]
+        return out
+
+    def instruments(self) -> list[str]:
+        return sorted({x for _, t in self.scan(ds.field("instrument").is_valid(), columns=["instrument"]) for x in pc.unique(t["instrument"]).to_pylist()})
 
 
 def next_page(log: Log, paging: str, cursor: dict, size: int, width: float = 7.0) -> tuple[pa.Table, dict]:
     """The page after a cursor and the cursor after the page."""
-    if paging == "O":
-        return (log.table.slice(0, 0), cursor) if cursor.get("done") else (log.table, {"done": True})
-    if paging == "M":
+    if paging == "once":
+        return (log.empty(), cursor) if cursor.get("done") else (log.read(ds.field(log.mark).is_valid()), {"done": True})
+    if paging == "per instrument":
         marks, pages = dict(cursor.get("marks", {})), []
-        for name in sorted(x for x in log.table["instrument"].unique().to_pylist() if x is not None):
-            last = marks.get(name, [None, None])
-            page = log.after(last[0], last[1], size, name)
-            if len(page):
-                marks[name] = [page["mark"][-1].as_py(), page["archive_obs_id"][-1].as_py()]
+        for name in log.instruments():
+            page, end = log.after(*marks.get(name, [None, None]), size, name)
+            if end:
+                marks[name] = end
                 pages.append(page)
-        return (pa.concat_tables(pages), {"marks": marks}) if pages else (log.table.slice(0, 0), cursor)
-    if paging in "VA" and len(log.table):
-        first, last = log.table["mark"][0].as_py(), log.table["mark"][-1].as_py()
-        start, width = cursor.get("start", first), cursor.get("width", width)
-        while start <= last:
+        return (pa.concat_tables(pages), {"marks": marks}) if pages else (log.empty(), cursor)
+    if paging in ("window", "adaptive window"):
+        span = log.span(cursor.get("start"))
+        if span is None:
+            return log.empty(), cursor
+        start, width = max(span[0], cursor.get("start", span[0])), cursor.get("width", width)
+        while True:
             page = log.window(start, start + width)
-            if paging == "A" and len(page) >= size and width > NARROWEST:
-                width = max(width / 2, NARROWEST)
-                continue
-            if len(page):
-                grown = min(width * 2, WIDEST) if paging == "A" else width
-                return page, {"start": start + width, "width": grown}
-            start = pc.min(log.window(start + width, float("inf"))["mark"]).as_py()  # the first mark behind the gap
-        return log.table.slice(0, 0), {"start": start, "width": width}
-    page = log.after(cursor.get("mark"), cursor.get("id"), size)
-    return (page, {"mark": page["mark"][-1].as_py(), "id": page["archive_obs_id"][-1].as_py()}) if len(page) else (page, cursor)
+            if paging == "window":
+                return page, {"start": start + width, "width": width}
+            if len(page) < size or width <= NARROWEST:
+                return page, {"start": start + width, "width": min(width * 2, WIDEST)}
+            width = max(width / 2, NARROWEST)
+    page, end = log.after(cursor.get("mark"), cursor.get("id"), size)
+    return (page, {"mark": end[0], "id": end[1]}) if end else (page, cursor)
 
 
 class FeedStream(SimpleDataSourceStreamReader):
     def __init__(self, options: dict):
-        self.archive, self.path = options["archive"], options["path"]
-        spec = ARCHIVES.get(self.archive)
-        self.paging = options.get("paging") or (spec.paging if spec else "W")
-        self.mark = options.get("mark", "mark")
-        self.size = int(options.get("page_size") or (spec.page if spec else 20_000))
+        self.archives, self.path = options["archive"].split(","), options["path"]
+        self.options, self.mark = options, options.get("mark", "mark")
 
     def initialOffset(self) -> dict:
-        return {"cursor": "{}"}
-
-    def _page(self, start: dict) -> tuple[pa.Table, dict]:
-        page, cursor = next_page(Log(self.path, self.archive, self.mark), self.paging, json.loads(start["cursor"]), self.size)
-        return page, {"cursor": json.dumps(cursor, sort_keys=True)}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        page, end = self._page(start)
-        return iter(list(_records(page))), end
+        return {a: "{}" for a in self.archives}
+
+    def _page(self, archive: str, cursor: dict) -> tuple[pa.Table, dict]:
+        spec = ARCHIVES.get(archive)
+        paging = self.options.get(f"paging.{archive}") or self.options.get("paging") or (spec.paging if spec else "watermark")
+        size = int(self.options.get("page_size") or (spec.page if spec else 20_000))
+        return next_page(Log(self.path, archive, self.mark), paging, cursor, size, float(self.options.get("width", 7)))
+
+    def read(self, start: dict) -> tuple[Iterator[pa.RecordBatch], dict]:
+        batches, end = [], {}
+        for archive in self.archives:
+            page, cursor = self._page(archive, json.loads(start.get(archive, "{}")))
+            end[archive] = json.dumps(cursor, sort_keys=True)
+            if len(page):
+                batches.append(to_batch(page))
+        return iter(batches), end
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return _records(self._page(start)[0])
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[pa.RecordBatch]:
+        return self.read(start)[0]
 
 
-class Whole(InputPartition):
-    def __init__(self, group: int):
-        super().__init__(group)
-        self.group = group
+class Group(InputPartition):
+    def __init__(self, file: str, group: int):
+        super().__init__((file, group))
+        self.file, self.group = file, group
 
 
 class FeedBatch(DataSourceReader):
+    """A whole log, one task for each row group that may hold the archive."""
+
     def __init__(self, options: dict):
         self.archive, self.path = options["archive"], options["path"]
 
     def partitions(self) -> list[InputPartition]:
-        return [Whole(i) for i in range(pq.ParquetFile(self.path).num_row_groups)]
-
-    def read(self, partition: Whole) -> Iterator[tuple]:
-        table = pq.ParquetFile(self.path).read_row_group(partition.group)
-        if "archive_code" in table.column_names:
-            table = table.filter(pc.equal(table["archive_code"], self.archive))
-        return _records(table)
+        out = []
+        for f in ds.dataset(self.path, format="parquet").get_fragments():
+            for g in f.row_groups:
+                seen = (g.statistics or {}).get("archive_code")
+                if not seen or seen["min"] <= self.archive <= seen["max"]:
+                    out.append(Group(f.path, g.id))
+        return out or [Group("", -1)]
+
+    def read(self, partition: Group) -> Iterator[pa.RecordBatch]:
+        if partition.group < 0:
+            return
+        fragment = next(ds.dataset(partition.file, format="parquet").get_fragments()).subset(row_group_ids=[partition.group])
+        names = fragment.physical_schema.names
+        keep = ds.field("archive_code") == self.archive if "archive_code" in names else None
+        for b in fragment.to_batches(filter=keep, columns=[c for c in names if c in FIELDS or c.removeprefix("raw_") in FIELDS]):
+            if len(b):
+                yield to_batch(pa.Table.from_batches([b]))
 
 
 class ArchiveFeed(DataSource):

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +22,9 @@ def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table at path, or an empty one of the schema if there is none."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -43,19 +44,90 @@ def write_sorted(df: DataFrame, path: str, by: str, partitions: int | None = Non
     spread.sortWithinPartitions(by).write.mode("overwrite").parquet(path)
 
 
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file beside `path` and moves it there, on any file system that Spark reaches."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    target, fresh = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{time.time_ns()}.next")
+    conf = spark._jsc.hadoopConfiguration()
+    out = target.getFileSystem(conf).create(fresh, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.getFileSystem(conf).getUri(), conf).rename(fresh, target, how)
+
+
+def _get(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, None if there is none; any other failure is raised."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(fs.open(at))).decode()
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def publish(df: DataFrame, root: str, name: str, keep: int = 2) -> str:
-    """Writes a new version beside the old and then points to it; readers see the old or the new, never half."""
+    """Writes a new version beside the old and then points to it; readers see the old or the new, never half. The
+    `keep` latest versions stay."""
+    spark, pointer = df.sparkSession, f"{root}/{name}.current"
     version = f"{name}.{time.time_ns()}"
     df.write.parquet(f"{root}/{version}")
-    pointer = Path(root) / f"{name}.current"
-    fresh = pointer.with_suffix(".next")
-    fresh.write_text(version)
-    fresh.replace(pointer)
+    known = [version, *json.loads(_get(spark, pointer) or "[]")]
+    _put(spark, pointer, json.dumps(known[:keep]))
+    for old in known[keep:]:
+        _drop(spark, f"{root}/{old}")
     return version
 
 
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{(Path(root) / f'{name}.current').read_text()}")
+    return spark.read.parquet(f"{root}/{json.loads(_get(spark, f'{root}/{name}.current'))[0]}")
+
+
+class Snapshots:
+    """A Parquet table partitioned by one column, of which parts are replaced at once: new parts are written into a
+    folder of their own, then a manifest that names the folders of all parts takes the old one's place. A reader has
+    the parts of one manifest; the folders of the one before stay for readers that still use it. One writer at a time.
+    The manifest also keeps the greatest id ever given, so ids are unique over all parts and none is given twice."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: str, part: str = "archive_code", key: str = "id"):
+        self.spark, self.root, self.schema, self.part, self.key = spark, root, schema, part, key
+
+    def manifest(self) -> dict:
+        return json.loads(_get(self.spark, f"{self.root}/_manifest") or '{"parts": {}, "top": 0, "old": []}')
+
+    def read(self, parts: list[str] | None = None) -> DataFrame:
+        held = self.manifest()["parts"]
+        paths = [p for k, v in held.items() if parts is None or k in parts for p in v]
+        names = [f.split(" ")[0] for f in self.schema.split(", ")]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/{p}" for p in paths]).select(*names)
+
+    def top(self) -> int:
+        return self.manifest()["top"]
+
+    def replace(self, df: DataFrame, parts: list[str]) -> None:
+        """Puts df, which holds all rows of `parts`, in the place of those parts."""
+        held, version = self.manifest(), f"v{time.time_ns()}"
+        place = F.create_map(*[x for i, p in enumerate(parts) for x in (F.lit(p), F.lit(i))])
+        df.withColumn("_part", place[F.col(self.part)]).repartition("_part", F.pmod(F.xxhash64(self.key), F.lit(16))).write.partitionBy("_part").parquet(f"{self.root}/{version}")
+        top = df.agg(F.max(self.key)).first()[0] or 0
+        fresh = {p: [f"{version}/_part={i}"] for i, p in enumerate(parts) if self._exists(f"{version}/_part={i}")}
+        gone = [x for p in parts for x in held["parts"].get(p, [])]
+        live = {**{k: v for k, v in held["parts"].items() if k not in parts}, **fresh}
+        _put(self.spark, f"{self.root}/_manifest", json.dumps({"parts": live, "top": max(top, held["top"]), "old": gone}))
+        for path in held["old"]:
+            _drop(self.spark, f"{self.root}/{path}")
+
+    def _exists(self, path: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def summary_json(parts: dict[str, DataFrame]) -> str:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from skyloom.operators.derive import dated
 from skyloom.operators.match import match_records
-from skyloom.operators.merge import KEY, assign_ids, upsert
+from skyloom.operators.merge import KEY, write_merged
 from skyloom.sources.catalog import RAW_OBSERVATION
 from skyloom.sources.feed import register
+from skyloom.sources.tables import Snapshots
 
 HOLDINGS = (
     "id bigint, star_id bigint, archive_code string, archive_obs_id string, archive_url string, instrument string, obs_date date, program_id string, "
@@ -33,18 +34,15 @@ def to_holdings(records: DataFrame, stars: DataFrame) -> DataFrame:
     )
 
 
+def table(spark: SparkSession, path: str) -> Snapshots:
+    return Snapshots(spark, path, HOLDINGS)
+
+
 def write_batch(spark: SparkSession, path: str, stars: DataFrame):
     """A foreachBatch sink that upserts a page by its key, so that a page delivered twice changes nothing."""
 
     def sink(page: DataFrame, _: int) -> None:
-        rows = to_holdings(page, stars)
-        try:
-            existing = spark.read.parquet(path).select(*[f.split(" ")[0] for f in HOLDINGS.split(", ")])
-        except Exception:  # noqa: BLE001
-            existing = spark.createDataFrame([], HOLDINGS)
-        touched = [r[0] for r in page.select("archive_code").distinct().collect()]
-        merged = assign_ids(upsert(existing.filter(F.col("archive_code").isin(touched)), rows, [F.col("updated_at")]), "id", KEY).checkpoint()
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("archive_code").parquet(path)
+        write_merged(table(spark, path), to_holdings(page, stars), [F.col("updated_at")])
 
     return sink
 

@@ -7,7 +7,7 @@ from skyloom.sources.feed import Log, next_page
 from skyloom.streaming.sync import drain
 
 
-@pytest.mark.parametrize("paging", ["V", "A"])
+@pytest.mark.parametrize("paging", ["window", "adaptive window"])
 def test_windows_step_over_any_gap(tmp_path, paging):
     source, cursor, seen = Log(log(tmp_path, [1, 2, 1000, 50_000.5, 50_001, 900_000]), "eso"), {}, []
     while len((step := next_page(source, paging, cursor, 3))[0]):

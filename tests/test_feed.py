@@ -4,10 +4,10 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from skyloom.sources.catalog import ARCHIVES
+from skyloom.sources.catalog import ARCHIVES, PAGINGS
 from skyloom.sources.feed import FIELDS, Log, next_page, register
 from skyloom.sources.tables import append_votes, current, optional, publish, read_votes, retry, summary_json, write_sorted
-from skyloom.streaming.sync import drain, feed, one_vote_each, period_counts, write_batch
+from skyloom.streaming.sync import drain, feed, one_vote_each, period_counts, table, write_batch
 
 
 def log(tmp_path, marks, instruments=("I",)):
@@ -22,7 +22,7 @@ def log(tmp_path, marks, instruments=("I",)):
     return path
 
 
-@pytest.mark.parametrize("paging", ["W", "T", "I", "V", "A", "O", "M"])
+@pytest.mark.parametrize("paging", PAGINGS)
 def test_every_paging_reads_each_row_once(tmp_path, paging):
     marks = [1, 1, 1, 1, 2, 2, 50, 51, 51, 51, 400, 400.5]
     source, cursor, seen = Log(log(tmp_path, marks, ("I", "J")), "eso"), {}, []
@@ -42,7 +42,7 @@ def test_stream_drains_resumes_and_upserts(spark, tmp_path):
     assert drain(feed(spark, path, "eso", page_size="3"), sink, str(tmp_path / "c1")) == 3
     assert drain(feed(spark, path, "eso", page_size="3"), sink, str(tmp_path / "c1")) == 0
     assert drain(feed(spark, path, "eso", page_size="3"), sink, str(tmp_path / "c2")) == 3  # the whole history again
-    rows = spark.read.parquet(out).collect()
+    rows = table(spark, out).read().collect()
     assert len(rows) == 7 == len({r["id"] for r in rows}) and sum(r["match_status"] == "matched" for r in rows) == 4
 
 
