@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAS = math.pi / 180 / 3_600_000
@@ -104,7 +107,10 @@ def healpix(ra: Column, dec: Column, level: int) -> Column:
     face = F.when(belt, belt_face).when(north, quarter).otherwise(quarter + 8)
     x = F.when(belt, belt_x).when(north, (n - 1) - cm).otherwise(cp)
     y = F.when(belt, belt_y).when(north, (n - 1) - cp).otherwise(cm)
-    return F.shiftleft(face, 2 * level) + _spread_bits(x).bitwiseOR(F.shiftleft(_spread_bits(y), 1))
+    # bound once: the bits are named so often that the expression would outgrow generated code
+    bound = F.array(F.struct(face.alias("face"), x.alias("x"), y.alias("y")))
+    pixel = lambda v: F.shiftleft(v["face"], 2 * level) + _spread_bits(v["x"]).bitwiseOR(F.shiftleft(_spread_bits(v["y"]), 1))
+    return F.get(F.transform(bound, pixel), F.lit(0))
 
 
 def source_id_range(pixel: Column, level: int) -> Column:
@@ -113,7 +119,8 @@ def source_id_range(pixel: Column, level: int) -> Column:
     return F.struct(F.shiftleft(pixel, shift).alias("first"), (F.shiftleft(pixel + 1, shift) - 1).alias("last"))
 
 
-# Fixed values of the HEALPix geometry: steps to the 8 neighbours, faces beyond each edge and the turns there.
+# Fixed values of the HEALPix geometry (Gorski et al. 2005; the neighbour tables as published with healpix_cxx and
+# astropy-healpix): steps to the 8 neighbours, faces beyond each edge and the turns there.
 STEPS = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
 FACES = [
     [8, 9, 10, 11, -1, -1, -1, -1, 10, 11, 8, 9], [5, 6, 7, 4, 8, 9, 10, 11, 9, 10, 11, 8], [-1, -1, -1, -1, 5, 6, 7, 4, -1, -1, -1, -1],
@@ -123,32 +130,34 @@ FACES = [
 TURNS = [[0, 0, 3], [0, 0, 6], [0, 0, 0], [0, 0, 5], [0, 0, 0], [5, 0, 0], [0, 0, 0], [6, 0, 0], [3, 0, 0]]
 
 
-def ring(pixel: int, level: int) -> list[int]:
-    """A pixel and its up to 8 neighbours, ascending."""
-    n = 1 << level
-    face, rest = pixel >> (2 * level), pixel & (n * n - 1)
-    x = sum(((rest >> (2 * i)) & 1) << i for i in range(level))
-    y = sum(((rest >> (2 * i + 1)) & 1) << i for i in range(level))
-    out = {pixel}
-    for dx, dy in STEPS:
-        a, b, side = x + dx, y + dy, 4
-        if a < 0:
-            a, side = a + n, side - 1
-        elif a >= n:
-            a, side = a - n, side + 1
-        if b < 0:
-            b, side = b + n, side - 3
-        elif b >= n:
-            b, side = b - n, side + 3
-        f = FACES[side][face]
-        if f < 0:
-            continue
-        turn = TURNS[side][face >> 2]
-        if turn & 1:
-            a = n - a - 1
-        if turn & 2:
-            b = n - b - 1
-        if turn & 4:
-            a, b = b, a
-        out.add((f << (2 * level)) + sum(((a >> i) & 1) << (2 * i) | ((b >> i) & 1) << (2 * i + 1) for i in range(level)))
-    return sorted(out)
+def rings(pixels: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index, pixel) for every pixel and its up to 8 neighbours, ascending for each."""
+    n, bits = 1 << level, np.arange(level)
+    face, rest = pixels >> (2 * level), pixels & (n * n - 1)
+    x, y = ((((rest[:, None] >> (2 * bits + k)) & 1) << bits).sum(axis=1) for k in (0, 1))
+    dx, dy = np.array(STEPS).T
+    a, b = x[:, None] + dx, y[:, None] + dy
+    side = 4 + (a >= n) - (a < 0).astype(int) + 3 * (b >= n) - 3 * (b < 0)
+    a, b = a % n, b % n
+    f, turn = np.array(FACES)[side, face[:, None]], np.array(TURNS)[side, face[:, None] >> 2]
+    a, b = np.where(turn & 1, n - 1 - a, a), np.where(turn & 2, n - 1 - b, b)
+    a, b = np.where(turn & 4, b, a), np.where(turn & 4, a, b)
+    inside = sum((((a >> i) & 1) << (2 * i)) | (((b >> i) & 1) << (2 * i + 1)) for i in range(level))
+    near = np.where(f >= 0, (f.astype(np.int64) << (2 * level)) + inside, -1)
+    pairs = np.stack([np.repeat(np.arange(len(pixels)), 9), np.concatenate([pixels[:, None], near], axis=1).ravel()], axis=1)
+    pairs = np.unique(pairs[pairs[:, 1] >= 0], axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def with_rings(df: DataFrame, pixel: str, out: str, level: int) -> DataFrame:
+    """df with a row for each pixel of the ring about `pixel`, which must not be null, in column `out`."""
+    names = df.columns
+    at = names.index(pixel)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, near = rings(b.column(at).to_numpy(zero_copy_only=False), level)
+            yield pa.RecordBatch.from_arrays([*b.take(pa.array(of)).columns, pa.array(near)], names=[*names, out])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out}` bigint"
+    return df.mapInArrow(run, schema)

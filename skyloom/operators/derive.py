@@ -46,7 +46,7 @@ def instrument_counts(holdings: DataFrame, archives: DataFrame) -> DataFrame:
 
 
 def instrument_sky_sample(holdings: DataFrame, instruments: int = 12, each: int = 2000) -> DataFrame:
-    placed = holdings.filter("instrument IS NOT NULL AND raw_ra IS NOT NULL AND raw_dec IS NOT NULL")
+    placed = holdings.filter("instrument IS NOT NULL AND raw_ra IS NOT NULL AND raw_dec IS NOT NULL AND NOT isnan(raw_ra) AND NOT isnan(raw_dec)")
     most = placed.groupBy("instrument").count().orderBy(F.desc("count"), "instrument").limit(instruments).select("instrument")
     order = Window.partitionBy("instrument").orderBy(sample_order(F.col("id")), "id")
     chosen = placed.select("id", "instrument", "raw_ra", "raw_dec").join(F.broadcast(most), "instrument", "left_semi")
@@ -276,7 +276,7 @@ def instrument_overlap(holdings: DataFrame, ways: int = 2, top: int = TOP) -> Da
 
 def by_position(holdings: DataFrame) -> DataFrame:
     cols = ["id", "star_id", "archive_code", "instrument", "obs_date", "match_status", "raw_target_name", "raw_ra", "raw_dec"]
-    return holdings.filter("raw_ra IS NOT NULL AND raw_dec IS NOT NULL").select(*cols)
+    return holdings.filter("raw_ra IS NOT NULL AND raw_dec IS NOT NULL AND NOT isnan(raw_ra) AND NOT isnan(raw_dec)").select(*cols)
 
 
 def treemap(per_instrument: DataFrame) -> DataFrame:

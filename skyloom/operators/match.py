@@ -185,20 +185,7 @@ def pixel_pairs(targets: DataFrame, pool: DataFrame, radius_arcsec: float, level
     """targets (t_ra, t_dec, t_year and any others) with the catalogue sources within the radius on their date, by
     nested pixels: every target looks into its pixel and the ring around it, which is far wider than any radius
     used here. pool: source_id, ra, dec, ref_epoch, pmra, pmdec and others."""
-    names = targets.columns
-
-    def look(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            pixels = b.column(b.num_columns - 1).to_pylist()
-            rings = [geo.ring(p, level) for p in pixels]
-            at = pa.array([i for i, r in enumerate(rings) for _ in r], pa.int64())
-            taken = b.take(at)
-            yield pa.RecordBatch.from_arrays([*taken.columns[:-1], pa.array([p for r in rings for p in r], pa.int64())], names=[*names, "_pixel"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in targets.schema) + ", _pixel bigint"
-    looked = targets.withColumn("_pixel", geo.healpix(F.col("t_ra"), F.col("t_dec"), level)).mapInArrow(look, schema)
+    looked = geo.with_rings(targets.withColumn("_own", geo.healpix(F.col("t_ra"), F.col("t_dec"), level)), "_own", "_pixel", level).drop("_own")
     placed = pool.filter("ra IS NOT NULL AND dec IS NOT NULL").withColumn("_pixel", geo.healpix(F.col("ra"), F.col("dec"), level))
     star = geo.moved_vector(F.col("ra"), F.col("dec"), F.col("pmra"), F.col("pmdec"), F.col("t_year") - F.col("ref_epoch"))
     pairs = spread_join(looked, placed, ["_pixel"]).drop("_pixel")

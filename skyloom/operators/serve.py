@@ -53,7 +53,7 @@ def filter_holdings(holdings: DataFrame, dims: DataFrame | None = None, archive:
 
 def batch_lines(text: str, df: DataFrame) -> DataFrame:
     """Non-blank trimmed lines of a text, each once, in order: pos, entry."""
-    lines = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit(text), r"\r?\n")).alias("pos", "entry")).select("pos", F.trim("entry").alias("entry"))
+    lines = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit(text), r"\r?\n")).alias("pos", "entry")).select("pos", F.btrim("entry", F.lit(" \t")).alias("entry"))
     return lines.filter("entry <> ''").groupBy("entry").agg(F.min("pos").alias("pos"))
 
 
@@ -83,12 +83,27 @@ def review_queue(queue: DataFrame, votes: DataFrame, reviewer: str) -> DataFrame
     return queue.join(seen, ["archive_code", "group_key"], "left_anti")
 
 
-def weighted_order(queue: DataFrame, n_votes: str, seed: str) -> DataFrame:
+def with_votes(queue: DataFrame, voters: DataFrame) -> DataFrame:
+    """The queue with n_votes, the most voters that an observation of the group has."""
+    single = queue.select("archive_code", "group_key", F.explode("archive_obs_ids").alias("archive_obs_id"))
+    most = single.join(voters, ["archive_code", "archive_obs_id"]).groupBy("archive_code", "group_key").agg(F.max("n_voters").alias("n_votes"))
+    return queue.join(most, ["archive_code", "group_key"], "left").na.fill(0, ["n_votes"])
+
+
+def review_page(queue: DataFrame, votes: DataFrame, reviewer: str, seed: str, offset: int, size: int) -> DataFrame:
+    """A page of the shuffled queue as a reviewer sees it, with place from 1."""
+    ordered = weighted_order(review_queue(queue, votes, reviewer), "n_votes", seed, "place")
+    return ordered.filter((F.col("place") > offset) & (F.col("place") <= offset + size))
+
+
+def weighted_order(queue: DataFrame, n_votes: str, seed: str, place: str) -> DataFrame:
     """A weighted shuffle without replacement: named groups first, then by -ln(u) / weight, where u comes from the
-    seed and the group and weight is the size halved by every vote."""
+    seed and the group and weight is the size halved by every vote. The queue has a top of a few thousand groups, so one
+    window numbers them."""
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed), "archive_code", "group_key")), 1, 8), 16, 10).cast("double") + 1) / 4294967297.0
     weight = F.greatest(F.col("n_records"), F.lit(1)) / F.pow(F.lit(2.0), F.col(n_votes))
-    return queue.withColumn("_k", -F.log(u) / weight).orderBy(F.desc(F.col("raw_target_name").isNotNull()), "_k").drop("_k")
+    order = Window.orderBy(F.desc(F.col("raw_target_name").isNotNull()), "_k")
+    return queue.withColumn("_k", -F.log(u) / weight).withColumn(place, F.row_number().over(order)).drop("_k")
 
 
 def at_offset(df: DataFrame, order: list[str], offset: int) -> DataFrame:
@@ -97,16 +112,17 @@ def at_offset(df: DataFrame, order: list[str], offset: int) -> DataFrame:
     return df.orderBy(*order).offset(offset % n).limit(1) if n else df.limit(0)
 
 
-def pack_rows(intervals: DataFrame, key: list[str], low: str, high: str) -> DataFrame:
-    """Interval charts: `row` puts each interval of a group, by start, into the first row whose last one has ended.
+def pack_rows(intervals: DataFrame, key: list[str], low: str, high: str, ties: list[str] = []) -> DataFrame:  # noqa: B006
+    """Interval charts: `row` puts each interval of a group, by start, end and `ties`, into the first row whose last one has ended.
     Inherently sequential within a group; groups are the few instruments of one star."""
     names = intervals.columns
 
     def pack(table: pa.Table) -> pa.Table:
         starts, stops = table.column(low).to_pylist(), table.column(high).to_pylist()
+        order = sorted(range(len(starts)), key=lambda i: (starts[i], stops[i], *(table.column(t)[i].as_py() for t in ties)))
         ends: list[float] = []
         row = [0] * len(starts)
-        for i in sorted(range(len(starts)), key=lambda i: (starts[i], stops[i])):
+        for i in order:
             place = next((r for r, e in enumerate(ends) if e <= starts[i]), len(ends))
             ends[place : place + 1] = [stops[i]]
             row[i] = place

@@ -54,6 +54,15 @@ def bin_size(wave: np.ndarray) -> float:
     return float(13 * np.median(steps)) if len(steps) else 0.0
 
 
+def bin_size_of(wave: Column) -> Column:
+    """bin_size as a column over an array."""
+    logs = F.transform(F.filter(wave, lambda w: w > 0), lambda w: F.log10(w))
+    steps = F.array_sort(F.filter(F.zip_with(F.slice(logs, 2, F.greatest(F.size(logs) - 1, F.lit(0))), logs, lambda b, a: b - a), lambda x: x > 0))
+    n = F.size(steps)
+    middle = (F.get(steps, F.floor((n - 1) / 2).cast("int")) + F.get(steps, F.floor(n / 2).cast("int"))) / 2
+    return F.coalesce(13 * middle, F.lit(0.0))
+
+
 def continuum(wave: np.ndarray, flux: np.ndarray) -> np.ndarray:
     """A smooth upper envelope: the highest fifth in bins of log wavelength, joined by a local linear fit."""
     good = np.isfinite(wave) & np.isfinite(flux) & (wave > 0)

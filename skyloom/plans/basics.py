@@ -10,7 +10,7 @@ from skyloom.operators import derive as D
 from skyloom.operators import serve as V
 from skyloom.operators import spectra as P
 from skyloom.operators.match import match_radius
-from skyloom.plans.derived import KNOWN, LABEL, a, h, ranges, s
+from skyloom.plans.derived import HOLDINGS, KNOWN, LABEL, a, h, ranges, s
 from skyloom.plans.matching import YEAR, key_sql, moved, sep, vec
 from skyloom.session import load
 
@@ -45,10 +45,8 @@ C = F.col
 SKEY = r"lower(regexp_replace(regexp_replace(trim({x}), '^(NAME|\*)\s+', '', 'i'), '\s+', ' ', 'g'))"
 
 # names and labels
-simple("f01_match_key", h, lambda: {"id": C("id"), "k": names.match_key(C("raw_target_name"))}, f"SELECT id, {key_sql('raw_target_name')} AS k FROM spectroscopy_holdings WHERE raw_target_name SIMILAR TO '[ -~]*'", "raw_target_name RLIKE '^[ -~]*$'")
-simple("f02_search_key", h, lambda: {"id": C("id"), "k": names.search_key(C("raw_target_name"))}, f"SELECT id, {SKEY.format(x='raw_target_name')} AS k FROM spectroscopy_holdings WHERE raw_target_name SIMILAR TO '[ -~]*'", "raw_target_name RLIKE '^[ -~]*$'")
-simple("f01_match_key_all", h, lambda: {"id": C("id"), "k": names.match_key(C("raw_target_name"))}, None)
-simple("f02_search_key_all", h, lambda: {"id": C("id"), "k": names.search_key(C("raw_target_name"))}, None)
+simple("f01_match_key", h, lambda: {"id": C("id"), "k": names.match_key(C("raw_target_name"))}, f"SELECT id, {key_sql('raw_target_name')} AS k FROM spectroscopy_holdings")
+simple("f02_search_key", h, lambda: {"id": C("id"), "k": names.search_key(C("raw_target_name"))}, f"SELECT id, {SKEY.format(x='raw_target_name')} AS k FROM spectroscopy_holdings")
 simple("f03_common_name", s, lambda: {"star_id": C("star_id"), "label": D.label()}, f"SELECT star_id, {LABEL} AS label FROM stars")
 simple("f04_known_as", s, lambda: {"star_id": C("star_id"), "label": names.known_as(C("name_aliases"), C("input_name"), C("gaia_source_id"))}, f"SELECT star_id, {KNOWN} AS label FROM stars")
 simple("f05_julian_year", h, lambda: {"id": C("id"), "y": F.round(geo.julian_year(C("obs_date")), 8)}, f"SELECT id, round({YEAR}, 8) AS y FROM spectroscopy_holdings")
@@ -78,7 +76,8 @@ simple("f24_list_join", s, lambda: {"star_id": C("star_id"), "names": F.array_jo
 simple("f25_group_key", h, lambda: {"id": C("id"), "k": names.group_key(C("raw_target_name"), C("archive_obs_id"))}, "SELECT id, coalesce(nullif(trim(raw_target_name), ''), 'obs:' || archive_obs_id) AS k FROM spectroscopy_holdings")
 simple("f26_json_get", t("archive_sync_state"), lambda: {"archive_code": C("archive_code"), "last_id": F.get_json_object("sync_cursor", "$.last_id").try_cast("bigint"), "t": F.get_json_object("sync_cursor", "$.last_t_min").try_cast("double")},
        "SELECT archive_code, try_cast(json_extract_string(sync_cursor, '$.last_id') AS BIGINT) AS last_id, try_cast(json_extract_string(sync_cursor, '$.last_t_min') AS DOUBLE) AS t FROM archive_sync_state")
-simple("f27_url_encode", h, lambda: {"id": C("id"), "u": F.concat(F.lit("https://x.example/?q="), F.url_encode("archive_obs_id"))}, "SELECT id, 'https://x.example/?q=' || url_encode(archive_obs_id) AS u FROM spectroscopy_holdings WHERE archive_obs_id SIMILAR TO '[A-Za-z0-9._/-]*'", "archive_obs_id RLIKE '^[A-Za-z0-9._/-]*$'")
+simple("f27_url_encode", h, lambda: {"id": C("id"), "u": F.concat(F.lit("https://x.example/?q="), F.url_encode("raw_target_name"))},
+       "SELECT id, 'https://x.example/?q=' || replace(replace(replace(url_encode(raw_target_name), '%20', '+'), '%2A', '*'), '~', '%7E') AS u FROM spectroscopy_holdings")
 simple("f28_display_size", s, lambda: {"star_id": C("star_id"), "size": geo.clamp(12 - C("phot_g_mean_mag").cast("double"), 1.5, 10.0)}, "SELECT star_id, CASE WHEN phot_g_mean_mag IS NOT NULL THEN greatest(1.5::DOUBLE, least(10::DOUBLE, 12 - phot_g_mean_mag::DOUBLE)) END AS size FROM stars")
 simple("f29_truncate_seconds", t("events"), lambda: {"event_id": C("event_id"), "ts": F.date_trunc("second", C("ts").cast("timestamp"))}, "SELECT event_id, date_trunc('second', ts) AS ts FROM events")
 simple("f30_product_priority", h, lambda: {"id": C("id"), "stamp": F.regexp_extract("archive_obs_id", r"(\d{4}-\d{2}-\d{2})", 1), "rank": F.when(C("archive_url").contains("get?"), 0).when(C("archive_url").contains("obs?"), 1).otherwise(2)},
@@ -223,10 +222,22 @@ def t02(spark, d):
     return h(spark, d).orderBy(F.desc(C("raw_target_name").isNotNull()), F.desc("updated_at"), "id").limit(40).select("id")
 
 
-@query("t06_weighted_order")
+QUEUE_VOTES = """v AS (SELECT archive_code, archive_obs_id, count(DISTINCT lower(trim(submitter))) AS n FROM skip_classifications GROUP BY ALL),
+  q AS (SELECT archive_code, coalesce(nullif(trim(raw_target_name), ''), 'obs:' || archive_obs_id) AS group_key, archive_obs_id, nullif(trim(raw_target_name), '') AS name,
+      row_number() OVER (PARTITION BY archive_code, coalesce(nullif(trim(raw_target_name), ''), 'obs:' || archive_obs_id) ORDER BY updated_at DESC, id DESC) AS rn
+    FROM spectroscopy_holdings WHERE match_status = 'skipped'),
+  g AS (SELECT archive_code, group_key, max(name) AS name, count(*) AS n_records, list(archive_obs_id ORDER BY rn) FILTER (WHERE rn <= 50) AS ids FROM q GROUP BY 1, 2),
+  t AS (SELECT * FROM g JOIN archives USING (archive_code) WHERE (archive_code, group_key) IN (SELECT archive_code, group_key FROM g ORDER BY (name IS NOT NULL) DESC, n_records DESC, archive_code, group_key LIMIT 2000)),
+  nv AS (SELECT archive_code, group_key, coalesce(max(v.n), 0) AS n_votes FROM (SELECT archive_code, group_key, unnest(ids) AS archive_obs_id FROM t) LEFT JOIN v USING (archive_code, archive_obs_id) GROUP BY 1, 2)"""
+
+
+@query("t06_weighted_order", f"""WITH {QUEUE_VOTES}
+  SELECT archive_code, group_key, n_records, n_votes, row_number() OVER (ORDER BY (name IS NOT NULL) DESC,
+    -ln((('0x' || substr(md5('seed' || archive_code || group_key), 1, 8))::UINTEGER::DOUBLE + 1)/4294967297) / (n_records / power(2::DOUBLE, n_votes)))::INT AS place
+  FROM t JOIN nv USING (archive_code, group_key)""")
 def t06(spark, d):
-    queue = D.triage_queue(h(spark, d), a(spark, d)).withColumn("n_votes", F.lit(0))
-    return V.weighted_order(queue, "n_votes", "seed").select("archive_code", "group_key", "n_records")
+    queue = V.with_votes(D.triage_queue(h(spark, d), a(spark, d)), D.voters(load(spark, d, "skip_classifications")))
+    return V.weighted_order(queue, "n_votes", "seed", "place").select("archive_code", "group_key", "n_records", "n_votes", "place")
 
 
 @query("t07_offset_wrap", "SELECT star_id FROM stars ORDER BY star_id OFFSET (SELECT 1000003 % count(*) FROM stars) LIMIT 1")
@@ -251,8 +262,7 @@ def u03(spark, d):
 
 
 # idioms of the connectors
-simple("x01_clean_float", h, lambda: {"id": C("id"), "x": text.clean_float(C("archive_obs_id"))}, "SELECT id, CASE WHEN isnan(x) THEN NULL ELSE x END AS x FROM (SELECT id, try_cast(archive_obs_id AS DOUBLE) AS x FROM spectroscopy_holdings WHERE regexp_full_match(archive_obs_id, '[0-9]*|[a-z]{2}[0-9][a-z0-9]*|[A-Z].*'))", "archive_obs_id RLIKE '^([0-9]*|[a-z]{2}[0-9][a-z0-9]*|[A-Z].*)$'")
-simple("x01_clean_float_all", h, lambda: {"id": C("id"), "x": text.clean_float(C("archive_obs_id"))}, "SELECT id, CASE WHEN isnan(x) THEN NULL ELSE x END AS x FROM (SELECT id, try_cast(archive_obs_id AS DOUBLE) AS x FROM spectroscopy_holdings)")
+simple("x01_clean_float", h, lambda: {"id": C("id"), "x": text.clean_float(C("archive_obs_id"))}, "SELECT id, CASE WHEN isnan(x) THEN NULL ELSE x END AS x FROM (SELECT id, try_cast(archive_obs_id AS DOUBLE) AS x FROM spectroscopy_holdings)")
 simple("x02_reduction_status", h, lambda: {"id": C("id"), "x": text.reduction_status((C("id") % 4).cast("string"))}, "SELECT id, CASE WHEN id % 4 <= 1 THEN 'raw' ELSE 'reduced' END AS x FROM spectroscopy_holdings")
 simple("x03_mjd_date", h, lambda: {"id": C("id"), "x": text.mjd_date(40000 + (C("id") % 20000) + 0.7)}, "SELECT id, DATE '1858-11-17' + (40000 + id % 20000)::INT AS x FROM spectroscopy_holdings")
 simple("x04_jd_date", h, lambda: {"id": C("id"), "x": text.jd_date(2440000.5 + (C("id") % 20000).cast("double"))}, "SELECT id, DATE '1858-11-17' + (40000 + id % 20000)::INT AS x FROM spectroscopy_holdings")
@@ -282,7 +292,7 @@ def x12(spark, d):
     return h(spark, d).groupBy(*key).agg(F.max(F.struct("updated_at", "id"))["id"].alias("id"))
 
 
-@query("x13_unpivot", "SELECT id, 'ra' AS axis, raw_ra AS v FROM spectroscopy_holdings UNION ALL SELECT id, 'dec', raw_dec FROM spectroscopy_holdings")
+@query("x13_unpivot", f"SELECT id, 'ra' AS axis, raw_ra AS v FROM {HOLDINGS} UNION ALL SELECT id, 'dec', raw_dec FROM {HOLDINGS}")
 def x13(spark, d):
     return h(spark, d).selectExpr("id", "stack(2, 'ra', raw_ra, 'dec', raw_dec) AS (axis, v)")
 
@@ -301,13 +311,12 @@ def x17(spark, d):
     return s(spark, d).select("star_id", text.pairs_map(items)["ra"].alias("x"))
 
 
-@query("x18_flexible_date", "SELECT id, obs_date AS x FROM spectroscopy_holdings WHERE year(obs_date) BETWEEN 1960 AND 2049")
-def x18(spark, d):
-    return flexible_dates(h(spark, d).filter("year(obs_date) BETWEEN 1960 AND 2049"))
+SHORT_YEAR = "CASE WHEN year(obs_date) % 100 < 50 THEN 2000 ELSE 1900 END + year(obs_date) % 100"
 
 
-@query("x18_flexible_date_all")
-def x18_all(spark, d):
+@query("x18_flexible_date", f"""SELECT id, CASE id % 3 WHEN 0 THEN obs_date WHEN 1 THEN try_cast(printf('%04d-%02d-%02d', {SHORT_YEAR}, month(obs_date), day(obs_date)) AS DATE)
+  ELSE CASE WHEN year(obs_date) BETWEEN 1900 AND 2099 THEN obs_date END END AS x FROM spectroscopy_holdings""")
+def x18(spark, d):
     return flexible_dates(h(spark, d))
 
 
@@ -352,9 +361,16 @@ def q07(spark, d):
     return series.select("star_id", F.size("series").cast("bigint").alias("n_points"), F.aggregate(F.map_values("series"), F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("total"))
 
 
-@query("q12_review_queue")
+@query("q12_review_queue", f"""WITH {QUEUE_VOTES}, m AS (SELECT DISTINCT archive_code, archive_obs_id FROM skip_classifications WHERE lower(trim(submitter)) = 'skywatch_000'),
+  s AS (SELECT DISTINCT archive_code, group_key FROM (SELECT archive_code, group_key, unnest(ids) AS archive_obs_id FROM t) SEMI JOIN m USING (archive_code, archive_obs_id)),
+  o AS (SELECT archive_code, group_key, n_records, n_votes, (row_number() OVER (ORDER BY (name IS NOT NULL) DESC,
+    -ln((('0x' || substr(md5('day 1' || archive_code || group_key), 1, 8))::UINTEGER::DOUBLE + 1)/4294967297) / (n_records / power(2::DOUBLE, n_votes))))::INT AS place
+    FROM t JOIN nv USING (archive_code, group_key) ANTI JOIN s USING (archive_code, group_key))
+  SELECT archive_code, group_key, n_records, n_votes, place FROM o WHERE place > 20 AND place <= 40""")
 def q12(spark, d):
-    return V.review_queue(D.triage_queue(h(spark, d), a(spark, d)), load(spark, d, "skip_classifications"), "SkyWatch_000").select("archive_code", "group_key", "n_records")
+    votes = load(spark, d, "skip_classifications")
+    queue = V.with_votes(D.triage_queue(h(spark, d), a(spark, d)), D.voters(votes))
+    return V.review_page(queue, votes, "SkyWatch_000", "day 1", 20, 20).select("archive_code", "group_key", "n_records", "n_votes", "place")
 
 
 @query("q15_options", "SELECT archive_code, count(*) AS n FROM spectroscopy_holdings GROUP BY 1")
@@ -373,9 +389,16 @@ def g26(spark, d):
     return h(spark, d).filter(C("star_id").isin(1, 2, 3, 42)).groupBy("star_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f20_packed_rows")
+@query("f20_packed_rows", """WITH RECURSIVE i AS (SELECT display_name, instrument, (300 + 10*(len(instrument)%7))::DOUBLE AS wave_min, (500 + 25*(len(display_name)%9))::DOUBLE AS wave_max
+    FROM spectroscopy_holdings JOIN archives USING (archive_code) WHERE instrument IS NOT NULL GROUP BY display_name, instrument),
+  n AS (SELECT *, row_number() OVER (PARTITION BY display_name ORDER BY wave_min, wave_max, instrument) AS k FROM i),
+  r AS (SELECT display_name, instrument, wave_min, wave_max, k, 0 AS "row", [wave_max] AS ends FROM n WHERE k = 1
+    UNION ALL SELECT n.display_name, n.instrument, n.wave_min, n.wave_max, n.k, coalesce(list_position(list_transform(ends, lambda e: e <= n.wave_min), true) - 1, len(ends))::INT,
+      CASE WHEN list_contains(list_transform(ends, lambda e: e <= n.wave_min), true) THEN list_transform(ends, lambda e, j: CASE WHEN j = list_position(list_transform(ends, lambda e2: e2 <= n.wave_min), true) THEN n.wave_max ELSE e END) ELSE list_append(ends, n.wave_max) END
+      FROM r JOIN n ON n.display_name = r.display_name AND n.k = r.k + 1)
+  SELECT display_name, instrument, wave_min, wave_max, "row"::INT AS "row" FROM r""")
 def f20(spark, d):
-    return V.pack_rows(ranges(spark, d), ["display_name"], "wave_min", "wave_max")
+    return V.pack_rows(ranges(spark, d), ["display_name"], "wave_min", "wave_max", ["instrument"])
 
 
 @query("f21_colours", "SELECT archive_code, ((row_number() OVER (ORDER BY f) - 1) % 8)::INT AS colour FROM (SELECT archive_code, min(id) AS f FROM spectroscopy_holdings GROUP BY 1)")
@@ -383,36 +406,44 @@ def f21(spark, d):
     return V.colour_index(h(spark, d), "archive_code", ["id"])
 
 
-@query("f23_batch_lines")
+LINES = " HD 1\n\nHD 2\r\nHD 1\n\t HD 3"
+
+
+@query("f23_batch_lines", "SELECT trim(line, ' ' || chr(9)) AS entry, min(pos)::INT AS pos FROM (SELECT unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT string_split(' HD 1' || chr(10) || chr(10) || 'HD 2' || chr(10) || 'HD 1' || chr(10) || chr(9) || ' HD 3', chr(10)) AS l)) WHERE trim(line, ' ' || chr(9)) <> '' GROUP BY 1")
 def f23(spark, d):
-    return V.batch_lines(" HD 1\n\nHD 2\nHD 1\n", h(spark, d))
+    return V.batch_lines(LINES, h(spark, d))
 
 
 @query("f14_rings")
 def f14(spark, d):
-    level = 7
-    rows = s(spark, d).select("star_id", geo.healpix(C("ra"), C("dec"), level).alias("pixel"))
+    rows = s(spark, d).select("star_id", geo.healpix(C("ra"), C("dec"), 7).alias("pixel"))
+    return geo.with_rings(rows, "pixel", "near", 7)
 
-    def rings(batches):
-        for b in batches:
-            yield b.append_column("ring", __import__("pyarrow").array([geo.ring(p, level) for p in b.column(1).to_pylist()]))
 
-    return rows.mapInArrow(rings, "star_id bigint, pixel bigint, ring array<bigint>").withColumn("ring", F.array_join(F.transform("ring", lambda x: x.cast("string")), ","))
+POLE = "radians(192.85948::DOUBLE) AS a0, radians(27.12825::DOUBLE) AS d0, radians(122.93192::DOUBLE - i) AS dl"
 
 
-@query("f16_galactic_plane")
+@query("f16_galactic_plane", f"""WITH g AS (SELECT i AS id, {POLE} FROM range(0, 361) r(i)),
+  e AS (SELECT id, asin(cos(d0)*cos(dl)) AS de, degrees(atan2(sin(dl), -sin(d0)*cos(dl)) + a0) AS r0 FROM g),
+  c AS (SELECT id, de, radians(CASE WHEN r > 180 THEN 360 - r ELSE -r END) AS l FROM (SELECT id, de, r0 - 360*floor(r0/360) AS r FROM e)),
+  p AS (SELECT id, 2*cos(de)*sin(l/2)/k AS x, sin(de)/k AS y FROM (SELECT *, sin(acos(cos(de)*cos(l/2)))/acos(cos(de)*cos(l/2)) AS k FROM c))
+  SELECT id, round(x, 7) AS x, round(y, 7) AS y, coalesce(power(x - lag(x) OVER (ORDER BY id), 2) + power(y - lag(y) OVER (ORDER BY id), 2) > 0.25, false) AS breaks FROM p""")
 def f16(spark, d):
     at = spark.range(361).select("id", geo.galactic_to_icrs(C("id").cast("double"), F.lit(0.0)).alias("p"))
     xy = at.select("id", geo.aitoff(C("p.ra"), C("p.dec")).alias("q")).select("id", "q.x", "q.y")
     before = Window.orderBy("id")
     gap = F.pow(C("x") - F.lag("x").over(before), 2) + F.pow(C("y") - F.lag("y").over(before), 2) > 0.25
-    return xy.select("id", "x", "y", F.coalesce(gap, F.lit(False)).alias("breaks"))
+    return xy.select("id", F.round("x", 7).alias("x"), F.round("y", 7).alias("y"), F.coalesce(gap, F.lit(False)).alias("breaks"))
+
+
+@query("f34_bin_size", """SELECT vec_id, round(13*list_sort(st)[(len(st) + 1)//2]/2 + 13*list_sort(st)[len(st)//2 + 1]/2, 12) AS bin_size
+  FROM (SELECT vec_id, list_transform(range(1, len(embedding)), lambda i: log10(5000.0::DOUBLE + i) - log10(4999.0::DOUBLE + i)) AS st FROM embeddings)""")
+def f34b(spark, d):
+    return load(spark, d, "embeddings").select("vec_id", F.round(P.bin_size_of(wave()), 12).alias("bin_size"))
 
 
 @query("f34_continuum")
 def f34(spark, d):
+    """Every point of every spectrum divided by its continuum."""
     spectra = load(spark, d, "embeddings").select("vec_id", wave().alias("wave"), F.transform(flux(), lambda x: F.abs(x) + 1).alias("flux"))
-    return P.normalise(spectra, "wave", "flux").select("vec_id", F.size("flux").alias("n"))
-
-
-
+    return P.normalise(spectra, "wave", "flux").select("vec_id", F.posexplode("flux").alias("point", "flux"))

@@ -26,7 +26,9 @@ def query(name: str, sql: str | None = None):
 
 
 def h(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "spectroscopy_holdings")
+    """The holdings, with NaN positions as null, as they would be had a feed brought them."""
+    rows = load(spark, d, "spectroscopy_holdings")
+    return rows.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("raw_ra", "raw_dec")})
 
 
 def s(spark: SparkSession, d: str) -> DataFrame:
@@ -44,10 +46,11 @@ def ranges(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("display_name", "instrument", low.cast("double").alias("wave_min"), high.cast("double").alias("wave_max"))
 
 
+HOLDINGS = "(SELECT * REPLACE (CASE WHEN NOT isnan(raw_ra) THEN raw_ra END AS raw_ra, CASE WHEN NOT isnan(raw_dec) THEN raw_dec END AS raw_dec) FROM spectroscopy_holdings)"
 LABEL = "coalesce(trim(substr(list_filter(name_aliases, lambda x: x LIKE 'NAME %')[1], 6)), name_aliases[1], input_name, gaia_source_id::VARCHAR)"
 KNOWN = "coalesce(name_aliases[1], input_name, gaia_source_id::VARCHAR)"
-CATEGORY = "CASE match_status WHEN 'matched' THEN match_method ELSE match_status END"
-PERIOD = "year(obs_date)::INT AS yr, CASE WHEN month(obs_date) < 7 THEN 1 ELSE 2 END AS half"
+CATEGORY = "CASE WHEN match_status = 'matched' THEN match_method ELSE match_status END"
+PERIOD = "year(obs_date)::INT AS yr, CASE WHEN month(obs_date) <= 6 THEN 1 ELSE 2 END AS half"
 COUNTS = f"c AS (SELECT star_id, {PERIOD}, count(*) AS n FROM spectroscopy_holdings WHERE star_id IS NOT NULL AND obs_date IS NOT NULL GROUP BY ALL)"
 PS = "ps AS (SELECT yr, half, row_number() OVER (ORDER BY yr, half) AS p FROM (SELECT DISTINCT yr, half FROM c))"
 WITHIN = "w AS (SELECT star_id, yr, half, n FROM c QUALIFY row_number() OVER (PARTITION BY yr, half ORDER BY n DESC, star_id) <= 20)"
@@ -60,7 +63,7 @@ DIVERSITY = f"""c AS (SELECT DISTINCT star_id, {PERIOD}, display_name || '::' ||
     wd AS (SELECT DISTINCT display_name || '::' || instrument AS k, log10((500 + 25*(len(display_name)%9))::DOUBLE / (300 + 10*(len(instrument)%7))::DOUBLE) AS lw
       FROM spectroscopy_holdings JOIN archives USING (archive_code) WHERE instrument IS NOT NULL AND 500 + 25*(len(display_name)%9) > 300 + 10*(len(instrument)%7)),
     dl AS (SELECT star_id, p, count(*) AS new_instruments, sum(coalesce(lw, 0::DOUBLE)) AS new_loglam FROM f LEFT JOIN wd USING (k) GROUP BY ALL)"""
-SPREAD = "CASE WHEN count(vx) > 1 THEN degrees(acos(least(1.0::DOUBLE, greatest(0.0::DOUBLE, sqrt(sum(vx)**2 + sum(vy)**2 + sum(vz)**2) / count(vx))))) END"
+SPREAD = "CASE WHEN count(vx) >= 2 THEN degrees(acos(least(1.0::DOUBLE, greatest(0.0::DOUBLE, sqrt(sum(vx)**2 + sum(vy)**2 + sum(vz)**2) / count(vx))))) END"
 
 
 @query("g01_archive_status", f"""
@@ -77,8 +80,8 @@ def g02(spark, d):
     return D.instrument_counts(h(spark, d), a(spark, d))
 
 
-@query("g03_instrument_sky_sample", """
-  WITH p AS (SELECT * FROM spectroscopy_holdings WHERE instrument IS NOT NULL AND raw_ra IS NOT NULL AND raw_dec IS NOT NULL),
+@query("g03_instrument_sky_sample", f"""
+  WITH p AS (SELECT * FROM {HOLDINGS} WHERE instrument IS NOT NULL AND raw_ra IS NOT NULL AND raw_dec IS NOT NULL),
     t AS (SELECT instrument FROM p GROUP BY 1 ORDER BY count(*) DESC, instrument LIMIT 12)
   SELECT instrument, raw_ra, raw_dec FROM p SEMI JOIN t USING (instrument)
   QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY md5(id::VARCHAR), id) <= 2000""")
@@ -201,15 +204,15 @@ def g17c(spark, d):
 
 
 LATEST = """SELECT display_name, raw_target_name, raw_ra, raw_dec, obs_date, {x} reduction_status
-  FROM (SELECT * FROM spectroscopy_holdings WHERE match_status = '{v}' ORDER BY updated_at DESC, id DESC LIMIT 20) JOIN archives USING (archive_code)"""
+  FROM (SELECT * FROM {h} WHERE match_status = '{v}' ORDER BY updated_at DESC, id DESC LIMIT 20) JOIN archives USING (archive_code)"""
 
 
-@query("g18_needs_review", LATEST.format(v="needs_review", x="theta_arcsec,"))
+@query("g18_needs_review", LATEST.format(v="needs_review", x="theta_arcsec,", h=HOLDINGS))
 def g18(spark, d):
     return D.latest_with_status(h(spark, d), a(spark, d), "needs_review")
 
 
-@query("g18_skipped", LATEST.format(v="skipped", x=""))
+@query("g18_skipped", LATEST.format(v="skipped", x="", h=HOLDINGS))
 def g18b(spark, d):
     return D.latest_with_status(h(spark, d), a(spark, d), "skipped")
 
@@ -224,7 +227,7 @@ def g18c(spark, d):
   WITH r AS (SELECT *, coalesce(nullif(trim(raw_target_name), ''), 'obs:' || archive_obs_id) AS group_key,
       row_number() OVER (PARTITION BY archive_code, coalesce(nullif(trim(raw_target_name), ''), 'obs:' || archive_obs_id) ORDER BY updated_at DESC, id DESC) AS rn,
       cos(radians(raw_dec))*cos(radians(raw_ra)) AS vx, cos(radians(raw_dec))*sin(radians(raw_ra)) AS vy, sin(radians(raw_dec)) AS vz
-    FROM spectroscopy_holdings WHERE match_status = 'skipped'),
+    FROM {HOLDINGS} WHERE match_status = 'skipped'),
   q AS (SELECT archive_code, group_key, max(nullif(trim(raw_target_name), '')) AS raw_target_name, count(*) AS n_records,
       list(archive_obs_id ORDER BY rn) FILTER (WHERE rn <= 50) AS ids, list(archive_url ORDER BY rn) FILTER (WHERE rn <= 50) AS urls,
       max(raw_ra) FILTER (WHERE rn = 1) AS raw_ra, max(raw_dec) FILTER (WHERE rn = 1) AS raw_dec, round({SPREAD}, 4) AS position_spread_deg,
@@ -275,7 +278,7 @@ def g22b(spark, d):
     return D.instrument_overlap(h(spark, d), 3)
 
 
-@query("g23_by_position", "SELECT id, star_id, archive_code, instrument, obs_date, match_status, raw_target_name, raw_ra, raw_dec FROM spectroscopy_holdings WHERE raw_ra IS NOT NULL AND raw_dec IS NOT NULL")
+@query("g23_by_position", f"SELECT id, star_id, archive_code, instrument, obs_date, match_status, raw_target_name, raw_ra, raw_dec FROM {HOLDINGS} WHERE raw_ra IS NOT NULL AND raw_dec IS NOT NULL")
 def g23(spark, d):
     return D.by_position(h(spark, d))
 

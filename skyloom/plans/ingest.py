@@ -86,7 +86,7 @@ def st05(spark, d):
   FROM x LEFT JOIN w USING (id) LEFT JOIN b USING (id)""")
 def m08(spark, d):
     cols = [*M.MOTION, "gaia_source_id", "source_catalog", "phot_g_mean_mag"]
-    tracked = s(spark, d).filter("star_id % 2 = 1 OR gaia_source_id IS NULL").select(*cols)
+    tracked = s(spark, d).select(*cols)
     pool = s(spark, d).filter("gaia_source_id IS NOT NULL").select(F.col("gaia_source_id").alias("source_id"), "ra", "dec", "ref_epoch", "pmra", "pmdec", "phot_g_mean_mag")
     out = M.fallback_match(targets(spark, d, "match_status = 'skipped'", 60.0), tracked, pool, *SPAN)
     return out.select(F.col("t_id").alias("id"), "gaia_source_id", "reason")

@@ -30,11 +30,11 @@ def date(i, d):
 
 def test_all_rows(spark, tmp_path):
     rows = list(zip(range(11), TEXTS, NAMES, DATES))
-    spark.createDataFrame(rows, "id bigint, archive_obs_id string, raw_target_name string, obs_date date").write.parquet(str(tmp_path / "spectroscopy_holdings.parquet"))
+    spark.createDataFrame([(*r, None, None) for r in rows], "id bigint, archive_obs_id string, raw_target_name string, obs_date date, raw_ra double, raw_dec double").write.parquet(str(tmp_path / "spectroscopy_holdings.parquet"))
     got = lambda name: {r[0]: r[1] for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
-    assert got("x01_clean_float_all") == {i: number(t) for i, t, _, _ in rows}
+    assert got("x01_clean_float") == {i: number(t) for i, t, _, _ in rows}
     match = {i: key(n, r"NAME|V\*|Cl\*|\*", "") for i, _, n, _ in rows}
-    assert got("f01_match_key_all") == {i: k if k is None else re.sub("^GL", "GJ", k.upper()) for i, k in match.items()}
+    assert got("f01_match_key") == {i: k if k is None else re.sub("^GL", "GJ", k.upper()) for i, k in match.items()}
     search = {i: key(n, r"NAME|\*", " ") for i, _, n, _ in rows}
-    assert got("f02_search_key_all") == {i: k if k is None else k.lower() for i, k in search.items()}
-    assert got("x18_flexible_date_all") == {i: date(i, d) for i, _, _, d in rows}
+    assert got("f02_search_key") == {i: k if k is None else k.lower() for i, k in search.items()}
+    assert got("x18_flexible_date") == {i: date(i, d) for i, _, _, d in rows}
