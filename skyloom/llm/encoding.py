@@ -5,8 +5,9 @@ steps (wrong, right): bytes written in `right` were read as `wrong`. Which one i
 runs of non-ASCII characters with the letters beside them: a chain that can be undone on a run changes the
 likelihood of the run under a model of character pairs. Expectation-maximization alternates
 
-E: the posterior of every unit's chain from that evidence and the share of each chain in the unit's source,
-M: the shares per source (weak evidence of many records counts together), and the pair model, from which what
+E: the posterior of every unit's chain from that evidence and the share of each chain in the unit's pool, its source
+   and field,
+M: the shares per pool (weak evidence of many records counts together), and the pair model, from which what
    is held to be damaged is taken out and to which its repaired form is added.
 
 The pair model starts from all documents. Units that no chain can explain to within KEEP of the intact reading
@@ -20,7 +21,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import pairwise
 
 import numpy as np
@@ -242,7 +243,7 @@ def _collect(stats: DataFrame, sizes: list[int]) -> list[np.ndarray]:
     return tables
 
 
-SUSPECT = "doc_id bigint, source string, text string, units array<array<string>>"
+SUSPECT = "doc_id bigint, field string, pool int, text string, units array<array<string>>"
 
 
 def _suspects(model):
@@ -252,7 +253,7 @@ def _suspects(model):
         m = Model(*model.value)
         for b in batches:
             hit, units = [], []
-            for i, text in enumerate(b.column(2).to_pylist()):
+            for i, text in enumerate(b.column(3).to_pylist()):
                 if not text or text.isascii():
                     continue
                 tokens = [[t for *_, t in runs(unit)] for unit in UNIT.findall(text) if not unit.isascii()]
@@ -260,17 +261,11 @@ def _suspects(model):
                     hit.append(i)
                     units.append(own)
             taken = b.take(pa.array(hit, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(units, pa.list_(pa.list_(pa.string())))], names=["doc_id", "source", "text", "units"])
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(units, pa.list_(pa.list_(pa.string())))], names=["doc_id", "field", "pool", "text", "units"])
 
     return keep
 
 
-def _source(name: str | None) -> int:
-    from xxhash import xxh32_intdigest
-
-    return xxh32_intdigest(name or "") % SOURCES
-
-
 def _expect(model, shares):
     """Statistics of an E step: kinds 0 to 2 what changes in the pair model, 3 chains per source."""
 
@@ -279,8 +274,7 @@ def _expect(model, shares):
         tables = [np.zeros(n) for n in (PAIRS, SINGLES, SINGLES, SOURCES * len(NAMES))]
         for b in batches:
             moved: Counter[str] = Counter()
-            for source, units in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = _source(source)
+            for s, units in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for tokens in units:
                     for i, p in posterior(m.gains(tokens), share[s])[2].items():
                         tables[3][s * len(NAMES) + i] += p
@@ -295,7 +289,7 @@ def _expect(model, shares):
     return step
 
 
-REPAIR = "doc_id bigint, damaged_units int, chains array<string>, probability double, restored boolean, text string"
+REPAIR = "doc_id bigint, field string, damaged_units int, chains array<string>, probability double, restored boolean, text string"
 
 
 def _repair(model, shares):
@@ -303,8 +297,8 @@ def _repair(model, shares):
         m, share = Model(*model.value), shares.value
         for b in batches:
             rows = []
-            for key, source, text in zip(*(b.column(i).to_pylist() for i in range(3))):
-                own, parts, chains, intact = share[_source(source)], [], [], 0.0
+            for key, field, pool, text in zip(*(b.column(i).to_pylist() for i in range(4))):
+                own, parts, chains, intact = share[pool], [], [], 0.0
                 for unit in UNIT.findall(text):
                     found = list(runs(unit)) if not unit.isascii() else []
                     best, p, _ = posterior(m.gains([t for *_, t in found]), own) if found else (-1, 0.0, None)
@@ -328,26 +322,29 @@ def _repair(model, shares):
                     parts.append(unit)
                 if chains:
                     fixed = "".join(parts)
-                    rows.append((key, len(chains), sorted(set(chains)), 1 - math.exp(intact), LOST not in fixed, fixed))
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.float64(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "damaged_units", "chains", "probability", "restored", "text"])
+                    rows.append((key, field, len(chains), sorted(set(chains)), 1 - math.exp(intact), LOST not in fixed, fixed))
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.float64(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "field", "damaged_units", "chains", "probability", "restored", "text"])
 
     return step
 
 
-def repair_encoding(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The damaged records only: doc_id, damaged_units, the chains, the probability that any unit is damaged,
+def repair_encoding(documents: DataFrame, key: str = "doc_id", texts: tuple[str, ...] = ("text",), source: str = "source") -> DataFrame:
+    """The damaged records only, one row for each damaged field: doc_id, field, damaged_units, the chains, the probability that any unit is damaged,
     restored (false where characters are lost for good) and the repaired text.
 
     Null, empty and ASCII texts are intact. Texts are read whole, whatever their length; equal texts get equal
-    results within a source. Null sources are one source. Other columns aren't read. An empty table gives none."""
+    results within a source and field, which pool their evidence (in SOURCES buckets by hash). Null sources are one
+    source. Other columns aren't read. An empty table gives none."""
     spark = documents.sparkSession
-    docs = documents.select(F.col(key).cast("bigint").alias("doc_id"), source_key(F.col(source)).alias("source"), F.col(text).alias("text"))
+    pool = lambda field: F.pmod(F.xxhash64(source_key(F.col(source)), F.lit(field)), F.lit(SOURCES)).cast("int").alias("pool")
+    parts = [documents.select(F.col(key).cast("bigint").alias("doc_id"), F.lit(t).alias("field"), pool(t), F.col(t).alias("text")) for t in texts]
+    docs = reduce(DataFrame.unionByName, parts)
     base = _collect(docs.select("text").mapInArrow(_count, TABLE), [PAIRS, SINGLES, SINGLES])
-    units = docs.groupBy(F.coalesce("source", F.lit("")).alias("s")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) / 90.0 + 1).alias("n"))
+    units = docs.groupBy("pool").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) / 90.0 + 1).alias("n"))
     sizes = np.zeros(SOURCES)
-    for r in units.limit(100_000).collect():
-        sizes[_source(r["s"])] += r["n"]
+    for r in units.collect():  # at most SOURCES rows
+        sizes[r["pool"]] = r["n"]
     shares = np.full((SOURCES, len(NAMES)), PRIOR / len(NAMES))
     model = base
     send = spark.sparkContext.broadcast
@@ -356,7 +353,7 @@ def repair_encoding(documents: DataFrame, key: str = "doc_id", text: str = "text
     suspects = cut(found)
     suspects = suspects.coalesce(max(2, suspects.rdd.getNumPartitions() // 3))
     for _ in range(ROUNDS):
-        stats = suspects.select("source", "units").mapInArrow(_expect(send(tuple(model)), send(shares)), TABLE)
+        stats = suspects.select("pool", "units").mapInArrow(_expect(send(tuple(model)), send(shares)), TABLE)
         *moved, chains = _collect(stats, [PAIRS, SINGLES, SINGLES, SOURCES * len(NAMES)])
         model = [x + y for x, y in zip(base, moved)]
         chains = chains.reshape(SOURCES, len(NAMES))

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import source_key
@@ -78,13 +78,17 @@ def _rate(tokens: Column, lam: Column, mean: Column, cap: Column) -> Column:
     return F.least(F.exp(F.least(lam * tokens / mean, F.lit(50.0))), cap)
 
 
-def _solve(lengths: DataFrame, want: dict[str, float], caps: dict[str, int], sums: dict[str, tuple[int, int]], tolerance: float) -> dict[str, float]:
-    """lambda per source. lengths: source, n_tokens, n."""
+def _solve(
+    lengths: DataFrame, want: dict[str, float], caps: dict[str, int], sums: dict[str, tuple[int, int]], tolerance: float
+) -> tuple[dict[str, float], dict[str, float]]:
+    """lambda per source and the relative miss of its budget there, the gradient of the dual, which is at most `tolerance`
+    where the steps converged. lengths: source, n_tokens, n."""
     spark = lengths.sparkSession
     mean = {s: t / n for s, (n, t) in sums.items()}
     lam = {s: 0.0 for s in want if 0 < want[s] < caps[s] * sums[s][1]}
+    best = dict(lam)
     low, high = dict.fromkeys(lam, -np.inf), dict.fromkeys(lam, np.inf)
-    todo = set(lam)
+    todo, misses = set(lam), dict.fromkeys(lam, float("inf"))
     for _ in range(STEPS):
         if not todo:
             break
@@ -97,6 +101,8 @@ def _solve(lengths: DataFrame, want: dict[str, float], caps: dict[str, int], sum
         )
         for row in got.collect():
             s, miss = row["source"], row["value"] - want[row["source"]]
+            if abs(miss) < misses[s] * want[s]:
+                best[s], misses[s] = lam[s], abs(miss) / want[s]
             if abs(miss) <= tolerance * want[s]:
                 todo.discard(s)
                 continue
@@ -104,7 +110,7 @@ def _solve(lengths: DataFrame, want: dict[str, float], caps: dict[str, int], sum
             most = 0.5 + abs(lam[s])
             step = lam[s] - (np.clip(miss / row["slope"], -most, most) if row["slope"] > 0 else np.sign(miss) * most)
             lam[s] = float(step) if low[s] < step < high[s] else (low[s] + high[s]) / 2
-    return lam
+    return best, misses
 
 
 def mix_sources(
@@ -115,11 +121,12 @@ def mix_sources(
 
     copies: doc_id, source, n_tokens, rate, copies for every document of a target source; copies may be 0 and
     never exceeds the source's max_repeats. report: for each target source target_share, max_repeats, documents,
-    tokens (what there is), budget, used_tokens, share (reached), most_copies and limited (true if it could not
-    supply its share).
+    tokens (what there is), budget, used_tokens, share (reached), most_copies, limited (true if it could not
+    supply its share), gradient and converged.
 
     Sources are compared by source_key; repeated targets add up, taking the larger max_repeats; a null or
-    non-positive share or max_repeats means none of it. Documents of other or null sources are in no mix,
+    non-positive share or max_repeats means none of it. gradient (relative miss of the budget by the rates) and
+    converged say how well the dual was solved; where it was not to within `tolerance`, the best step is used. Documents of other or null sources are in no mix,
     those without tokens have no copies. total_tokens defaults to all tokens of the target sources. Equal ids
     round alike. More than max_targets targets are refused."""
     rows = (
@@ -138,7 +145,7 @@ def mix_sources(
     want = {s: b for s, b in want.items() if b > 0}
     caps = {s: m for s, (_, m) in aims.items()}
     lengths = cut(counted.filter("n_tokens > 0").groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n")))
-    lam = _solve(lengths, want, caps, sums, tolerance)
+    lam, misses = _solve(lengths, want, caps, sums, tolerance)
     state = spark.createDataFrame(
         [(s, lam.get(s, 1e9), sums[s][1] / sums[s][0], float(caps[s]), float(want[s])) for s in want], "source string, lam double, mean double, cap double, budget double"
     )
@@ -150,29 +157,29 @@ def mix_sources(
         .withColumn("_at", F.when(F.col("rate") < F.coalesce("cap", F.lit(0.0)), F.when(F.col("n_tokens") > 0, u - (F.col("rate") - F.col("_base")))))
     )
     bin_ = F.floor((F.col("_at") + 1) / 2 * BINS).cast("int")
-    gains = rated.filter("budget IS NOT NULL").groupBy("source", bin_.alias("bin")).agg(
-        F.sum(F.col("_base") * F.col("n_tokens")).alias("base"), F.sum("n_tokens").alias("gain"), F.count(F.lit(1)).alias("n")
-    ).collect()  # at most BINS + 1 rows a source
-    edge = {}
-    for s in want:
-        own = [g for g in gains if g["source"] == s]
-        reach = np.zeros(BINS + 1)
-        for g in own:
-            if g["bin"] is not None:
-                reach[g["bin"] + 1] += g["gain"]
-        reach = np.cumsum(reach) + sum(g["base"] or 0 for g in own)
-        edge[s] = int(np.abs(reach - want[s]).argmin())
-    edges = spark.createDataFrame([(s, e) for s, e in edge.items()], "source string, edge int")
+    gains = rated.filter("budget IS NOT NULL").groupBy("source", "budget", F.coalesce(bin_ + 1, F.lit(0)).alias("edge")).agg(
+        F.sum(F.col("_base") * F.col("n_tokens")).alias("base"), F.sum(F.when(bin_.isNotNull(), F.col("n_tokens")).otherwise(0)).alias("gain")
+    )  # at most BINS + 2 rows a source: what all copies come to if the bins below an edge round up
+    zero = spark.createDataFrame([(s, float(want[s])) for s in want], "source string, budget double").select("source", "budget", F.lit(0).alias("edge"), F.lit(0.0).alias("base"), F.lit(0).alias("gain"))
+    of = Window.partitionBy("source")
+    reach = F.sum("gain").over(of.orderBy("edge")) + F.sum("base").over(of)
+    edges = (
+        gains.unionByName(zero).withColumn("_miss", F.abs(reach - F.col("budget")))
+        .groupBy("source").agg(F.min_by("edge", F.struct("_miss", "edge")).alias("edge"))
+    )
     copies = (
         rated.withColumn("_bin", bin_).join(F.broadcast(edges), "source", "left")
         .select("doc_id", "source", "n_tokens", "rate", (F.col("_base") + F.coalesce((F.col("_bin") < F.col("edge")).cast("int"), F.lit(0))).cast("int").alias("copies"))
     )
     used = copies.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"), F.sum(F.col("copies") * F.col("n_tokens")).alias("used_tokens"), F.max("copies").alias("most_copies"))
-    whole = spark.createDataFrame([(s, float(w), int(m), float(want.get(s, 0.0)), bool(w > 0 and want.get(s, 0.0) >= m * sums.get(s, (0, 0))[1])) for s, (w, m) in aims.items()], "source string, target_share double, max_repeats int, budget double, limited boolean")
+    whole = spark.createDataFrame(
+        [(s, float(w), int(m), float(want.get(s, 0.0)), bool(w > 0 and want.get(s, 0.0) >= m * sums.get(s, (0, 0))[1]), misses.get(s, 0.0), misses.get(s, 0.0) <= tolerance) for s, (w, m) in aims.items()],
+        "source string, target_share double, max_repeats int, budget double, limited boolean, gradient double, converged boolean",
+    )
     joined = whole.join(used, "source", "left").na.fill(0, ["documents", "tokens", "used_tokens", "most_copies"])
     total = joined.agg(F.sum("used_tokens").alias("_total"))
     report = joined.crossJoin(F.broadcast(total)).select(
         "source", "target_share", "max_repeats", "documents", "tokens", "budget", "used_tokens",
-        F.when(F.col("_total") > 0, F.col("used_tokens") / F.col("_total")).otherwise(0.0).alias("share"), "most_copies", "limited",
+        F.when(F.col("_total") > 0, F.col("used_tokens") / F.col("_total")).otherwise(0.0).alias("share"), "most_copies", "limited", "gradient", "converged",
     )
     return copies, report

