@@ -21,11 +21,13 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from functools import reduce as fold
 from html import unescape
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,8 @@ JOINED = re.compile("(?<=[\x21-\x7e])[\xa0–—](?=[\x21-\x7e])")
 BLANKS = re.compile(r"&(?:nbsp|amp|lt|gt|quot);")
 SPACES = re.compile("[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 WILD, SEED, SHORT, SHARD, SAMPLE = "~", 5, 4, 250_000, 8
+ODD = WILD + "\0"  # any word of another script that no item has
+KNOWN = 1 << 20  # words whose codes a task remembers
 SIGNS = {"Po", "Pd", "Ps", "Pe", "Pi", "Pf", "Pc", "Sm", "Sc", "Sk", "Zs"}  # what text has without being damaged
 NEAR = 8  # words by which the hits of a candidate may leave the diagonal
 COVER, FIGURES, ENOUGH = 9, 2.0, 17  # words that hits of SEED words cover, with so much weight of figures, or words that do without
@@ -66,10 +70,6 @@ def spelled(text: str) -> list[str]:
     return [own(w) if (r := reduce(w)) == WILD else r for w in WORD.findall(prepare(text)) if w[0] != "<"]
 
 
-def words(text: str) -> list[str]:
-    return [reduce(w) for w in WORD.findall(prepare(text)) if w[0] != "<"]
-
-
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Suffixes in order, by prefix doubling; after the first rounds only what still ties is sorted."""
     n = len(s)
@@ -248,7 +248,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], min_words: int):
         self.wild = 2
-        self.vocabulary: dict[str, int] = {WILD: self.wild}
+        self.vocabulary: dict[str, int] = {WILD: self.wild, ODD: self.wild + 1}
         self.keys, self.codes, self.of_word, self.needed = [], [], [], []
         for key, text in rows:
             spoken, of_word = [], []
@@ -271,6 +271,8 @@ class Items:
         self.parts = np.array([(np.searchsorted(w, w + 20) - np.arange(len(w))).max() for w in self.of_word])
         self.reduced = np.array([0, 1, *(self.wild if w[0] == WILD else c for w, c in self.vocabulary.items())])
         self.seeds = Seeds(phrases(self.codes, range(len(self.codes)), SHORT), SHORT)
+        whole = [[k for k, c in enumerate(self.codes) if len(c) == n and (c != self.wild).any()] for n in range(1, SHORT)]
+        self.whole = [Seeds(phrases(self.codes, ks, n), n) for n, ks in enumerate(whole, 1) if ks]  # items shorter than a seed
         tells = lambda s: (wild := s.count(self.wild)) < 3 or wild == 3 and max(figure[s]) == 1
         lettered = [k for k, c in enumerate(self.codes) if (self.reduced[c] != c).any()]
         self.damaged = Seeds(phrases([self.reduced[c] for c in self.codes], lettered, SEED, tells), SEED)
@@ -318,18 +320,48 @@ def plausible(items: Items, which: np.ndarray, codes: np.ndarray, low: np.ndarra
     return out
 
 
-def candidates(items: Items, seeds: Seeds, codes: np.ndarray, doc_of: np.ndarray, doc_start: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(doc, item, first, last word of the doc to align) by the shard's FM-index. Words 1 are the documents' ends,
-    word 0 what no item has; the last is the shard's own end."""
-    end = (1 << items.bits) - 1
-    index = FMIndex(np.r_[codes, end], items.bits)
+class Codes(dict):
+    """The codes of words as they stand in a text: -1 of mark-up, 0 of what no item has, ODD's of that in other scripts."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > KNOWN:
+            self.clear()
+        if word[0] == "<":
+            code = -1
+        else:
+            w = own(word) if (r := reduce(word)) == WILD else r
+            code = self.vocabulary.get(w, self.vocabulary[ODD] if w[0] == WILD else 0)
+        self[word] = code
+        return code
+
+    def of(self, text: str) -> np.ndarray:
+        found = WORD.findall(prepare(text))
+        codes = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        return codes[codes >= 0]
+
+
+def occurrences(seeds: Seeds, index: FMIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, place in it, position in the shard) of every seed found."""
     phrase, position = index.search(seeds.phrases)
-    if not len(phrase):
-        return []
     times = seeds.phrase_start[phrase + 1] - seeds.phrase_start[phrase]
-    seed = seeds.by_phrase[np.repeat(seeds.phrase_start[phrase] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())]
-    position = np.repeat(position, times)
-    item, at = seeds.rows[seed, 0], seeds.rows[seed, 1]
+    seed = seeds.by_phrase[np.repeat(seeds.phrase_start[phrase] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())] if len(phrase) else phrase
+    return seeds.rows[seed, 0], seeds.rows[seed, 1], np.repeat(position, times)
+
+
+def fm_index(items: Items, codes: np.ndarray) -> FMIndex:
+    """Words 1 are the documents' ends, word 0 what no item has; the last is the shard's own end."""
+    return FMIndex(np.r_[codes, (1 << items.bits) - 1], items.bits)
+
+
+def candidates(items: Items, seeds: Seeds, index: FMIndex, codes: np.ndarray, doc_of: np.ndarray, doc_start: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(doc, item, first, last word of the doc to align) by the shard's FM-index."""
+    item, at, position = occurrences(seeds, index)
+    if not len(item):
+        return []
     doc = doc_of[position]
     order = np.lexsort((at, position - at, item, doc))
     doc, item, at, position = doc[order], item[order], at[order], position[order]
@@ -371,10 +403,15 @@ def candidates(items: Items, seeds: Seeds, codes: np.ndarray, doc_of: np.ndarray
 LEAK = "doc_id bigint, item_id bigint, words int, identity double, figures double, span_start int, span_end int"
 
 
-def _search(sent, min_words: int, least: float):
-    def collect(items: Items, seeds: Seeds, codes: np.ndarray, of_items: list[np.ndarray], sizes: np.ndarray, docs: np.ndarray, hits: dict) -> None:
+def _search(sent, least: float):
+    def collect(items: Items, seeds: Seeds, codes: np.ndarray, of_items: list[np.ndarray], sizes: np.ndarray, docs: np.ndarray, hits: dict, whole: list[Seeds]) -> None:
         start = np.r_[0, np.cumsum(sizes)]
-        for d, i, lo, hi in candidates(items, seeds, codes, np.repeat(np.arange(len(sizes)), sizes), start):
+        index, doc_of = fm_index(items, codes), np.repeat(np.arange(len(sizes)), sizes)
+        for short in whole:
+            for i, p in zip(*(x.tolist() for x in occurrences(short, index)[::2])):
+                d = int(doc_of[p])
+                hits.setdefault((int(docs[d]), i), (int(items.of_word[i][-1]) + 1, 1.0, 1.0, p - start[d], p + short.length - 1 - start[d]))
+        for d, i, lo, hi in candidates(items, seeds, index, codes, doc_of, start):
             code, key = of_items[i], (int(docs[d]), i)
             for penalty in (1.0, 2.0):  # the second parts a passage from common wording that happens to stand beside it
                 a, b, x, y = align(code, codes[lo:hi], items.weight(code), penalty)
@@ -388,17 +425,18 @@ def _search(sent, min_words: int, least: float):
                         hits[key] = (n, same, figures, lo + x - start[d], lo + y - start[d])
                     break
 
-    def shard(items: Items, rows: list[tuple[int, str, list[str]]]) -> pa.RecordBatch:
-        get = items.vocabulary.get
-        code_of = lambda w: get(w) or (items.wild if w[0] == WILD else 0)
-        codes = np.fromiter((c for _, _, ws in rows for c in (*map(code_of, ws), 1)), np.int64)
-        sizes = np.array([len(ws) + 1 for *_, ws in rows])
+    def shard(items: Items, rows: list[tuple[int, str, np.ndarray]]) -> pa.RecordBatch:
+        codes = np.concatenate([x for *_, c in rows for x in (c, [1])])
+        sizes = np.array([len(c) + 1 for *_, c in rows])
+        ends = np.cumsum(sizes)
+        strange = np.r_[0, np.cumsum(codes == items.vocabulary[ODD])]
+        odd = strange[ends] > strange[ends - sizes]
+        codes[codes == items.vocabulary[ODD]] = items.wild
         hits: dict[tuple[int, int], tuple] = {}
-        collect(items, items.seeds, codes, items.codes, sizes, np.arange(len(rows)), hits)
-        odd = np.array([any(w[0] == WILD != w and w not in items.vocabulary for w in ws) for *_, ws in rows])
+        collect(items, items.seeds, codes, items.codes, sizes, np.arange(len(rows)), hits, items.whole)
         if odd.any() and len(items.damaged.rows):
             part = items.reduced[codes[np.repeat(odd, sizes)]]
-            collect(items, items.damaged, part, [items.reduced[c] for c in items.codes], sizes[odd], np.flatnonzero(odd), hits)
+            collect(items, items.damaged, part, [items.reduced[c] for c in items.codes], sizes[odd], np.flatnonzero(odd), hits, [])
         out = []
         for (d, i), (n, same, figures, x, y) in hits.items():
             key, text, _ = rows[d]
@@ -409,39 +447,46 @@ def _search(sent, min_words: int, least: float):
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(sent.value, min_words)
-        rows, size = [], 0
+        items = cloudpickle.loads(sent.value)
+        if not items.keys:
+            return
+        rows, size, table = [], 0, Codes(items.vocabulary)
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = spelled(text) if text else []
-                if len(found) >= SHORT:
+                found = table.of(text) if text else ()
+                if len(found):
                     rows.append((key, text, found))
                     size += len(found) + 1
                 if size >= SHARD:
                     yield shard(items, rows)
                     rows, size = [], 0
-        if rows and len(items.seeds.rows):
+        if rows:
             yield shard(items, rows)
 
     return run
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = 20, least: float = 0.75, max_items: int = 50_000) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = 20, least: float = 0.75, group_chars: int = 20_000_000) -> DataFrame:
     """doc_id, item_id, words (successive words of the item found), identity and figures (shares of
     its words, and of its words with digits, that agree) and the
     characters span_start to span_end of the document, once per pair that leaks.
 
-    Null, empty and very short texts hold nothing; an item shorter than min_words must be there as a whole, one
-    shorter than SHORT words is never found. Copies of a document leak each. A text longer than SHARD is a shard of
-    its own and is read whole. Items go to every task: more than max_items are refused, in place of a plan that
-    breaks. Other columns are not read."""
+    Null and empty texts hold nothing; an item shorter than min_words must be there as a whole, one shorter than SHORT
+    words unaltered; one of signs alone is never found. Copies of a document leak each. A text longer than SHARD is a
+    shard of its own and is read whole. Items go to every task, made ready once by the driver; where their texts have
+    more than group_chars characters, they are dealt to groups of about so many by a hash of the id, and the corpus is
+    searched once for each group. Other columns are not read."""
     spark = documents.sparkSession
-    rows = items.select(F.col("item_id").cast("bigint"), "text").limit(max_items + 1).collect()
-    if len(rows) > max_items:
-        raise ValueError(f"more than {max_items} items")
-    sent = spark.sparkContext.broadcast([(r[0], r[1]) for r in rows])
+    listed = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text")
+    chars = listed.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 20)).first()[0] or 0
+    groups = int(-(-chars // group_chars)) or 1
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return docs.mapInArrow(_search(sent, min_words, least), LEAK)
+    found = []
+    for g in range(groups):
+        rows = listed.filter(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g).collect()
+        sent = spark.sparkContext.broadcast(cloudpickle.dumps(Items([(r[0], r[1]) for r in rows], min_words)))
+        found.append(docs.mapInArrow(_search(sent, least), LEAK))
+    return fold(DataFrame.unionByName, found)
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

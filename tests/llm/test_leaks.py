@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from skyloom.llm.leaks import FMIndex, find_leaks, removal_spans, suffix_array, words
+from skyloom.llm.leaks import WORD, Codes, FMIndex, Items, find_leaks, prepare, reduce, removal_spans, suffix_array
 
 DOC, ITEM = "doc_id bigint, text string, item_id string, words int", "item_id bigint, text string, doc_id int"
 
@@ -22,6 +22,7 @@ def test_index_against_brute_force():
 
 
 def test_words():
+    words = lambda t: [reduce(w) for w in WORD.findall(prepare(t)) if w[0] != "<"]
     assert words("Été <b>in</b>&nbsp;the bogus-\nline 3.5 Ã©tÃ© *x* ″ d&eacute;j&agrave;") == ["t", "in", "the", "bogusline", "3", "5", "t", "x", "~", "dj"]
 
 
@@ -84,3 +85,17 @@ def test_three_altered_words_in_twenty(spark):
         docs.append(sentence(rng, 40) + " " + " ".join(own) + " " + sentence(rng, 40))
     found = find_leaks(spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(docs)], DOC), spark.createDataFrame([(0, item, 1)], ITEM))
     assert {r["doc_id"] for r in found.collect()} == {0, 1, 2, 3, 4}
+
+
+def test_short_items_are_found_as_they_stand_and_items_go_in_groups(spark):
+    docs = [(0, "Ask about Kepler-22 b tonight.", "x", 1), (1, "kepler 22 B", "x", 1), (2, "kepler 23 b", "x", 1), (3, "Звезда, да", "x", 1), (4, "one", "x", 1), (5, "!", "x", 1)]
+    items = [(1, "Kepler-22 b", 1), (2, "звезда да", 1), (3, "ONE", 1), (4, "--", 1), (5, "two words", 1)]
+    for chars in (20_000_000, 30):
+        found = find_leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM), group_chars=chars)
+        assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(0, 1), (1, 1), (3, 2), (4, 3)]
+
+
+def test_codes_are_those_of_the_items():
+    items = Items([(1, "Alpha 7 звезда β")], 20)
+    table = Codes(items.vocabulary)
+    assert table.of("alpha <b> 7, звезда β").tolist() == items.codes[0].tolist() and table.of("other иное").tolist() == [0, 3]
