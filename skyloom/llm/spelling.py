@@ -3,12 +3,16 @@
 A typed value is first cleaned: compatibility forms, letter case, accents, letters of other alphabets that look
 Latin, quotes, observing remarks. What is left is either a designation with a number ("HD 400684", "Gl 12658 B",
 "V6054 Kel"), which must agree exactly in catalogue, number and component after the usual slips (leading zeros,
-letter O for zero), or a name of words, which is looked up within a bounded edit distance:
-
-The reference names are indexed by symmetric deletion: every string left when up to two of the first PREFIX
-letters are deleted is a key of the name. A typed name has the same keys, and two names within two edits share
-one, so candidates come from an equi-join on hashed keys. The index goes to every task when its measured size
-is under `broadcast_rows`, and is joined by shuffle beyond it. Candidates are ranked by weighted
+letter O for zero), or a name of words. Designations of other catalogues are read as their letters and numbers, and
+names in other scripts as they stand.
+
+All of them are looked up in one index by symmetric deletion: every string left when some of the first PREFIX letters
+are deleted, together with all the numbers, is a key of the entry; two letters at most of a name, one of a designation.
+A typed value has the same keys, so what lies within as many edits shares one, and candidates come from an equi-join on
+hashed keys. That numbers and the component letter agree, and how far words may differ, is then tested exactly. A name
+whose last word is cut short has keys of its own, made of the words before it and the initial. The index goes to
+every task when its measured size is under `broadcast_rows`; beyond it, it is joined by shuffle, with frequent keys
+(short remains of many names) spread. Candidates are ranked by weighted
 Damerau-Levenshtein distance and then by how often the reference entry occurs; a tie between different targets
 is reported as ambiguous, what has no candidate as unmatched.
 """
@@ -20,16 +24,19 @@ import unicodedata
 from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.operators.skew import spread_join
 from skyloom.session import cut
 
 PREFIX, EDITS = 7, 2
+KEYS = 37  # keys that an entry has at most: 29 remains of a name and 8 of its head
 # Cyrillic and Greek letters that look like Latin ones.
-LOOKALIKES = str.maketrans("абвгеёзікмнорстухѕјԁԛԝυοαερκιντχ", "abbreeзikmhopctyxsjdqwuoaepkivtx".replace("з", "3"))
+LOOKALIKES = str.maketrans("абвгеёзікмнорстухѕјԁԛԝυοαερκιντχ", "abbree3ikmhopctyxsjdqwuoaepkivtx")
 PREFIXES = re.compile(r"^(?:\([^)]*\)\s*|(?:obj|object|target|std|star|sci|name|field)\s*[:=]\s*|(?:std|star|sci|name)[\s_]+)")
 SUFFIXES = re.compile(r"(?:\s*\[[^\]]*\]|\s*\([^)]*\)|[\s_-]+(?:-\s*)?(?:exp|seq|night|repeat|frame|s)[\s_]*\d+|\s*#\s*\d+)$")
 GAP = r"[\s_.\-]*"
@@ -49,6 +56,7 @@ SHORT = "alf bet gam del eps zet eta tet iot kap lam mu nu ksi omi pi rho sig ta
 BAYER = {**dict(zip(GREEK, SHORT)), **dict(zip(LETTERS, SHORT)), **dict(zip(SHORT, SHORT))}
 BAYER_FORM = re.compile(r"^\*?[\s_.\-]*([α-ω]|[a-z]{2,7}?)\.?[\s_.\-]*([a-z]{3})$")
 WORDS = re.compile(r"[a-z]+")
+TOKENS = re.compile(r"(\+?)([0-9]+(?:\.[0-9]+)?|[^\W\d_]+)")
 
 
 def number(s: str) -> str:
@@ -69,29 +77,44 @@ def clean(value: str) -> str:
 
 
 def parse(value: str | None) -> tuple[str, str] | None:
-    """('code', key) of a designation with a number, ('name', its words) of a name, None of anything else. A
-    comma between two words means that they are swapped."""
+    """('code', key) of a designation of a known catalogue, ('mixed', its letters and numbers) of others with numbers,
+    ('name', its words) of a name, ('other', the cleaned value) of what is left, None of blanks and signs. A comma
+    between two words means that they are swapped."""
     s = clean(value) if value else ""
     for form, key in FORMS:
         if m := form.match(s):
             return "code", key(m).strip()
     if (m := BAYER_FORM.match(s)) and m[1] in BAYER:
         return "code", f"* {BAYER[m[1]]} {m[2]}"
-    if not s or re.search(r"[0-9]", s):
+    if not any(map(str.isalnum, s)):
         return None
+    if re.search(r"[0-9]", s):
+        tokens = TOKENS.findall(s)
+        return "mixed", " ".join(sign + number(t) if t[0].isdigit() else t for sign, t in tokens)
     words = WORDS.findall(s)
     if re.fullmatch(r"[a-z]+\s*,\s*[a-z]+", s):
         words.reverse()
-    return ("name", " ".join(words)) if sum(map(len, words)) >= 4 and len(words) <= 4 else None
+    if sum(map(len, words)) >= 4 and len(words) <= 4 and not any(c.isalpha() and not c.isascii() for c in s):
+        return "name", " ".join(words)
+    return "other", " ".join(s.split())
+
 
+def remains(s: str, most: int) -> set[str]:
+    """What is left of the first PREFIX letters when up to `most` of them are deleted."""
+    s = s[:PREFIX]
+    return {"".join(c for i, c in enumerate(s) if i not in gone) for n in range(most + 1) for gone in combinations(range(len(s)), n)}
 
-def deletions(name: str) -> set[int]:
-    """Hashes of what is left of the first letters when up to EDITS of them are deleted."""
-    s = name.replace(" ", "")[:PREFIX]
-    left = {s}
-    for n in range(1, EDITS + 1):
-        left |= {"".join(c for i, c in enumerate(s) if i not in gone) for gone in combinations(range(len(s)), n)}
-    return {xxhash.xxh64_intdigest(x) - (1 << 63) for x in left}
+
+def deletions(form: str, key: str, typed: bool) -> set[int]:
+    """Hashes of the keys under which a value is looked up, or an entry found. A designation of a known catalogue is
+    typed as that catalogue has it, so its own key suffices."""
+    tokens = key.split(" ")
+    numbers = " ".join(t for t in tokens if t[-1].isdigit())
+    letters = "".join(t for t in tokens if not t[-1].isdigit())
+    keys = {f"{x}|{numbers}" for x in remains(letters, (0 if form == "code" and typed else 1) if numbers else EDITS)}
+    if form == "name" and len(tokens) > 1:
+        keys |= {f"{x}>{tokens[-1][0]}" for x in remains("".join(tokens[:-1]), 1)}
+    return {xxhash.xxh64_intdigest(x) - (1 << 63) for x in keys}
 
 
 def edits(a: str, b: str, most: float) -> float:
@@ -115,8 +138,21 @@ def edits(a: str, b: str, most: float) -> float:
 
 
 def cost(typed: str, entry: str) -> float:
-    """What separates a typed name from an entry. Spaces don't count. A last word cut short, down to an
-    initial, costs 0.5 besides the edits of the words before it."""
+    """What separates a typed value from an entry. Spaces don't count in names. A last word cut short, down to an
+    initial, costs 0.5 besides the edits of the words before it. Where there are numbers, all of them and all single
+    letters must be the same; one other word may be misspelt, and one of up to three letters only by a swap or
+    a double. Names of fewer than four characters must be the same."""
+    if typed == entry:
+        return 0.0
+    if any(map(str.isdigit, typed)) or any(map(str.isdigit, entry)):
+        a, b = typed.split(" "), entry.split(" ")
+        odd = [(x, y) for x, y in zip(a, b) if x != y]
+        if len(a) != len(b) or len(odd) != 1 or min(map(len, odd[0])) < 2 or odd[0][0][-1].isdigit() or odd[0][1][-1].isdigit():
+            return float("inf")
+        c = edits(*odd[0], 1)
+        return c if c < 1 or min(map(len, odd[0])) > 3 else float("inf")
+    if min(len(typed), len(entry)) < 4:
+        return float("inf")
     whole = edits(typed.replace(" ", ""), entry.replace(" ", ""), EDITS)
     head, _, tail = typed.rpartition(" ")
     head0, _, tail0 = entry.rpartition(" ")
@@ -134,10 +170,16 @@ def _parse_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([f[i] for f in found], pa.string()) for i in range(2)]], names=["value", "form", "key"])
 
 
-def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        hashes = [(k, h) for k in b.column(0).to_pylist() for h in deletions(k)]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in hashes], pa.string()), pa.array([x[1] for x in hashes], pa.int64())], names=["key", "hash"])
+def _delete(typed: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column(1).to_pylist()
+            hashes = [deletions(f, k, typed) for f, k in zip(b.column(0).to_pylist(), keys)]
+            at = np.repeat(np.arange(len(keys)), [len(x) for x in hashes])
+            flat = np.fromiter((h for x in hashes for h in x), np.int64, len(at))
+            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(at)), pa.array(flat)], names=["key", "hash"])
+
+    return run
 
 
 def _costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,12 +199,17 @@ def plausible(typed: Column, entry: Column) -> Column:
 
 
 def similar_names(typed: DataFrame, entries: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
-    """(typed, entry, cost) for all distinct keys of `typed` and `entries` (column key: words) within EDITS."""
-    index = entries.select("key").distinct().mapInArrow(_delete, "key string, hash bigint").withColumnRenamed("key", "entry")
-    asked = typed.select("key").distinct().mapInArrow(_delete, "key string, hash bigint").withColumnRenamed("key", "typed")
-    small = entries.select("key").distinct().limit(broadcast_rows // 29 + 1).count() * 29 <= broadcast_rows  # 29 keys a name
-    pairs = asked.join(F.broadcast(index) if small else index, "hash").filter(plausible(F.col("typed"), F.col("entry"))).select("typed", "entry").distinct()
-    return pairs.mapInArrow(_costs, "typed string, entry string, cost double")
+    """(typed, entry, cost) for all distinct keys of `typed` and `entries` (columns form and key) that cost() accepts."""
+    spark = typed.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # partitioned by number, so that few small rows are not put into one task before they are multiplied
+    index, asked = (df.select("form", "key").distinct().repartition(parts, "key").mapInArrow(_delete(x), "key string, hash bigint") for df, x in ((entries, False), (typed, True)))
+    index, asked = index.withColumnRenamed("key", "entry"), asked.withColumnRenamed("key", "typed")
+    small = entries.select("form", "key").distinct().limit(broadcast_rows // KEYS + 1).count() * KEYS <= broadcast_rows
+    met = asked.join(F.broadcast(index), "hash") if small else spread_join(asked, index, ["hash"])
+    pairs = met.filter(plausible(F.col("typed"), F.col("entry"))).select("typed", "entry").distinct()
+    same = pairs.filter("typed = entry").withColumn("cost", F.lit(0.0))
+    return same.unionByName(pairs.filter("typed <> entry").mapInArrow(_costs, "typed string, entry string, cost double"))
 
 
 def map_values(values: DataFrame, column: str, reference: DataFrame, entry: str, target: str, broadcast_rows: int = 200_000) -> DataFrame:
@@ -176,18 +223,17 @@ def map_values(values: DataFrame, column: str, reference: DataFrame, entry: str,
     names = listed.groupBy("value", "target").count().mapInArrow(_parse_reference, "entry string, target bigint, times bigint, form string, key string")
     lists = cut(names.groupBy("form", "key", "target").agg(F.min("entry").alias("entry"), F.sum("times").alias("times")))
     typed = cut(values.select(F.col(column).alias("value")).filter("value IS NOT NULL").distinct().mapInArrow(_parse_all, PARSED))  # both are read several times
-    codes = typed.filter("form = 'code'").join(lists.filter("form = 'code'"), ["form", "key"]).withColumn("cost", F.lit(0.0))
-    words, words0 = typed.filter("form = 'name'"), lists.filter("form = 'name'")
-    near = similar_names(words, words0, broadcast_rows)
-    spelled = words.join(near, F.col("key") == F.col("typed")).select("value", "cost", F.col("entry").alias("key")).join(words0, "key")
+    known, words0 = typed.filter("key IS NOT NULL"), lists.withColumnRenamed("key", "entry_key")
+    near = similar_names(known, lists, broadcast_rows).withColumnRenamed("entry", "entry_key").withColumnRenamed("typed", "key")
+    spelled = known.join(near, "key").join(words0.drop("form"), "entry_key")
     cols = ["value", "target", "entry", "cost", "times"]
-    ranked = codes.select(*cols).unionByName(spelled.select(*cols))
-    best = ranked.groupBy("value").agg(
+    close = F.col("cost") <= F.min("cost").over(Window.partitionBy("value")) + 0.15
+    best = spelled.select(*cols, close.alias("close")).groupBy("value").agg(
         F.min_by(F.struct("target", "entry", "cost"), F.struct("cost", -F.col("times"), "target")).alias("best"),
-        F.array_sort(F.collect_set(F.struct("cost", F.col("target").alias("to")))).alias("all"),
+        # whether another target costs as little: the least and the greatest of those close say so, without a list
+        (F.min(F.when(F.col("close"), F.col("target"))) != F.max(F.when(F.col("close"), F.col("target")))).alias("rival"),
     )
-    rivals = F.exists("all", lambda x: (x["to"] != F.col("best.target")) & (x["cost"] <= F.col("best.cost") + 0.15))
-    judged = best.select("value", F.when(rivals, "ambiguous").otherwise("matched").alias("status"), "best")
+    judged = best.select("value", F.when(F.col("rival"), "ambiguous").otherwise("matched").alias("status"), "best")
     return typed.select("value").join(judged, "value", "left").select(
         "value", F.coalesce("status", F.lit("unmatched")).alias("status"),
         F.when(F.col("status") == "matched", F.col("best.target")).alias("target"), F.col("best.entry").alias("entry"), F.col("best.cost").alias("cost"),

@@ -12,7 +12,7 @@ from skyloom.llm.spelling import EDITS, cost, deletions, edits, map_values, pars
         ("Gliese_5148.1B_s7", ("code", "gj 5148.1 b")), ("gl 5136", ("code", "gj 5136")), ('"GDR3 7000482162400973721"', ("code", "gaia dr3 7000482162400973721")),
         ("gaia dr3 source 7000459665386841", ("code", "gaia dr3 7000459665386841")), ("TYC10001-3712-1 #5", ("code", "tyc 10001-3712-1")), ("v6054  kel", ("code", "v 6054 kel")), ("*127 Ned", ("code", "* 127 ned")),
         ("*υ Mox #9", ("code", "* ups mox")), ("kappa Gwy", ("code", "* kap gwy")), ("* alf Ost", ("code", "* alf ost")), ("NAME Sosunudo Malede", ("name", "sosunudo malede")), ("Tizota, Dokizipo (9x300s)", ("name", "dokizipo tizota")),
-        ("lilénélo sifabé", ("name", "lilenelo sifabe")), ("Fоpоfоpе Lоmоnе", ("name", "fopofope lomone")), ("", None), (None, None), ("???", None), ("focus 12", None), ("QSO J0727+83.1", None),
+        ("lilénélo sifabé", ("name", "lilenelo sifabe")), ("Fоpоfоpе Lоmоnе", ("name", "fopofope lomone")), ("", None), (None, None), ("???", None), ("focus 12", ("mixed", "focus 12")), ("QSO J0727+83.1", ("mixed", "qso j 727 +83.1")), ("LHS-1140 b", ("mixed", "lhs 1140 b")), ("Сириус", ("other", "cиpиyc")), ("x", ("other", "x")),
     ],
 )
 def test_parse(typed, form):
@@ -28,7 +28,7 @@ def test_edits_and_deletions():
         for _ in range(EDITS):
             i = rng.randrange(len(b))
             b = rng.choice([b[:i] + b[i + 1 :], b[:i] + rng.choice("abcde") + b[i:], b[:i] + rng.choice("abcde") + b[i + 1 :], b[:i] + b[i : i + 2][::-1] + b[i + 2 :]]) or "a"
-        assert deletions(a) & deletions(b)
+        assert deletions("name", a, True) & deletions("name", b, False)
 
 
 @pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
@@ -43,7 +43,7 @@ def test_map_values_against_brute_force(spark, broadcast_rows):
     assert set(got) == {t for t in typed if t is not None}
     for t in got:
         p = parse(t)
-        costs = sorted((0.0 if p[0] == "code" else cost(p[1], q[1]), i) for e, i in entries if e and i is not None and (q := parse(e)) and p and q[0] == p[0] and (p[0] == "name" or p == q))
+        costs = sorted((0.0 if p[0] == "code" else cost(p[1], q[1]), i) for e, i in entries if e and i is not None and (q := parse(e)) and p and (p[0] != "code" or p == q))
         costs = [c for c in costs if c[0] <= EDITS + 0.5]
         want = ("unmatched", None) if not costs else ("ambiguous", None) if any(i != costs[0][1] and c <= costs[0][0] + 0.15 for c, i in costs) else ("matched", costs[0][1])
         assert got[t] == want, t
@@ -54,3 +54,11 @@ def test_empty(spark):
     ref = spark.createDataFrame([], "alias string, star bigint")
     assert map_values(none, "raw", ref, "alias", "star").count() == 0
     assert [tuple(r)[:3] for r in map_values(spark.createDataFrame([("HD 1",)], "raw string"), "raw", ref, "alias", "star").collect()] == [("HD 1", "unmatched", None)]
+
+
+def test_any_entry_is_found_as_it_stands_and_numbers_stay_exact(spark):
+    entries = [("LHS 1140", 1), ("BD+05 1668", 2), ("BD-05 1668", 3), ("Сириус А", 4), ("HD 77 B", 5), ("tau ceti", 6), ("Wolf 359", 7), ("α", 8)]
+    typed = {"lhs-1140": 1, "LHS 1141": None, "BD+05 1668": 2, "bd-05 1668": 3, "сириус а": 4, "HDD 77 B": 5, "HR 77 B": None, "HDD 77 C": None, "tau c": 6, "Wolff 359": 7, "Wolg 359": 7, "Golg 359": None, "α": 8, "β": None}
+    df, ref = spark.createDataFrame([(t,) for t in typed], "raw string"), spark.createDataFrame(entries, "alias string, star bigint")
+    for rows in (1_000_000, 0):
+        assert {r["value"]: r["target"] for r in map_values(df, "raw", ref, "alias", "star", rows).collect()} == typed
