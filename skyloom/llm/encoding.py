@@ -143,6 +143,12 @@ def runs(unit: str) -> Iterator[tuple[int, int, str]]:
         yield start, end, before.lower() + unit[start:end] + after.lower()
 
 
+def evidence(unit: str) -> tuple[tuple[tuple[int, int, str], ...], tuple[str, ...]]:
+    """The runs of a unit and their tokens."""
+    found = tuple(runs(unit)) if not unit.isascii() else ()
+    return found, tuple(t for *_, t in found)
+
+
 def _pairs(token: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of the character pairs, of their first and of their second characters."""
     c = np.frombuffer(token.encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -156,6 +162,7 @@ class Model:
     def __init__(self, pair: np.ndarray, first: np.ndarray, second: np.ndarray):
         self.pairs, self.firsts, self.seconds = (np.maximum(x, 0).tolist() for x in (pair, first, second))
         self.total = max(sum(self.seconds), 1.0)
+        self.known: dict[tuple[str, ...], dict[int, float]] = {}
         self.score = lru_cache(200_000)(self._score)
         self.effects = lru_cache(200_000)(self._effects)
 
@@ -185,7 +192,16 @@ class Model:
                 found.append((i, self.score(token[0] + new.replace(LOST, "") + token[-1]) - own - 4.0 * lost - 8.0 * bad))
         return found
 
-    def gains(self, tokens: list[str]) -> dict[int, float]:
+    def gains(self, tokens: tuple[str, ...]) -> dict[int, float]:
+        """Of a unit; units that repeat are reckoned once."""
+        total = self.known.get(tokens)
+        if total is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            total = self.known[tokens] = self._gains(tokens)
+        return total
+
+    def _gains(self, tokens: tuple[str, ...]) -> dict[int, float]:
         total: dict[int, float] = {}
         for t in tokens:
             for i, gain in self.effects(t):
@@ -209,7 +225,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for text in b.column(0).to_pylist():
             if text and not text.isascii():
-                tokens.update(t for unit in UNIT.findall(text) if not unit.isascii() for *_, t in runs(unit))
+                tokens.update(t for unit in UNIT.findall(text) if not unit.isascii() for t in evidence(unit)[1])
         if len(tokens) > 100_000:
             _add(tables, tokens)
             tokens.clear()
@@ -256,8 +272,8 @@ def _suspects(model):
             for i, text in enumerate(b.column(3).to_pylist()):
                 if not text or text.isascii():
                     continue
-                tokens = [[t for *_, t in runs(unit)] for unit in UNIT.findall(text) if not unit.isascii()]
-                if own := [x for x in tokens if any(g > -KEEP for g in m.gains(x).values())]:
+                tokens = [evidence(unit)[1] for unit in UNIT.findall(text) if not unit.isascii()]
+                if own := [x for x in tokens if max(m.gains(x).values(), default=-KEEP) > -KEEP]:
                     hit.append(i)
                     units.append(own)
             taken = b.take(pa.array(hit, pa.int64()))
@@ -274,15 +290,15 @@ def _expect(model, shares):
         tables = [np.zeros(n) for n in (PAIRS, SINGLES, SINGLES, SOURCES * len(NAMES))]
         for b in batches:
             moved: Counter[str] = Counter()
-            for s, units in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for tokens in units:
-                    for i, p in posterior(m.gains(tokens), share[s])[2].items():
-                        tables[3][s * len(NAMES) + i] += p
-                        if p > 0.01:
-                            for t in tokens:
-                                if (new := undo(t[1:-1], NAMES[i])) is not None:
-                                    moved[t] -= p
-                                    moved[t[0] + new.replace(LOST, "") + t[-1]] += p
+            alike = Counter((s, tuple(tokens)) for s, units in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for tokens in units)
+            for (s, tokens), n in alike.items():
+                for i, p in posterior(m.gains(tokens), share[s])[2].items():
+                    tables[3][s * len(NAMES) + i] += n * p
+                    if p > 0.01:
+                        for t in tokens:
+                            if (new := undo(t[1:-1], NAMES[i])) is not None:
+                                moved[t] -= n * p
+                                moved[t[0] + new.replace(LOST, "") + t[-1]] += n * p
             _add(tables, moved)
         yield _sparse(tables)
 
@@ -296,16 +312,19 @@ def _repair(model, shares):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, share = Model(*model.value), shares.value
         for b in batches:
-            rows = []
+            rows, judgements = [], {}
             for key, field, pool, text in zip(*(b.column(i).to_pylist() for i in range(4))):
                 own, parts, chains, intact = share[pool], [], [], 0.0
+                judged = judgements.setdefault(pool, {})
                 for unit in UNIT.findall(text):
-                    found = list(runs(unit)) if not unit.isascii() else []
-                    best, p, _ = posterior(m.gains([t for *_, t in found]), own) if found else (-1, 0.0, None)
+                    found, tokens = evidence(unit)
+                    if tokens not in judged:
+                        judged[tokens] = posterior(m.gains(tokens), own)[:2] if found else (-1, 0.0)
+                    best, p = judged[tokens]
                     intact += math.log1p(-min(p, 1 - 1e-9))
                     if p > 0.5:
                         if NAMES[best] == "lost":  # part of it may still come back
-                            others = {i: g for i, g in m.gains([t for *_, t in found]).items() if NAMES[i] != "lost" and g > 8}
+                            others = {i: g for i, g in m.gains(tokens).items() if NAMES[i] != "lost" and g > 8}
                             best = max(others, key=others.get, default=best)
                         chains.append(NAMES[best])
                         at, pieces = 0, []
