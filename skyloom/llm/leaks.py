@@ -31,7 +31,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"<[^<>\n]{1,120}>|(?:[A-Za-z0-9\x80-\U0010ffff]|&[A-Za-z]{2,8};|(?<=[a-z])-[ \t]*\r?\n[ \t]*(?=[a-z]))+")
+WORD = re.compile(r"<[^<>\n]{1,120}>|(?:[A-Za-z0-9\x80-\U0010ffff]++|&[A-Za-z]{2,8};|(?<=[a-z])-[ \t]*\r?\n[ \t]*(?=[a-z]))++")
 NOT_KEPT = re.compile(r"&[A-Za-z]+;|[^A-Za-z0-9]+")
 JOINED = re.compile("(?<=[\x21-\x7e])[\xa0–—](?=[\x21-\x7e])")
 BLANKS = re.compile(r"&(?:nbsp|amp|lt|gt|quot);")
@@ -294,12 +294,26 @@ def plausible(items: Items, which: np.ndarray, codes: np.ndarray, low: np.ndarra
     item, low, width = which[order], low[order], (high - low)[order]
     size = items.start[item + 1] - items.start[item]
     flat = places(items.start[item], size)
-    want, at, same = items.flat[flat], places(low, size), np.zeros(len(flat), bool)
-    ends = np.cumsum(size)
-    for step in range(-ALTERED - 1, int(width[0]) + ALTERED + 2):
-        n = ends[np.count_nonzero(width >= step - ALTERED - 1) - 1]
-        same[:n] |= codes[np.clip(at[:n] + step, 0, len(codes) - 1)] == want[:n]
+    # each candidate's stretch of the documents is laid out once, and the item's words beside it, so that the diagonals
+    # are shifted views of the one against the other
+    reach = width + 2 * ALTERED + 2
+    block = size + reach
+    ends = np.cumsum(block)
+    pad = np.full(int(block.max()) + ALTERED + 1, -2, np.int32)
+    there = np.concatenate([pad, codes.astype(np.int32), pad])[places(low - ALTERED - 1 + len(pad), block)]
+    want, same = np.full(len(there), -1, np.int32), np.zeros(len(there), bool)
+    want[places(ends - block, size)] = items.flat[flat]
+    for step in range(int(reach[0]) + 1):
+        n = ends[np.count_nonzero(reach >= step) - 1]
+        same[: n - step] |= there[step:n] == want[: n - step]
     count = np.array([w[-1] + 1 for w in items.of_word])[item]
+    # most agree in too few words wherever these are; only the others are counted by stretches of the item
+    some = np.flatnonzero(np.add.reduceat(same, ends - block, dtype=np.int64) >= np.minimum(count, 20) - ALTERED)
+    item, size, count = item[some], size[some], count[some]
+    flat, same = places(items.start[item], size), same[places((ends - block)[some], size)]
+    out = np.zeros(len(order), bool)
+    if not len(some):
+        return out
     first = np.r_[0, np.cumsum(count)[:-1]]
     word = items.word[flat] + np.repeat(first, size)
     whole = np.ones(count.sum(), np.int64)
@@ -315,8 +329,7 @@ def plausible(items: Items, which: np.ndarray, codes: np.ndarray, low: np.ndarra
         fits = total[end] - total[begin] >= (length - n + least)[of]
         fits &= sums[1][end] - sums[1][begin] >= 0.4 * (sums[0][end] - sums[0][begin]) - 1e-9
         good[of[fits]] = True
-    out = np.empty(len(item), bool)
-    out[order] = good
+    out[order[some]] = good
     return out
 
 
