@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 PARTS = 2000
 
 
-def spread_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", parts: int = PARTS, least: int = 10_000) -> DataFrame:
+def spread_join(
+    big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", parts: int = PARTS, least: int = 10_000, counted: tuple[DataFrame, float] | None = None
+) -> DataFrame:
     """big join small on equal keys ('inner' or 'left'), where a key may own any share of big.
 
     One aggregation first counts the keys, a key with a null as well. Keys with more than 1/parts of big's rows and more
@@ -19,15 +21,17 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     shares, and their rows in small are repeated for each number, so no task gets more than about 1/parts of big for one
     key. Rows are dealt by a hash of their columns. Null keys match nothing: an inner join leaves them out, a left join
     deals frequent ones like any other, without a partner in small. With no frequent key it is a plain join. The result
-    is the same either way."""
+    is the same either way.
+
+    Where big is dear to make, `counted` gives rows like a share of it, from which its frequent keys are estimated."""
     if how not in ("inner", "left"):
         raise ValueError(how)
-    seen = Observation()
-    counts = big.select(*keys).observe(seen, F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    seen, (sample, share) = Observation(), counted or (big, 1.0)
+    counts = sample.select(*keys).observe(seen, F.count(F.lit(1)).alias("n")).groupBy(*keys).agg((F.count(F.lit(1)) / share).cast("bigint").alias("_n"))
     if how == "inner":
         counts = counts.na.drop(subset=keys)
     top = counts.filter(F.col("_n") > least).orderBy(F.desc("_n")).limit(parts).collect()  # holds all with over 1/parts
-    heavy_at = max(least, int((seen.get or {}).get("n", 0)) // parts) if top else least
+    heavy_at = max(least, int((seen.get or {}).get("n", 0) / share) // parts) if top else least
     listed = [(*r[:-1], -(-r["_n"] // heavy_at)) for r in top if r["_n"] > heavy_at]
     if not listed:
         return big.join(small, keys, how)
