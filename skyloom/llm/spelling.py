@@ -34,6 +34,7 @@ from skyloom.operators.skew import spread_join
 from skyloom.session import cut
 
 PREFIX, EDITS = 7, 2
+SAMPLED = 16  # one typed value of so many shows which keys are frequent
 KEYS = 37  # keys that an entry has at most: 29 remains of a name and 8 of its head
 # Cyrillic and Greek letters that look like Latin ones.
 LOOKALIKES = str.maketrans("абвгеёзікмнорстухѕјԁԛԝυοαερκιντχ", "abbree3ikmhopctyxsjdqwuoaepkivtx")
@@ -177,7 +178,7 @@ def _delete(typed: bool):
             hashes = [deletions(f, k, typed) for f, k in zip(b.column(0).to_pylist(), keys)]
             at = np.repeat(np.arange(len(keys)), [len(x) for x in hashes])
             flat = np.fromiter((h for x in hashes for h in x), np.int64, len(at))
-            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(at)), pa.array(flat)], names=["key", "hash"])
+            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(at)), pa.array(flat)], names=["typed" if typed else "entry", "hash"])
 
     return run
 
@@ -203,13 +204,13 @@ def similar_names(typed: DataFrame, entries: DataFrame, broadcast_rows: int = 20
     spark = typed.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     # partitioned by number, so that few small rows are not put into one task before they are multiplied
-    index, asked = (df.select("form", "key").distinct().repartition(parts, "key").mapInArrow(_delete(x), "key string, hash bigint") for df, x in ((entries, False), (typed, True)))
-    index, asked = index.withColumnRenamed("key", "entry"), asked.withColumnRenamed("key", "typed")
+    keys = typed.select("form", "key").distinct().repartition(parts, "key")
+    asked, some = (df.mapInArrow(_delete(True), "typed string, hash bigint") for df in (keys, keys.filter(F.pmod(F.xxhash64("key"), F.lit(SAMPLED)) == 0)))
+    index = entries.select("form", "key").distinct().repartition(parts, "key").mapInArrow(_delete(False), "entry string, hash bigint")
     small = entries.select("form", "key").distinct().limit(broadcast_rows // KEYS + 1).count() * KEYS <= broadcast_rows
-    met = asked.join(F.broadcast(index), "hash") if small else spread_join(asked, index, ["hash"])
+    met = asked.join(F.broadcast(index), "hash") if small else spread_join(asked, index, ["hash"], counted=(some, 1 / SAMPLED))
     pairs = met.filter(plausible(F.col("typed"), F.col("entry"))).select("typed", "entry").distinct()
-    same = pairs.filter("typed = entry").withColumn("cost", F.lit(0.0))
-    return same.unionByName(pairs.filter("typed <> entry").mapInArrow(_costs, "typed string, entry string, cost double"))
+    return pairs.mapInArrow(_costs, "typed string, entry string, cost double")
 
 
 def map_values(values: DataFrame, column: str, reference: DataFrame, entry: str, target: str, broadcast_rows: int = 200_000) -> DataFrame:
