@@ -27,13 +27,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions import geo
-from skyloom.llm.spelling import _costs, _parse_reference, parse, plausible
+from skyloom.llm.spelling import SAMPLED, _costs, _parse_reference, parse, plausible
 from skyloom.operators.skew import spread_join
 from skyloom.session import cut
 
 #: bands and minima in each, by attribute
-SIGNED = {"name": (48, 3), "code": (4, 1), "place": (20, 2)}
-GRAM, GRIDS, DRIFT = 3, 12, 1 / 24
+SIGNED = {"name": (48, 3), "code": (4, 1), "place": (8, 2)}
+GRAM, GRIDS, DRIFT = 3, 12, 1 / 48
 STAR = ["star_id", "gaia_source_id", "ra", "dec", "ref_epoch", "pmra", "pmdec"]
 FEATURES = ["one", "named", "edit", "placed", "apart", "named_apart", "undated"]
 
@@ -98,12 +98,11 @@ def name_candidates(typed: DataFrame, listed: DataFrame) -> DataFrame:
     """key, entry and cost of the list entries like each distinct typed (form, key). All numbers of both agree."""
     parts = max(int(typed.sparkSession.conf.get("spark.sql.shuffle.partitions")), typed.sparkSession.sparkContext.defaultParallelism)
     # partitioned by number, so that few small rows are not put into one task before they are multiplied
-    asked, names = (df.select("form", "key").distinct().repartition(parts, "key").mapInArrow(_sign_keys, "key string, band bigint") for df in (typed.filter("key IS NOT NULL"), listed))
-    met = spread_join(asked.withColumnRenamed("key", "typed"), names.withColumnRenamed("key", "entry"), ["band"])
+    keys, entries = (df.select("form", "key").distinct().repartition(parts, "key") for df in (typed.filter("key IS NOT NULL"), listed))
+    asked, some, names = (df.mapInArrow(_sign_keys, "key string, band bigint") for df in (keys, keys.filter(F.pmod(F.xxhash64("key"), F.lit(SAMPLED)) == 0), entries))
+    met = spread_join(asked.withColumnRenamed("key", "typed"), names.withColumnRenamed("key", "entry"), ["band"], counted=(some, 1 / SAMPLED))
     pairs = met.filter(plausible(F.col("typed"), F.col("entry"))).select("typed", "entry").distinct()
-    same = pairs.filter("typed = entry").withColumn("cost", F.lit(0.0))
-    near = same.unionByName(pairs.filter("typed <> entry").mapInArrow(_costs, "typed string, entry string, cost double"))
-    return near.withColumnRenamed("typed", "key")
+    return pairs.mapInArrow(_costs, "typed string, entry string, cost double").withColumnRenamed("typed", "key")
 
 
 def place_signatures(ra: np.ndarray, dec: np.ndarray, cell: float) -> np.ndarray:
@@ -214,7 +213,7 @@ def train(x: np.ndarray, y: np.ndarray, held_out: np.ndarray) -> np.ndarray | No
 
 def link_rows(
     holdings: DataFrame, stars: DataFrame, label_rows: int = 20_000, name_limit: float = 600.0, place_limit: float = 2.0, earliest_year: float = 1900.0,
-    cell_arcsec: float = 120.0,
+    cell_arcsec: float = 240.0,
 ) -> DataFrame:
     """id, star_id, gaia_source_id, confidence, sep_arcsec, name_cost of every row of holdings without star_id whose
     star is found and has a gaia_source_id.
@@ -257,12 +256,13 @@ def link_rows(
     first, last = (span[0], span[1]) if span[0] is not None else (2016.0, 2016.0)
     cell = cell_arcsec / 3600
     placed = unnamed.select("id", "known", "year", F.explode("places").alias("p")).select("id", "known", "year", F.col("p.ra").alias("at_ra"), F.col("p.dec").alias("at_dec"))
-    signed_rows = placed.mapInArrow(_sign_rows(cell), "id bigint, known bigint, year double, at_ra double, at_dec double, band bigint")
+    row_schema = "id bigint, known bigint, year double, at_ra double, at_dec double, band bigint"
+    signed_rows, some = (df.mapInArrow(_sign_rows(cell), row_schema) for df in (placed, placed.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0)))
     star_schema = "star_id bigint, gaia_source_id bigint, ra double, dec double, ref_epoch double, pmra double, pmdec double, band bigint"
     signed_stars = catalogue.mapInArrow(_sign_stars(first, last, cell), star_schema)
     star = geo.moved_vector(*(F.col(c) for c in ("ra", "dec", "pmra", "pmdec")), F.col("year") - F.col("ref_epoch"))
     sep = F.min(geo.vector_separation(geo.unit_vector(F.col("at_ra"), F.col("at_dec")), star)).alias("sep")  # of several bands and conventions
-    near_by = spread_join(signed_rows, signed_stars, ["band"]).groupBy("id", "known", "year", "star_id", "gaia_source_id").agg(sep)
+    near_by = spread_join(signed_rows, signed_stars, ["band"], counted=(some, 1 / SAMPLED)).groupBy("id", "known", "year", "star_id", "gaia_source_id").agg(sep)
     by_place = near_by.filter(F.col("sep") <= cell_arcsec).withColumns({"cost": F.lit(None).cast("double"), "rival": F.lit(None).cast("double")})
     shared = ["id", "known", "year", "star_id", "gaia_source_id", "sep", "cost", "rival"]
     pairs = cut(features(with_names.filter("star_id IS NOT NULL").select(*shared).unionByName(by_place.select(*shared))))

@@ -48,7 +48,7 @@ def test_blocking_by_designation():
 def test_blocking_recall_by_place():
     """Two places up to 7 arcsec apart, which is what place_limit and DRIFT allow, over the whole sky, its poles and ra 0."""
     rng = np.random.default_rng(3)
-    n, cell = 20_000, 120 / 3600
+    n, cell = 20_000, 240 / 3600
     ra = np.r_[rng.uniform(0, 360, n), rng.uniform(-0.02, 0.02, n) % 360, rng.uniform(0, 360, n)]
     dec = np.r_[np.degrees(np.arcsin(rng.uniform(-1, 1, n))), rng.uniform(-80, 80, n), rng.choice([-1, 1], n) * (90 - rng.uniform(0.002, 0.2, n))]
     by, way = 7 / 3600 * np.sqrt(rng.random(3 * n)), rng.uniform(0, 2 * np.pi, 3 * n)
