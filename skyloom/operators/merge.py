@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyloom.functions.names import group_key
+from skyloom.functions.names import group_key, match_key
+from skyloom.functions.text import fixed_width
+from skyloom.operators.match import radial_pairs
 from skyloom.session import cut
 from skyloom.sources.tables import Snapshots
 
@@ -92,6 +94,89 @@ def resolve_id(identifiers: Column, prefix: str) -> Column:
     return F.get(hits, F.lit(0)).substr(F.lit(len(prefix) + 1), F.lit(30)).try_cast("bigint")
 
 
+def is_star(kind: Column) -> Column:
+    """Whether a resolver's object type, such as 'V*' or 'PM*', is a star's."""
+    return F.coalesce(F.trim(kind).endswith("*"), F.lit(False))
+
+
+def resolve_names(asked: DataFrame, catalogue: DataFrame, pool: DataFrame, radius_arcsec: float = 3.0) -> DataFrame:
+    """name, gaia_source_id and how ('identifier', 'place' or null) for every name asked (column name).
+
+    catalogue: name, identifiers (joined by |), kind, ra, dec. Only stars count. A star whose identifiers hold a catalogue
+    id has that; else the one source of pool (source_id, ra, dec) within the radius of it, if there is just one."""
+    known = catalogue.filter(is_star(F.col("kind"))).select("name", resolve_id(F.col("identifiers"), "Gaia DR3 ").alias("_id"), "ra", "dec")
+    one = known.groupBy("name").agg(F.min_by(F.struct("_id", "ra", "dec"), F.struct(F.col("_id").isNull(), "_id", "ra", "dec")).alias("k")).select("name", "k.*")
+    found = asked.select("name").distinct().join(one, "name", "left")
+    open_ = found.filter("_id IS NULL AND ra IS NOT NULL AND dec IS NOT NULL").select("name", F.col("ra").alias("t_ra"), F.col("dec").alias("t_dec"), F.lit(None).cast("double").alias("t_year"), F.lit(radius_arcsec).alias("t_radius"))
+    still = pool.select(F.col("source_id"), "ra", "dec", F.lit(2016.0).alias("ref_epoch"), F.lit(0.0).alias("pmra"), F.lit(0.0).alias("pmdec"))
+    near = radial_pairs(open_, still, radius_arcsec, 2016.0, 2016.0).groupBy("name").agg(F.count(F.lit(1)).alias("_n"), F.min("source_id").alias("_near"))
+    return found.join(near, "name", "left").select(
+        "name", F.coalesce("_id", F.when(F.col("_n") == 1, F.col("_near"))).alias("gaia_source_id"),
+        F.when(F.col("_id").isNotNull(), "identifier").when(F.col("_n") == 1, "place").alias("how"),
+    )
+
+
+def discover_stars(records: DataFrame, stars: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(found, counters) of a batch: stars of pool (gaia_source_id, name_aliases and any others) that its records name by
+    id, or by a name where they have none, and that the catalogue lacks. Counters: direct, named, known and new ids."""
+    ids = records.filter("gaia_source_id IS NOT NULL").select("gaia_source_id").distinct().withColumn("how", F.lit("direct"))
+    names = records.filter("gaia_source_id IS NULL").select(match_key(F.col("raw_target_name")).alias("_key")).filter("_key <> ''").distinct()
+    listed = pool.select("gaia_source_id", F.explode("name_aliases").alias("alias")).filter("alias IS NOT NULL").groupBy(match_key(F.col("alias")).alias("_key")).agg(F.max("gaia_source_id").alias("gaia_source_id"))
+    named = listed.join(names, "_key", "left_semi").select("gaia_source_id").distinct().withColumn("how", F.lit("named"))
+    wanted = ids.unionByName(named).groupBy("gaia_source_id").agg(F.min("how").alias("how"))
+    tracked = stars.filter("gaia_source_id IS NOT NULL").select("gaia_source_id").distinct().withColumn("_tracked", F.lit(True))
+    judged = wanted.join(tracked, "gaia_source_id", "left")
+    found = pool.join(judged.filter("_tracked IS NULL").select("gaia_source_id", "how"), "gaia_source_id")
+    counters = judged.agg(
+        F.count(F.when(F.col("how") == "direct", 1)).alias("direct"), F.count(F.when(F.col("how") == "named", 1)).alias("named"),
+        F.count("_tracked").alias("known"), F.count(F.when(F.col("_tracked").isNull(), 1)).alias("new"),
+    )
+    return found, counters
+
+
+def upsert_stars(stars: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """stars with the rows of found (unique by key, gaia_source_id or bsc_hr_number): a known star takes found's values, but
+    keeps its id and what found leaves null, such as the name it was asked for by, and has the aliases of both. New ones
+    get ids after the greatest."""
+    columns = [c for c in found.columns if c in stars.columns and c not in (key, "star_id")]
+    new = found.filter(F.col(key).isNotNull()).select(key, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_there"))
+    joined = stars.join(new, key, "left")
+    empty = F.array().cast("array<string>")
+    value = lambda c: F.array_distinct(F.concat(F.coalesce(F.col(c), empty), F.coalesce(F.col(f"_new_{c}"), empty))) if c == "name_aliases" else F.coalesce(F.col(f"_new_{c}"), F.col(c))
+    kept = joined.select(*[F.when(F.col("_there"), value(c)).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in stars.columns])
+    added = found.join(stars.filter(F.col(key).isNotNull()).select(key), key, "left_anti").filter(F.col(key).isNotNull()).select(key, *columns)
+    return assign_ids(kept.unionByName(added, allowMissingColumns=True), "star_id", [key])
+
+
+def seed_bright_stars(spark: SparkSession, path: str, fields: dict[str, tuple[int, int]], stars: DataFrame) -> DataFrame:
+    """stars with those of a fixed-width list of bright stars, by their number; lines without one are left out. A list that
+    was loaded before changes nothing but values."""
+    lines = spark.read.text(path).select(*fixed_width(F.col("value"), fields))
+    kinds = {f.name: f.dataType.simpleString() for f in stars.schema}
+    found = lines.select(*[F.col(c).try_cast(kinds[c]).alias(c) for c in fields]).filter("bsc_hr_number IS NOT NULL").dropDuplicates(["bsc_hr_number"])
+    return upsert_stars(stars, found, "bsc_hr_number").withColumn("source_catalog", F.coalesce("source_catalog", F.lit("bsc5")))
+
+
+def backfill(df: DataFrame, values: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """df with `columns` from values where they are null and the key is there. Of several values of a key the least."""
+    one = values.groupBy(key).agg(*[F.min(c).alias(f"_new_{c}") for c in columns])
+    joined = df.join(one, key, "left")
+    return joined.select(*[F.coalesce(F.col(c), F.col(f"_new_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def backfill_status(df: DataFrame, constants: dict[str, str], suffixes: dict[str, str]) -> DataFrame:
+    """Where reduction_status is 'unknown': the constant of the archive, else that of the address's ending."""
+    known = F.create_map(*[F.lit(x) for kv in constants.items() for x in kv])[F.col("archive_code")] if constants else F.lit(None)
+    ending = F.lit(None).cast("string")
+    for suffix, status in reversed(suffixes.items()):
+        ending = F.when(F.lower("archive_url").endswith(suffix), status).otherwise(ending)
+    return df.withColumn("reduction_status", F.when(F.col("reduction_status") == "unknown", F.coalesce(known, ending, F.col("reduction_status"))).otherwise(F.col("reduction_status")))
+
+
+def rewrite_urls(df: DataFrame, pattern: str, replacement: str, guard: Column) -> DataFrame:
+    return df.withColumn("archive_url", F.when(guard, F.regexp_replace("archive_url", pattern, replacement)).otherwise(F.col("archive_url")))
+
+
 def import_votes(votes: DataFrame, holdings: DataFrame, existing: DataFrame, most: int = 1000) -> DataFrame:
     """New classification rows from vote lines: archive_code, outcome, submitter, submitted_at, and one of
     raw_target_name and archive_obs_id. A vote by name goes to all rows now skipped under it, unless they are more

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.names import search_key
 from skyloom.operators.derive import star_name_index
+from skyloom.operators.match import cone_search
 
 
 def find_star(stars: DataFrame, query: str) -> DataFrame:
@@ -35,6 +36,35 @@ def holdings_for(holdings: DataFrame, archives: DataFrame, star: DataFrame) -> D
     return holdings.join(F.broadcast(star.select("star_id")), "star_id", "left_semi").join(F.broadcast(archives.select("archive_code", "display_name")), "archive_code")
 
 
+def star_page(holdings: DataFrame, archives: DataFrame, stars: DataFrame, query: str, **filters) -> DataFrame:
+    """The holdings of the star that is meant, with their place in the order shown: archive, instrument, date, id. Filters are
+    those of filter_holdings. One star's rows are numbered by one window, which spills where they are many."""
+    rows = filter_holdings(holdings_for(holdings, archives, find_star(stars, query)), **filters)
+    order = Window.orderBy("display_name", F.col("instrument").asc_nulls_first(), F.col("obs_date").asc_nulls_first(), "id")
+    return rows.withColumn("place", F.row_number().over(order))
+
+
+def cone_page(holdings: DataFrame, archives: DataFrame, stars: DataFrame, ra: float, dec: float, radius_deg: float, **filters) -> DataFrame:
+    """What the archives hold of every star within a cone: star_id, display_name, instrument, n."""
+    inside = cone_search(stars.select("star_id", "ra", "dec"), ra, dec, radius_deg, None).select("star_id")
+    rows = holdings.join(inside, "star_id", "left_semi").join(F.broadcast(archives.select("archive_code", "display_name")), "archive_code")
+    return filter_holdings(rows, **filters).groupBy("star_id", "display_name", "instrument").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cone_summary(stars: DataFrame, ra: float, dec: float, radius_deg: float) -> DataFrame:
+    """How many stars a cone holds, the brightest magnitude and the nearest's distance in arcsec."""
+    inside = cone_search(stars, ra, dec, radius_deg, None)
+    return inside.agg(F.count(F.lit(1)).alias("n"), F.min("phot_g_mean_mag").alias("brightest"), (F.min("sep_deg") * 3600).alias("nearest"))
+
+
+def series(values: DataFrame, periods: DataFrame, key: str, value: str) -> DataFrame:
+    """An array for each key with its value in every period in time, null where it has none. Periods (yr, half) are a few
+    hundred at most."""
+    at = periods.agg(F.array_sort(F.collect_list(F.struct("yr", "half"))).alias("_all"))
+    of = values.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("yr", "half"), F.col(value)))).alias("_map"))
+    return of.crossJoin(F.broadcast(at)).select(key, F.transform("_all", lambda p: F.try_element_at("_map", p)).alias("series"))
+
+
 def overlaps(low: Column, high: Column, want_low: float | None, want_high: float | None) -> Column:
     """Whether two ranges meet; an open end of the wanted one is 0 or infinite."""
     return (low <= (float("inf") if want_high is None else want_high)) & (high >= (0.0 if want_low is None else want_low))
@@ -69,6 +99,26 @@ def batch_lookup(entries: DataFrame, stars: DataFrame, holdings: DataFrame) -> D
     )
 
 
+def batch_rows(entries: DataFrame, stars: DataFrame, holdings: DataFrame, most: int = 2000) -> DataFrame:
+    """A row for each holding of each entry, and one for an entry without: entry, status ('not resolved', 'not tracked' where
+    the star has no holdings, 'tracked'), star_id and the columns of holdings. More than `most` entries are refused."""
+    if entries.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} names")
+    found = batch_lookup(entries, stars, holdings)
+    status = F.when(F.col("star_id").isNull(), "not resolved").when(F.col("n_holdings") == 0, "not tracked").otherwise("tracked")
+    return found.withColumn("status", status).drop("n_holdings").join(holdings, "star_id", "left")
+
+
+def instrument_csv(holdings: DataFrame, archives: DataFrame, instrument: str, columns: tuple[str, ...] = ("id", "display_name", "instrument")) -> tuple[int, Iterator[str]]:
+    """(200, lines) of an instrument's holdings; 400 without a name, 404 where there are none."""
+    if not (instrument or "").strip():
+        return 400, iter(())
+    rows = holdings.filter(F.col("instrument") == instrument)
+    if rows.isEmpty():
+        return 404, iter(())
+    return 200, csv_lines(rows.join(F.broadcast(archives.select("archive_code", "display_name")), "archive_code"), list(columns))
+
+
 def per_star_groups(rows: DataFrame) -> DataFrame:
     """Observations of each archive and instrument as a list, groups in order of their first date."""
     key = ["display_name", "instrument"]

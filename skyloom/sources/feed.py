@@ -102,11 +102,11 @@ class Log:
             return at.is_valid()
         return (at > self.typed(mark)) | ((at == self.typed(mark)) & (ds.field("archive_obs_id") > (obs_id or "")))
 
-    def after(self, mark, obs_id, size: int, instrument: str | None = None) -> tuple[pa.Table, list | None]:
+    def after(self, mark, obs_id, size: int, *instrument: str | None) -> tuple[pa.Table, list | None]:
         """The `size` rows that follow (mark, id), with all that tie with the last, and the last's mark and id."""
         keep = self.beyond(mark, obs_id)
-        if instrument is not None:
-            keep = keep & (ds.field("instrument") == instrument)
+        for name in instrument:
+            keep = keep & (ds.field("instrument").is_null() if name is None else ds.field("instrument") == name)
         order = [(self.mark, "ascending"), ("archive_obs_id", "ascending")]
         least = None
         for later, t in self.scan(keep, mark, columns=[self.mark, "archive_obs_id"]):
@@ -135,8 +135,10 @@ class Log:
                 out = both if out is None else [min(out[0], both[0]), max(out[1], both[1])]
         return out
 
-    def instruments(self) -> list[str]:
-        return sorted({x for _, t in self.scan(ds.field("instrument").is_valid(), columns=["instrument"]) for x in pc.unique(t["instrument"]).to_pylist()})
+    def instruments(self) -> list[str | None]:
+        """None stands for the rows without an instrument."""
+        found = {x for _, t in self.scan(ds.scalar(True), columns=["instrument"]) for x in pc.unique(t["instrument"]).to_pylist()}
+        return sorted(found, key=lambda x: (x is not None, x or ""))
 
 
 def next_page(log: Log, paging: str, cursor: dict, size: int, width: float = 7.0) -> tuple[pa.Table, dict]:
@@ -146,12 +148,14 @@ def next_page(log: Log, paging: str, cursor: dict, size: int, width: float = 7.0
     if paging == "per instrument":
         marks, pages = dict(cursor.get("marks", {})), []
         for name in log.instruments():
-            page, end = log.after(*marks.get(name, [None, None]), size, name)
+            key = json.dumps(name)
+            page, end = log.after(*marks.get(key, [None, None]), size, name)
             if end:
-                marks[name] = end
+                marks[key] = end
                 pages.append(page)
         return (pa.concat_tables(pages), {"marks": marks}) if pages else (log.empty(), cursor)
     if paging in ("window", "adaptive window"):
+        widest = width
         span = log.span(cursor.get("start"))
         if span is None:
             return log.empty(), cursor
@@ -161,7 +165,7 @@ def next_page(log: Log, paging: str, cursor: dict, size: int, width: float = 7.0
             if paging == "window":
                 return page, {"start": start + width, "width": width}
             if len(page) < size or width <= NARROWEST:
-                return page, {"start": start + width, "width": min(width * 2, WIDEST)}
+                return page, {"start": start + width, "width": min(width * 2, max(WIDEST, widest))}
             width = max(width / 2, NARROWEST)
     page, end = log.after(cursor.get("mark"), cursor.get("id"), size)
     return (page, {"mark": end[0], "id": end[1]}) if end else (page, cursor)
@@ -201,7 +205,7 @@ class Group(InputPartition):
 
 
 class FeedBatch(DataSourceReader):
-    """A whole log, one task for each row group that may hold the archive."""
+    """A whole log, one task for each row group that may hold the archive; * is all archives."""
 
     def __init__(self, options: dict):
         self.archive, self.path = options["archive"], options["path"]
@@ -211,7 +215,7 @@ class FeedBatch(DataSourceReader):
         for f in ds.dataset(self.path, format="parquet").get_fragments():
             for g in f.row_groups:
                 seen = (g.statistics or {}).get("archive_code")
-                if not seen or seen["min"] <= self.archive <= seen["max"]:
+                if not seen or self.archive == "*" or seen["min"] <= self.archive <= seen["max"]:
                     out.append(Group(f.path, g.id))
         return out or [Group("", -1)]
 
@@ -220,7 +224,7 @@ class FeedBatch(DataSourceReader):
             return
         fragment = next(ds.dataset(partition.file, format="parquet").get_fragments()).subset(row_group_ids=[partition.group])
         names = fragment.physical_schema.names
-        keep = ds.field("archive_code") == self.archive if "archive_code" in names else None
+        keep = ds.field("archive_code") == self.archive if "archive_code" in names and self.archive != "*" else None
         for b in fragment.to_batches(filter=keep, columns=[c for c in names if c in FIELDS or c.removeprefix("raw_") in FIELDS]):
             if len(b):
                 yield to_batch(pa.Table.from_batches([b]))

@@ -101,19 +101,88 @@ def write(units: list[tuple[dict, bytes]]) -> bytes:
     return out
 
 
+def image_unit(a: np.ndarray, name: str = "", first: bool = False, **more) -> tuple[dict, bytes]:
+    """For write(): an image of doubles."""
+    a = np.asarray(a, ">f8")
+    axes = {f"NAXIS{i + 1}": n for i, n in enumerate(a.shape[::-1])}
+    head = {"SIMPLE": True} if first else {"XTENSION": "IMAGE"}
+    return {**head, "BITPIX": -64, "NAXIS": a.ndim, **axes, **({"EXTNAME": name} if name else {}), **more}, a.tobytes()
+
+
+def table_unit(columns: dict[str, np.ndarray], name: str = "", units: dict[str, str] | None = None) -> tuple[dict, bytes]:
+    """For write(): a binary table of numbers, a row for each first index of the columns."""
+    arrays = {k: np.asarray(v) for k, v in columns.items()}
+    fields = [(k, ">i8" if v.dtype.kind == "i" else ">f8", v.shape[1:]) for k, v in arrays.items()]
+    data = np.zeros(len(next(iter(arrays.values()))), fields)
+    for k, v in arrays.items():
+        data[k] = v
+    head = {"XTENSION": "BINTABLE", "BITPIX": 8, "NAXIS": 2, "NAXIS1": data.dtype.itemsize, "NAXIS2": len(data), "PCOUNT": 0, "GCOUNT": 1, "TFIELDS": len(fields)}
+    for i, (k, t, shape) in enumerate(fields, 1):
+        head |= {f"TTYPE{i}": k, f"TFORM{i}": f"{int(np.prod(shape)) if shape else 1}{'K' if t == '>i8' else 'D'}", **({f"TUNIT{i}": units[k]} if units and k in units else {})}
+    return head | ({"EXTNAME": name} if name else {}), data.tobytes()
+
+
+PRIMARY = ({"SIMPLE": True, "BITPIX": 8, "NAXIS": 0}, b"")
+
+
+def write_votable(columns: dict[str, list]) -> bytes:
+    shown = lambda x: "" if x is None or x != x else str(x)
+    clean = lambda x: shown(x).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    fields = "".join(f'<FIELD name="{k}" datatype="char" arraysize="*"/>' for k in columns)
+    rows = "".join("<TR>" + "".join(f"<TD>{clean(x)}</TD>" for x in r) + "</TR>" for r in zip(*columns.values()))
+    return f'<VOTABLE version="1.3"><RESOURCE><TABLE>{fields}<DATA><TABLEDATA>{rows}</TABLEDATA></DATA></TABLE></RESOURCE></VOTABLE>'.encode()
+
+
+class Ranges:
+    """The units of a FITS file that is fetched by ranges: fetch(start, stop) gives bytes. Headers are read in blocks, data
+    only as asked for."""
+
+    def __init__(self, fetch, size: int):
+        self.fetch, self.units, at = fetch, [], 0
+        while at + BLOCK <= size:
+            raw = b""
+            while True:
+                raw += fetch(at + len(raw), min(at + len(raw) + 4 * BLOCK, size))
+                try:
+                    header, length = cards(raw)
+                    break
+                except ValueError:
+                    if at + len(raw) >= size:
+                        raise
+            axes = [int(header[f"NAXIS{i}"]) for i in range(1, int(header.get("NAXIS", 0)) + 1)]
+            n = (abs(int(header["BITPIX"])) // 8 * int(np.prod(axes)) + int(header.get("PCOUNT", 0))) if axes else 0
+            self.units.append((str(header.get("EXTNAME", "")).strip(), header, at + length, n))
+            at += length + -(-n // BLOCK) * BLOCK
+
+    def whole(self, i: int) -> Unit:
+        name, header, start, n = self.units[i]
+        unit = Unit(header, self.fetch(start, start + n), name)
+        if "TFIELDS" in header:
+            unit.columns = {str(header.get(f"TTYPE{k}", "")).strip(): str(header.get(f"TUNIT{k}", "")).strip() for k in range(1, int(header["TFIELDS"]) + 1)}
+        return unit
+
+    def row(self, i: int, row: int) -> Unit:
+        """The unit with only one row of its image."""
+        name, header, start, _ = self.units[i]
+        width = abs(int(header["BITPIX"])) // 8 * int(header["NAXIS1"])
+        if not 0 <= row < int(header.get("NAXIS2", 1)):
+            raise IndexError(row)
+        return Unit({**header, "NAXIS2": 1}, self.fetch(start + row * width, start + (row + 1) * width), name)
+
+
 def votable(raw: bytes) -> dict[str, np.ndarray]:
-    """The columns of a VOTable's first TABLEDATA table; blanks are NaN, text stays text."""
+    """The columns of a VOTable's first TABLEDATA table; blanks are NaN, text stays as it is."""
     root = ET.fromstring(raw)
     for e in root.iter():
         e.tag = e.tag.rpartition("}")[2]
     table = root.find(".//TABLE")
     names = [f.get("name") for f in table.findall("FIELD")]
-    rows = [[(td.text or "").strip() for td in tr.findall("TD")] for tr in table.iter("TR")]
+    rows = [[td.text or "" for td in tr.findall("TD")] for tr in table.iter("TR")]
     out = {}
     for i, n in enumerate(names):
         column = [r[i] for r in rows]
         try:
-            out[n] = np.array([float(x) if x else np.nan for x in column])
+            out[n] = np.array([float(x) if x.strip() else np.nan for x in column])
         except ValueError:
             out[n] = np.array(column, object)
     return out

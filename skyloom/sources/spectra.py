@@ -189,8 +189,76 @@ def parse(archive: str, raw: bytes, obs_id: str = "", url: str = "", instrument:
     return segments
 
 
-def read_spectra(files: DataFrame, normalised: bool = False) -> DataFrame:
-    """archive_obs_id, segments and error of rows (archive_code, archive_obs_id, archive_url, instrument, content): a
+def parse_ranges(archive: str, fetch, size: int, obs_id: str = "", url: str = "") -> list[dict]:
+    """As parse(), of a file of any size that is fetched by ranges, for the layouts that hold many spectra: the headers, the
+    table of targets and one row of each array are read, nothing else."""
+    layout = LAYOUTS.get("sdss_plate" if archive == "sdss_legacy_optical" and "/spPlate-" in url else archive)
+    if layout is None or layout.row not in ("target", "fiber"):
+        raise Unavailable(f"{archive} is not read by ranges")
+    file = fits.Ranges(fetch, size)
+    index = {name.upper(): i for i, (name, *_) in enumerate(file.units)}
+    find = lambda ext: ext if isinstance(ext, int) else index[ext.upper()] if not ext.isdigit() else int(ext)
+    if layout.row == "target":
+        hits = np.flatnonzero(file.whole(find("FIBERMAP")).column("TARGETID") == int(obs_id))
+        row = int(hits[0]) if len(hits) else -1
+    else:
+        fiber = re.search(r"fiber=(\d+)$", url)
+        row = int(fiber[1]) - 1 if fiber else -1
+    if row < 0:
+        raise Unavailable("no such row")
+    segments = []
+    for arm in layout.arms:
+        flux = file.row(find(arm.ext), row)
+        h = flux.header
+        wave = file.whole(find(arm.wave[1:])).image() if arm.wave.startswith("@") else 10.0 ** (h["CRVAL1"] + np.arange(int(h["NAXIS1"])) * h[arm.step])
+        sigma = _sigma(file.row(find(arm.sigma[1:]), row).image().reshape(-1), arm.ivar)
+        if s := thin(arm.label, wave * layout.scale, flux.image().reshape(-1), sigma, MOST):
+            segments.append(s)
+    return segments
+
+
+def write_spectrum(archive: str, flux: np.ndarray, start: float = 5000.0) -> bytes:
+    """A file in the layout of an archive, with flux at start, start + 1, ... Angstrom (10**(3.7 + 0.0001 i) where the layout
+    counts in logarithms by header), an uncertainty of 0.5, and spectra of zeros around it where it holds several."""
+    layout, n = LAYOUTS[archive], len(flux)
+    wave = start + np.arange(n)
+    shown = wave / (layout.scale or 10.0)
+    shown = np.log10(shown) if layout.power == "log10" else np.log(shown) if layout.power == "ln" else shown
+    head = {"CRVAL1": start, "CDELT1": 1.0}
+    logs = {"CRVAL1": 3.7, "CDELT1": 1e-4, "CD1_1": 1e-4}
+    if layout.votable:
+        arm = layout.arms[0]
+        return fits.write_votable({arm.wave: shown.tolist(), arm.flux: flux.tolist(), **({arm.sigma: [0.5] * n} if arm.sigma else {})})
+    many = layout.row in ("target", "fiber") or layout.orders or archive == "sdss_v_apogee"
+    last = layout.row in ("target", "fiber")
+    stack = lambda a: np.stack([a * 0, a] if last else [a, a * 0]) if many else a
+    first = isinstance(layout.arms[0].ext, int) and layout.arms[0].ext == 0
+    units = [] if first else [fits.PRIMARY]
+    if layout.row == "target":
+        units.append(fits.table_unit({"TARGETID": np.array([1, 77])}, "FIBERMAP"))
+    for arm in layout.arms:
+        error = np.full(n, 4.0 if arm.ivar else 0.5)
+        ext = arm.ext if isinstance(arm.ext, str) else ""
+        if arm.flux:
+            names = [x.split("|")[-1] for x in (arm.flux, arm.wave, arm.sigma) if x]
+            values = [flux, shown, error][: len(names)]
+            if layout.row == "first" or archive == "eso":
+                values = [v[None] for v in values]
+            units.append(fits.table_unit(dict(zip(names, values)), ext, {names[1]: "nm"} if layout.scale == 0 else None))
+            continue
+        f = flux * 2 if layout.blaze else flux
+        units.append(fits.image_unit(stack(f), ext, first and not units, **(logs if arm.wave.startswith("log10") else {} if arm.wave.startswith("@") else head)))
+        if arm.wave.startswith("@"):
+            units.append(fits.image_unit(np.stack([shown, shown]) if layout.orders else shown, arm.wave[1:]))
+        if arm.sigma:
+            units.append(fits.image_unit(stack(error), "" if arm.sigma[1:].isdigit() else arm.sigma[1:]))
+        if layout.blaze:
+            units.append(fits.image_unit(stack(np.full(n, 2.0)), layout.blaze))
+    return fits.write(units)
+
+
+def read_spectra(files: DataFrame, normalised: bool = False, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """archive_obs_id, the columns in keep, segments and error of rows (archive_code, archive_obs_id, archive_url, instrument, content): a
     row that can't be read has an error and no segments, and never stops the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,6 +280,8 @@ def read_spectra(files: DataFrame, normalised: bool = False) -> DataFrame:
                 except Exception as e:  # noqa: BLE001
                     found.append(None), errors.append(str(e) or type(e).__name__)
             kind = pa.list_(pa.struct([("label", pa.string()), *[(n, pa.list_(pa.float64())) for n in ("wavelength", "flux", "uncertainty")]]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found, kind), pa.array(errors, pa.string())], names=["archive_obs_id", "segments", "error"])
+            more = [b.column(b.schema.get_field_index(k)) for k in keep]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), *more, pa.array(found, kind), pa.array(errors, pa.string())], names=["archive_obs_id", *keep, "segments", "error"])
 
-    return files.select("archive_code", "archive_obs_id", "archive_url", "instrument", "content").mapInArrow(run, f"archive_obs_id string, segments {SEGMENT}, error string")
+    kept = "".join(f"`{k}` {files.schema[k].dataType.simpleString()}, " for k in keep)
+    return files.select("archive_code", "archive_obs_id", "archive_url", "instrument", "content", *keep).mapInArrow(run, f"archive_obs_id string, {kept}segments {SEGMENT}, error string")

@@ -34,8 +34,11 @@ def read_votes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(line.alias("v")).select("v.*").filter("archive_code IS NOT NULL OR submitter IS NOT NULL")
 
 
-def append_votes(votes: DataFrame, path: str) -> None:
-    votes.write.mode("append").json(path)
+def append_votes(votes: DataFrame, path: str, outcomes: list[str] | None = None) -> None:
+    """Appends votes as JSON lines; with `outcomes` only those that are valid. Every append is a file of its own that
+    appears when it is whole, so appends need no lock."""
+    kept = valid_votes(votes, outcomes).filter("error IS NULL").drop("error") if outcomes else votes
+    kept.write.mode("append").json(path)
 
 
 def write_sorted(df: DataFrame, path: str, by: str, partitions: int | None = None) -> None:
@@ -89,6 +92,67 @@ def current(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{json.loads(_get(spark, f'{root}/{name}.current'))[0]}")
 
 
+def optional_current(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """The published table, None if none was."""
+    return current(spark, root, name) if _get(spark, f"{root}/{name}.current") is not None else None
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a tab-separated access log: at (timestamp), key, value; lines that are none are left out."""
+    parts = F.split("value", "\t")
+    line = spark.read.text(path).select(F.get(parts, F.lit(0)).try_cast("timestamp").alias("at"), F.get(parts, F.lit(1)).alias("key"), F.get(parts, F.lit(2)).alias("value"))
+    return line.filter("at IS NOT NULL AND key <> ''")
+
+
+def count_accesses(spark: SparkSession, log: str, root: str, name: str) -> DataFrame:
+    """Counts per key, kept as a published table with the time up to which lines are counted: a run adds the lines after
+    that time, up to the latest that the log has, and a second run without new lines changes nothing."""
+    old = optional_current(spark, root, name)
+    mark = old.agg(F.max("counted_to")).first()[0] if old is not None else None
+    lines = read_log(spark, log)
+    latest = lines.agg(F.max("at")).first()[0]
+    fresh = lines if mark is None else lines.filter(F.col("at") > F.lit(mark))
+    if latest is not None and (mark is None or latest > mark):
+        counts = fresh.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        both = counts if old is None else old.select("key", "n").unionByName(counts)
+        publish(both.groupBy("key").agg(F.sum("n").alias("n")).withColumn("counted_to", F.lit(latest)), root, name)
+    held = optional_current(spark, root, name)
+    return held if held is not None else spark.createDataFrame([], "key string, n bigint, counted_to timestamp")
+
+
+def read_documents(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """One row for each JSON document of a file, nested lists as arrays of structs."""
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, partitions: int = 8, **options: str) -> DataFrame:
+    """A table of a database. With a numeric key the table is read in as many parts by ranges of it, whose limits are its
+    least and greatest value, so no part of the table is left out and the parts are read side by side."""
+    reader = spark.read.format("jdbc").option("url", url).options(**options)
+    if key is None:
+        return reader.option("dbtable", table).load()
+    low, high = reader.option("query", f'SELECT min("{key}") AS "low", max("{key}") AS "high" FROM {table}').load().first()
+    if low is None:
+        return reader.option("dbtable", table).load()
+    limits = {"partitionColumn": key, "lowerBound": str(low), "upperBound": str(int(high) + 1), "numPartitions": str(partitions)}
+    return spark.read.format("jdbc").option("url", url).options(**options).option("dbtable", table).options(**limits).load()
+
+
+def valid_votes(votes: DataFrame, outcomes: list[str]) -> DataFrame:
+    """votes with error, null where a vote may be kept: the archive, the submitter and a known outcome must be there, just one
+    of name and observation, and a catalogue id where the outcome attaches a star."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    return votes.withColumn(
+        "error",
+        F.when(blank("archive_code"), "no archive").when(blank("submitter"), "no submitter").when(F.col("submitter").rlike("[\\p{Cntrl}]") | (F.length("submitter") > 100), "bad submitter")
+        .when(~F.coalesce(F.col("outcome").isin(outcomes), F.lit(False)), "unknown outcome")
+        .when(blank("raw_target_name") == blank("archive_obs_id"), "name or observation, not both")
+        .when((F.col("outcome") == "attach_gaia_source") & F.col("proposed_gaia_source_id").isNull(), "no catalogue id")
+        .when((F.col("outcome") == "attach_bright_star") & F.col("proposed_bsc_hr_number").isNull(), "no bright-star number"),
+    )
+
+
 class Snapshots:
     """A Parquet table partitioned by one column, of which parts are replaced at once: new parts are written into a
     folder of their own, then a manifest that names the folders of all parts takes the old one's place. A reader has

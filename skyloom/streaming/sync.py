@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import datetime
+import json
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.operators.derive import dated
 from skyloom.operators.match import match_records
 from skyloom.operators.merge import KEY, write_merged
-from skyloom.sources.catalog import RAW_OBSERVATION
-from skyloom.sources.feed import register
-from skyloom.sources.tables import Snapshots
+from skyloom.sources.catalog import ARCHIVES, RAW_OBSERVATION
+from skyloom.sources.feed import Log, next_page, register, to_batch
+from skyloom.sources.tables import Snapshots, optional_current, publish
 
 HOLDINGS = (
     "id bigint, star_id bigint, archive_code string, archive_obs_id string, archive_url string, instrument string, obs_date date, program_id string, "
@@ -62,6 +66,69 @@ def drain(stream: DataFrame, sink, checkpoint: str, most_runs: int | None = None
             raise RuntimeError(f"not drained after {pages} pages; the checkpoint resumes")
 
 
+STATE = "archive_code string, sync_cursor string, last_run_at timestamp, last_run_status string, last_run_notes string, rows_seen_last_run bigint"
+
+
+class SyncState:
+    """Where every archive's run stands, as a published table: the cursor is stored after its page was written, so a run
+    that fails or is killed resumes at the page it was at, and pages written twice change nothing."""
+
+    def __init__(self, spark: SparkSession, root: str, name: str = "sync_state"):
+        self.spark, self.root, self.name = spark, root, name
+
+    def rows(self) -> dict[str, dict]:
+        held = optional_current(self.spark, self.root, self.name)
+        return {r["archive_code"]: r.asDict() for r in held.collect()} if held is not None else {}
+
+    def store(self, rows: dict[str, dict]) -> None:
+        publish(self.spark.createDataFrame([tuple(r[f.split(" ")[0]] for f in STATE.split(", ")) for r in rows.values()], STATE).coalesce(1), self.root, self.name)
+
+
+def run_archives(state: SyncState, archives: list[str], fetch, sink, page_cap: int | None = None, wrap: bool = False, now=None) -> list[str]:
+    """Runs the archives one after the other until each has nothing new or page_cap pages; gives those that failed.
+
+    fetch(archive, cursor) gives a page's rows as a DataFrame, their number and the next cursor; sink(archive, page) writes
+    it. A failure is noted with the archive's last good cursor and doesn't stop the others. A run under a cursor of its
+    own that is to find what came late uses wrap: at the end it starts over, and at the cap it keeps its place."""
+    failed, known = [], state.rows()
+    for archive in archives:
+        old = known.get(archive, {})
+        cursor, seen, pages = json.loads(old.get("sync_cursor") or "{}"), 0, 0
+        status, notes = "success", None
+        try:
+            while True:
+                page, n, after = fetch(archive, cursor)
+                if not n:
+                    cursor = {} if wrap else cursor
+                    break
+                if page_cap is not None and pages == page_cap:
+                    status = "partial"
+                    break
+                sink(archive, page)
+                cursor, seen, pages = after, seen + n, pages + 1
+        except Exception as e:  # noqa: BLE001
+            failed.append(archive)
+            status, notes = "failed", str(e).splitlines()[0][:500] if str(e) else type(e).__name__
+        known[archive] = {
+            "archive_code": archive, "sync_cursor": json.dumps(cursor, sort_keys=True), "last_run_at": now or datetime.datetime.now(datetime.timezone.utc),
+            "last_run_status": status, "last_run_notes": notes, "rows_seen_last_run": seen,
+        }
+    state.store(known)
+    return failed
+
+
+def fetch_from(spark: SparkSession, path: str, paging: dict[str, str], size: int, mark: str = "mark", width: float = 7.0):
+    """fetch() for run_archives over a recorded log."""
+
+    def fetch(archive: str, cursor: dict) -> tuple[DataFrame | None, int, dict]:
+        if ARCHIVES.get(archive, (None,))[0] == "stub":
+            raise NotImplementedError(f"{archive} has released nothing")
+        page, after = next_page(Log(path, archive, mark), paging.get(archive, "watermark"), cursor, size, width)
+        return (spark.createDataFrame(pa.Table.from_batches([to_batch(page)]), RAW_OBSERVATION) if len(page) else None), len(page), after
+
+    return fetch
+
+
 def period_counts(stream: DataFrame) -> DataFrame:
     """Rows per half-year, for complete or update mode."""
     return dated(stream.filter("obs_date IS NOT NULL")).groupBy("yr", "half").agg(F.count(F.lit(1)).alias("n"))

@@ -1,33 +1,50 @@
 import datetime
-import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from skyloom.sources.catalog import ARCHIVES
-from skyloom.sources.connectors import MAPS, to_records
+from skyloom.sources.catalog import ARCHIVES, RAW_OBSERVATION
+from skyloom.sources.connectors import MAPS, raw_columns, record_log, to_records
+from skyloom.sources.responses import record, respond, wire
 
-WORDS = set("case when then end else and or not is null as double int bigint string true like rlike between in desc isnan try_cast cast trim nullif floor date_add try_to_date substring abs split get coalesce degrees concat_ws concat regexp_extract regexp_extract_all regexp_replace substring_index lower format_string replace to_date timestamp_millis element_at".split())
-NUMBERS = {"t_min", "mjd", "mjd_obs", "dateobs", "ssa_dateobs", "time_bounds_lower", "obsdate_jd", "reduction_level", "start_millis"}
-
-
-def columns(m):
-    sql = " ".join([*m.fields.values(), m.keep, m.best])
-    return sorted({w for w in re.findall(r"[A-Za-z_][A-Za-z_0-9]*", re.sub(r"(DATE)?'[^']*'", " ", sql)) if w.lower() not in WORDS})
+ODD = ['a "b", c', "<x> & y", "Été Ωmega", " two  words ", "semi;colon", None, "100%_\\"]
 
 
 def test_every_archive_has_a_map():
     assert set(MAPS) == {a for a, s in ARCHIVES.items() if s.access != "stub"}
 
 
+@pytest.mark.parametrize("kind", ["votable", "json", "csv", "html", "listing", "fixed", "fits"])
+def test_responses_come_back_as_they_were(spark, tmp_path, kind):
+    """All pages of an answer, with odd characters and nulls; a column that the answer lacks is null, one not wanted is left out."""
+    rows = [(f"k{i}", x, "z") for i, x in enumerate(ODD * 3)]
+    log = spark.createDataFrame(rows, "key string, x string, other string")
+    record(log, str(tmp_path / "r"), kind, page_rows=6)
+    got = {r["key"]: (r["x"], r["gone"]) for r in respond(spark, str(tmp_path / "r"), kind, ["key", "x", "gone"]).collect()}
+    tidy = lambda x: x and x.rstrip() if kind in ("fixed", "fits") else x
+    assert {k: (tidy(a), b) for k, (a, b) in got.items()} == {k: (tidy(x), None) for k, x, _ in rows}
+
+
+def test_empty_log(spark, tmp_path):
+    for kind in ("votable", "json", "csv", "html"):
+        record(spark.createDataFrame([], "key string, x string"), str(tmp_path / kind), kind)
+        assert respond(spark, str(tmp_path / kind), kind, ["key", "x"]).count() == 0
+
+
 @pytest.mark.parametrize("archive", sorted(MAPS))
 def test_nulls_and_one_row(spark, archive):
-    names = columns(MAPS[archive])
-    kind = {"metadata": "map<string,string>", **({"ssa_location": "array<double>"} if archive == "hermes_mercator" else {})}
-    schema = ", ".join(f"{n} {kind.get(n, 'double' if n in NUMBERS else 'string')}" for n in names)
-    value = lambda n: {"metadata": {"target.name": "T"}, "class": "STAR", "imatype": "OBJO", "obstype": "TARGET", "file_name": "HARPN.2020-01-01T00:00:00.fits", "dataset": "20200102"}.get(n, [10.0, 20.0] if kind.get(n) == "array<double>" else 2458849.7 if n == "obsdate_jd" else 58849.7 if n in NUMBERS else "2020-01-01" if "date" in n else "12")
-    df = spark.createDataFrame([tuple(value(n) for n in names), tuple(None for _ in names)], schema)
-    got = to_records(df, archive, "https://x.example/{id}").collect()
-    assert len(got) in (1, 2) and got[0]["archive_code"] == archive and any(r["archive_obs_id"] for r in got)
+    """A record with everything and one with nothing but an id, through the columns of the archive's log."""
+    full = ("a", "o 1", "http://u", "I", datetime.date(2020, 1, 1), "P", 12, 10.5, -20.25, "HD 5", "reduced")
+    bare = ("a", "o2", *[None] * 9)
+    log = record_log(spark.createDataFrame([full, bare], RAW_OBSERVATION), archive)
+    assert set(log.columns) == set(raw_columns(archive))
+    if archive == "salt_hrs":
+        log = log.withColumn("metadata", F.from_json("metadata", "array<struct<key:string,value:string>>"))
+    got = to_records(log, archive, "https://x.example/{id}").collect()
+    best = max(got, key=lambda r: sum(x is not None for x in r))
+    assert best["archive_code"] == archive and best["archive_obs_id"] and (best["obs_date"] in (None, full[4])) and all(r["archive_url"] for r in got if "archive_url" not in MAPS[archive].fields)
+    if "ra" in MAPS[archive].fields:
+        assert abs(best["ra"] - 10.5) < 1e-4 and abs(best["dec"] + 20.25) < 1e-4
 
 
 def test_values(spark):

@@ -3,11 +3,13 @@ import datetime
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from skyloom.operators.merge import write_merged
 from skyloom.sources.catalog import ARCHIVES, PAGINGS
-from skyloom.sources.feed import FIELDS, Log, next_page, register
-from skyloom.sources.tables import append_votes, current, optional, publish, read_votes, retry, summary_json, write_sorted
-from skyloom.streaming.sync import drain, feed, one_vote_each, period_counts, table, write_batch
+from skyloom.sources.feed import FIELDS, Log, next_page, register, to_batch
+from skyloom.sources.tables import Snapshots, append_votes, count_accesses, current, optional, publish, read_votes, retry, summary_json, write_sorted
+from skyloom.streaming.sync import SyncState, drain, feed, one_vote_each, period_counts, run_archives, table, write_batch
 
 
 def log(tmp_path, marks, instruments=("I",)):
@@ -82,3 +84,65 @@ def test_tables(spark, tmp_path):
     with pytest.raises(ValueError):
         retry(lambda: calls.append(1) or int("x"), sleep=waits.append)
     assert len(calls) == 5 and waits == [15, 30, 60, 120]
+
+
+def test_log_skips_row_groups_and_counts_dates(tmp_path):
+    path = str(tmp_path / "sorted.parquet")
+    n = 1000
+    t = pa.table({"archive_code": ["a"] * n, "archive_obs_id": [f"{i:04d}" for i in range(n)], "obs_date": pa.array([datetime.date(2000, 1, 1) + datetime.timedelta(i // 10) for i in range(n)]), "raw_ra": [float("nan")] * n})
+    pq.write_table(t, path, row_group_size=50)
+    source, cursor, seen, scanned = Log(path, "a", "obs_date"), {}, [], []
+    scan = source.scan
+    source.scan = lambda *x, **y: (scanned.append(1) or z for z in scan(*x, **y))
+    while len((step := next_page(source, "watermark", cursor, 120))[0]):
+        page, cursor = step
+        assert to_batch(page).column("ra").null_count == len(page)
+        seen += page["archive_obs_id"].to_pylist()
+    assert seen == t["archive_obs_id"].to_pylist() and len(scanned) < 20 * 4 and isinstance(cursor["mark"], int)
+
+
+def test_run_archives_isolates_failures_and_keeps_places(spark, tmp_path):
+    state, written = SyncState(spark, str(tmp_path / "state")), []
+    pages = {"a": [1, 2, 3], "b": [1, 2], "c": [1]}
+
+    def fetch(archive, cursor):
+        at = cursor.get("at", 0)
+        if archive == "b" and at == 1:
+            raise OSError("down")
+        own = pages[archive]
+        return (None, own[at], {"at": at + 1}) if at < len(own) else (None, 0, cursor)
+
+    assert run_archives(state, ["a", "b", "c"], fetch, lambda a, p: written.append(a)) == ["b"]
+    rows = state.rows()
+    assert {k: (r["last_run_status"], r["rows_seen_last_run"], r["sync_cursor"]) for k, r in rows.items()} == {"a": ("success", 6, '{"at": 3}'), "b": ("failed", 1, '{"at": 1}'), "c": ("success", 1, '{"at": 1}')}
+    assert run_archives(state, ["a"], fetch, lambda a, p: written.append("again")) == [] and "again" not in written
+    again = SyncState(spark, str(tmp_path / "again"))
+    places = []
+    for _ in range(3):
+        run_archives(again, ["a"], fetch, lambda a, p: None, page_cap=2, wrap=True)
+        places.append((again.rows()["a"]["sync_cursor"], again.rows()["a"]["last_run_status"]))
+    assert places == [('{"at": 2}', "partial"), ("{}", "success"), ('{"at": 2}', "partial")]
+
+
+def test_ids_stay_unique_and_a_failure_loses_nothing(spark, tmp_path):
+    table = Snapshots(spark, str(tmp_path / "t"), "id bigint, archive_code string, archive_obs_id string, first_seen_at timestamp, reduction_status string")
+    page = lambda a, *ids: spark.createDataFrame([(a, i, None, None) for i in ids], "archive_code string, archive_obs_id string, first_seen_at timestamp, reduction_status string")
+    write_merged(table, page("a", "1", "2", "3"), [F.col("archive_obs_id")])
+    write_merged(table, page("b", "1", "2"), [F.col("archive_obs_id")])
+    before = {tuple(r) for r in table.read().select("id", "archive_code", "archive_obs_id").collect()}
+    assert len({r[0] for r in before}) == 5
+    with pytest.raises(Exception):
+        write_merged(table, page("a", "9").withColumn("reduction_status", F.raise_error(F.lit("x")).cast("string")), [F.col("archive_obs_id")])
+    assert {tuple(r) for r in table.read().select("id", "archive_code", "archive_obs_id").collect()} == before
+    write_merged(table, page("a", "3", "4"), [F.col("archive_obs_id")])
+    after = {tuple(r) for r in table.read().select("id", "archive_code", "archive_obs_id").collect()}
+    assert before < after and len({r[0] for r in after}) == 6
+
+
+def test_access_log_counts_once(spark, tmp_path):
+    log, root = tmp_path / "log.tsv", str(tmp_path / "counts")
+    log.write_text("2024-01-01T00:00:00\ta\tx\n\nbad\n2024-01-01T00:00:01\tb\tx\n")
+    key = lambda: {r["key"]: r["n"] for r in count_accesses(spark, str(log), root, "n").collect()}
+    assert key() == {"a": 1, "b": 1} == key()
+    log.write_text(log.read_text() + "2024-01-01T00:00:02\ta\tx\n")
+    assert key() == {"a": 2, "b": 1}

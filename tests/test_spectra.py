@@ -94,3 +94,19 @@ def test_normalised_divides_both(spark):
     df = spark.createDataFrame([("elodie", "a", None, None, FILES["elodie"])], "archive_code string, archive_obs_id string, archive_url string, instrument string, content binary")
     a, b = read_spectra(df).first()["segments"][0], read_spectra(df, True).first()["segments"][0]
     assert abs(np.mean(b["flux"]) - 1) < 0.15 and np.allclose(np.array(a["flux"]) / a["uncertainty"], np.array(b["flux"]) / b["uncertainty"])
+
+
+def test_written_files_are_read_and_ranges_fetch_one_row():
+    from skyloom.sources.spectra import parse, parse_ranges, write_spectrum
+
+    flux = 1 + np.arange(40) / 10
+    for layout in LAYOUTS:
+        archive, url = ("sdss_legacy_optical", "http://x/spPlate-1.fits?fiber=2") if layout == "sdss_plate" else (layout, "u")
+        raw = write_spectrum(layout, flux)
+        whole = parse(archive, raw, "77", url, "Spitzer/IRS")
+        assert {len(g["wavelength"]) for g in whole} == {40}, layout
+        if LAYOUTS[layout].row in ("target", "fiber"):
+            fetched = []
+            big = raw + b"\0" * 0
+            fetch = lambda a, b: fetched.append(b - a) or big[a:b]
+            assert parse_ranges(archive, fetch, len(raw), "77", url) == whole
