@@ -58,7 +58,15 @@ simple("f08_propagated", s, lambda: {"star_id": C("star_id"), **{n: F.round(x, 9
 simple("f09_match_radius", h, lambda: {"id": C("id"), "r": match_radius(C("archive_code"), C("instrument"))}, "SELECT id, CASE WHEN archive_code = 'noirlab' AND instrument = 'chiron' THEN 60 WHEN archive_code = 'eso' AND instrument = 'FEROS' THEN 100 ELSE 1 END::DOUBLE AS r FROM spectroscopy_holdings")
 simple("f10_search_radius", h, lambda: {"id": C("id"), "r": F.round(match_radius(C("archive_code"), C("instrument")) + 10.3 * F.abs(geo.julian_year(C("obs_date")) - 2016.0), 6)},
        f"SELECT id, round(1 + 10.3::DOUBLE*abs({YEAR} - 2016), 6) AS r FROM spectroscopy_holdings")
-simple("f12_healpix", s, lambda: {"star_id": C("star_id"), "pix": geo.healpix(C("ra"), C("dec"), 7)}, None)
+BITS = " + ".join(f"((({{x}} >> {i}) & 1) << {2 * i})" for i in range(7))
+F12 = f"""WITH a AS (SELECT star_id, sin(radians(dec)) AS z, (ra - 360*floor(ra/360))/90 AS t FROM stars),
+  b AS (SELECT star_id, abs(z) <= 2.0::DOUBLE/3 AS belt, z >= 0 AS north, floor(128*(0.5::DOUBLE + t) - 96*z)::BIGINT AS jp, floor(128*(0.5::DOUBLE + t) + 96*z)::BIGINT AS jm,
+      least(floor(t), 3)::BIGINT AS q, t - least(floor(t), 3) AS tp, 128*sqrt(3*(1 - abs(z))) AS w FROM a),
+  c AS (SELECT *, least(floor(tp*w), 127)::BIGINT AS cp, least(floor((1 - tp)*w), 127)::BIGINT AS cm FROM b),
+  d AS (SELECT star_id, CASE WHEN belt THEN CASE WHEN jp // 128 = jm // 128 THEN jp // 128 % 4 + 4 WHEN jp // 128 < jm // 128 THEN jp // 128 ELSE jm // 128 + 8 END WHEN north THEN q ELSE q + 8 END AS face,
+      CASE WHEN belt THEN jm % 128 WHEN north THEN 127 - cm ELSE cp END AS x, CASE WHEN belt THEN 127 - jp % 128 WHEN north THEN 127 - cp ELSE cm END AS y FROM c)
+  SELECT star_id, face*16384 + {BITS.format(x='x')} + 2*({BITS.format(x='y')}) AS pix FROM d"""
+simple("f12_healpix", s, lambda: {"star_id": C("star_id"), "pix": geo.healpix(C("ra"), C("dec"), 7)}, F12)
 simple("f13_source_id_range", s, lambda: {"star_id": C("star_id"), "first": geo.source_id_range(F.pmod(C("star_id"), F.lit(196608)), 7)["first"], "last": geo.source_id_range(F.pmod(C("star_id"), F.lit(196608)), 7)["last"]},
        "SELECT star_id, (star_id % 196608) << 45 AS first, ((star_id % 196608 + 1) << 45) - 1 AS last FROM stars")
 simple("f15_aitoff", s, lambda: {"star_id": C("star_id"), "x": F.round(geo.aitoff(C("ra"), C("dec"))["x"], 7), "y": F.round(geo.aitoff(C("ra"), C("dec"))["y"], 7)}, """
@@ -275,7 +283,7 @@ def sexagesimal_dec():
 
 simple("x06_sexagesimal", s, lambda: {"star_id": C("star_id"), "x": F.round(text.sexagesimal(sexagesimal_dec(), False), 7)}, "SELECT star_id, round(CASE WHEN dec < 0 THEN -1 ELSE 1 END*(floor(abs(dec)) + floor((abs(dec)*60)%60)/60 + floor((abs(dec)*3600)%60)/3600), 7) AS x FROM stars")
 simple("x08_degrees", s, lambda: {"star_id": C("star_id"), "x": F.round(F.degrees(F.radians("ra")), 8)}, "SELECT star_id, round(degrees(radians(ra)), 8) AS x FROM stars")
-simple("x09_sentinels", h, lambda: {"id": C("id"), "ra": text.no_sentinel(C("raw_ra"), 0.0, 999.0, -99.0), "dec": text.within(C("raw_dec"), -90, 90)}, "SELECT id, CASE WHEN raw_ra NOT IN (0, 999, -99) THEN raw_ra END AS ra, CASE WHEN raw_dec BETWEEN -90 AND 90 THEN raw_dec END AS dec FROM spectroscopy_holdings")
+simple("x09_sentinels", h, lambda: {"id": C("id"), "ra": text.no_sentinel(C("raw_ra"), 0.0, 999.0, -99.0), "dec": text.within(C("raw_dec"), -90, 90)}, f"SELECT id, CASE WHEN raw_ra NOT IN (0, 999, -99) THEN raw_ra END AS ra, CASE WHEN raw_dec BETWEEN -90 AND 90 THEN raw_dec END AS dec FROM {HOLDINGS}")
 simple("x14_typed_id", h, lambda: {"id": C("id"), "x": F.regexp_extract("raw_target_name", r"^Gaia DR3 (\d+)$", 1).try_cast("bigint")}, r"SELECT id, try_cast(regexp_extract(raw_target_name, '^Gaia DR3 (\d+)$', 1) AS BIGINT) AS x FROM spectroscopy_holdings")
 simple("x15_cleanup", h, lambda: {"id": C("id"), "x": F.substring_index("instrument", "-", 1), "y": F.regexp_replace("archive_obs_id", r"\.fits$", "")}, r"SELECT id, split_part(instrument, '-', 1) AS x, regexp_replace(archive_obs_id, '\.fits$', '') AS y FROM spectroscopy_holdings")
 simple("x22_template", h, lambda: {"id": C("id"), "x": F.format_string("%s-%06d.fits", C("archive_code"), C("id") % 1000000)}, "SELECT id, archive_code || '-' || lpad((id % 1000000)::VARCHAR, 6, '0') || '.fits' AS x FROM spectroscopy_holdings")
