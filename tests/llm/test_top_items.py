@@ -33,3 +33,15 @@ def test_group_limit_and_edges(spark):
     assert top_items(df, ["g"], [F.col("v").desc()], 3).columns == ["g", "v", "_rank"]
     assert top_items(df.limit(0), ["g"], [F.col("v")], 3).count() == 0
     assert top_items(df.withColumn("g", F.lit(None).cast("int")), ["g"], [F.col("v")], 3).count() == 3
+
+
+def test_ties_in_several_files_give_the_same_rows_each_time(spark, tmp_path):
+    """All rows tie on the score, in files written in different orders: the identifier decides."""
+    rows = spark.range(300).select((F.col("id") % 3).alias("g"), F.lit(1).alias("score"), F.format_string("k%03d", "id").alias("k"))
+    seen = set()
+    for seed in range(3):
+        at = str(tmp_path / str(seed))
+        rows.orderBy(F.rand(seed)).repartition(7).write.parquet(at)
+        got = top_items(spark.read.parquet(at), ["g"], [F.col("score").desc(), F.col("k")], 2).collect()
+        seen.add(tuple(sorted((r["g"], r["k"]) for r in got)))
+    assert seen == {((0, "k000"), (0, "k003"), (1, "k001"), (1, "k004"), (2, "k002"), (2, "k005"))}
