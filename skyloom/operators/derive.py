@@ -41,7 +41,7 @@ def archive_status(holdings: DataFrame, archives: DataFrame, state: DataFrame) -
 
 def instrument_counts(holdings: DataFrame, archives: DataFrame) -> DataFrame:
     per = holdings.filter("instrument IS NOT NULL").groupBy("archive_code", "instrument").agg(F.count(F.lit(1)).alias("n"))
-    named = per.join(F.broadcast(archives.select("archive_code", "display_name")), "archive_code")
+    named = per.join(archives.select("archive_code", "display_name"), "archive_code")
     return named.groupBy("display_name", "instrument").agg(F.sum("n").alias("n"))
 
 
@@ -124,7 +124,7 @@ def leaderboard(holdings: DataFrame, stars: DataFrame, top: int = TOP) -> DataFr
 def diversity_counts(holdings: DataFrame, archives: DataFrame) -> DataFrame:
     known = dated(holdings.filter("obs_date IS NOT NULL AND star_id IS NOT NULL AND instrument IS NOT NULL"))
     distinct = known.select("star_id", "yr", "half", "archive_code", "instrument").distinct()
-    return distinct.join(F.broadcast(archives.select("archive_code", "display_name")), "archive_code").select(
+    return distinct.join(archives.select("archive_code", "display_name"), "archive_code").select(
         "star_id", "yr", "half", F.concat_ws("::", "display_name", "instrument").alias("instrument_key")
     ).distinct()
 
@@ -138,7 +138,7 @@ def log_widths(ranges: DataFrame) -> DataFrame:
 def diversity_deltas(counts: DataFrame, widths: DataFrame) -> DataFrame:
     """How many instruments, and how much log wavelength, are new for a star in a period."""
     first = counts.join(F.broadcast(periods_of(counts)), ["yr", "half"]).groupBy("star_id", "instrument_key").agg(F.min("p").alias("p"))
-    return first.join(F.broadcast(widths), "instrument_key", "left").groupBy("star_id", "p").agg(
+    return first.join(widths, "instrument_key", "left").groupBy("star_id", "p").agg(
         F.count(F.lit(1)).alias("new_instruments"), F.sum(F.coalesce("log_width", F.lit(0.0))).alias("new_loglam")
     )
 
@@ -176,7 +176,7 @@ def most_observed(holdings: DataFrame, stars: DataFrame, top: int = TOP, since:
 
 def counts_by_archive(holdings: DataFrame, archives: DataFrame) -> DataFrame:
     per = holdings.groupBy("archive_code").agg(F.count(F.lit(1)).alias("k"))
-    return per.join(F.broadcast(archives), "archive_code").groupBy("display_name").agg(F.sum("k").alias("n"))
+    return per.join(archives, "archive_code").groupBy("display_name").agg(F.sum("k").alias("n"))
 
 
 def nearest(stars: DataFrame, top: int = TOP) -> DataFrame:
@@ -207,7 +207,7 @@ def spectral_types(stars: DataFrame) -> DataFrame:
 def latest_with_status(holdings: DataFrame, archives: DataFrame, status: str, top: int = TOP) -> DataFrame:
     rows = holdings.filter(F.col("match_status") == status).orderBy(F.desc("updated_at"), F.desc("id")).limit(top)
     cols = ["display_name", "raw_target_name", "raw_ra", "raw_dec", "obs_date", "theta_arcsec", "reduction_status"]
-    return rows.join(F.broadcast(archives), "archive_code").select(*[c for c in cols if c != "theta_arcsec" or status == "needs_review"])
+    return rows.join(archives, "archive_code").select(*[c for c in cols if c != "theta_arcsec" or status == "needs_review"])
 
 
 def triage_queue(holdings: DataFrame, archives: DataFrame, keep: int = 50, top: int = 2000) -> DataFrame:
@@ -234,7 +234,7 @@ def triage_queue(holdings: DataFrame, archives: DataFrame, keep: int = 50, top:
     )
     length = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy") + F.col("vz") * F.col("vz")) / F.col("nv")
     spread = F.when(F.col("nv") >= 2, F.degrees(F.acos(clamp(length, 0.0, 1.0))))
-    return newest.join(F.broadcast(chosen), key).join(F.broadcast(archives.select("archive_code", "display_name")), "archive_code").select(
+    return newest.join(F.broadcast(chosen), key).join(archives.select("archive_code", "display_name"), "archive_code").select(
         "archive_code", "display_name", "group_key", "raw_target_name", "n_records",
         F.transform("all", lambda x: x["archive_obs_id"]).alias("archive_obs_ids"), F.transform("all", lambda x: x["archive_url"]).alias("archive_urls"),
         "raw_ra", "raw_dec", spread.alias("position_spread_deg"), "updated_at", "obs_date", "instrument",
@@ -262,7 +262,7 @@ def archive_overlap(holdings: DataFrame, archives: DataFrame, ways: int = 2) ->
     if ways == 3:
         return pairs
     for x in "ab":
-        pairs = pairs.join(F.broadcast(archives.select(F.col("archive_code").alias(f"archive_{x}"), F.col("display_name").alias(f"display_{x}"))), f"archive_{x}")
+        pairs = pairs.join(archives.select(F.col("archive_code").alias(f"archive_{x}"), F.col("display_name").alias(f"display_{x}")), f"archive_{x}")
     return pairs
 
 

@@ -192,6 +192,17 @@ def pixel_pairs(targets: DataFrame, pool: DataFrame, radius_arcsec: float, level
     return pairs.withColumn("sep_arcsec", geo.vector_separation(geo.unit_vector(F.col("t_ra"), F.col("t_dec")), star)).filter(F.col("sep_arcsec") <= radius_arcsec)
 
 
+def brightest_match(targets: DataFrame, pool: DataFrame, first_year: float, last_year: float, radius_arcsec: float = 15.0, net_arcsec: float = 300.0, most_fainter: float = 3.0) -> DataFrame:
+    """t_id, star_id, sep_arcsec: for each bright target (t_id, t_ra, t_dec, t_year, t_mag) the brightest star of pool within the
+    radius on the target's date, of those that the catalogue lists within the net about it, unless it is more than
+    most_fainter magnitudes fainter than the target. Stars without a magnitude take no part; a target without one takes
+    the brightest as it is."""
+    pairs = radial_pairs(targets.withColumn("t_radius", F.lit(radius_arcsec)), pool.filter("phot_g_mean_mag IS NOT NULL"), radius_arcsec, first_year, last_year)
+    listed = geo.vector_separation(geo.unit_vector(F.col("t_ra"), F.col("t_dec")), geo.unit_vector(F.col("ra"), F.col("dec")))
+    best = pairs.filter(listed <= net_arcsec).groupBy("t_id").agg(F.max("t_mag").alias("t_mag"), F.min_by(F.struct("star_id", "sep_arcsec", "phot_g_mean_mag"), F.struct("phot_g_mean_mag", "star_id")).alias("b"))
+    return best.filter(F.coalesce(F.col("b.phot_g_mean_mag") <= F.col("t_mag") + most_fainter, F.lit(True))).select("t_id", "b.star_id", "b.sep_arcsec")
+
+
 def fallback_match(targets: DataFrame, stars: DataFrame, pool: DataFrame, first_year: float, last_year: float, radius_arcsec: float = 60.0) -> DataFrame:
     """A guess for records that nothing else matched, always for review: t_id, star_id or the gaia_source_id of a
     source not yet in the catalogue, theta_arcsec and the reason. Tracked stars and the pool's sources compete."""

@@ -77,7 +77,7 @@ def update_from(df: DataFrame, updates: DataFrame, key: list[str], column: str,
 def add_stars(stars: DataFrame, found: DataFrame) -> DataFrame:
     """stars with those of found (gaia_source_id, name_aliases and any other columns) that are new, and with the
     aliases of the known ones joined, known aliases first. Several rows of one id are one star."""
-    lists = found.groupBy("gaia_source_id").agg(F.array_distinct(F.flatten(F.array_sort(F.collect_list("name_aliases")))).alias("_more"))
+    lists = found.groupBy("gaia_source_id").agg(F.array_distinct(F.flatten(F.array_sort(F.collect_set("name_aliases")))).alias("_more"))
     merged = stars.join(lists, "gaia_source_id", "left").withColumn(
         "name_aliases", F.when(F.col("_more").isNull(), F.col("name_aliases")).otherwise(F.array_distinct(F.concat(F.coalesce("name_aliases", F.array().cast("array<string>")), F.col("_more"))))
     )
@@ -157,6 +157,17 @@ def seed_bright_stars(spark: SparkSession, path: str, fields: dict[str, tuple[in
     return upsert_stars(stars, found, "bsc_hr_number").withColumn("source_catalog", F.coalesce("source_catalog", F.lit("bsc5")))
 
 
+def register_winners(stars: DataFrame, guesses: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stars, guesses) of fallback_match: sources of pool that won without being in the catalogue yet are in it afterwards, once
+    each, and the guesses have their star_id."""
+    won = guesses.filter("star_id IS NULL AND gaia_source_id IS NOT NULL").select("gaia_source_id").distinct()
+    found = pool.withColumnRenamed("source_id", "gaia_source_id").join(won, "gaia_source_id", "left_semi").withColumn("name_aliases", F.array().cast("array<string>"))
+    grown = cut(add_stars(stars, found))
+    ids = grown.filter("gaia_source_id IS NOT NULL").select("gaia_source_id", F.col("star_id").alias("_id"))
+    filled = guesses.join(ids, "gaia_source_id", "left").withColumn("star_id", F.coalesce("star_id", "_id")).drop("_id")
+    return grown, filled.select(*guesses.columns)
+
+
 def backfill(df: DataFrame, values: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """df with `columns` from values where they are null and the key is there. Of several values of a key the least."""
     one = values.groupBy(key).agg(*[F.min(c).alias(f"_new_{c}") for c in columns])

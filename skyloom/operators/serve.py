@@ -33,7 +33,7 @@ def find_star(stars: DataFrame, query: str) -> DataFrame:
 
 
 def holdings_for(holdings: DataFrame, archives: DataFrame, star: DataFrame) -> DataFrame:
-    return holdings.join(F.broadcast(star.select("star_id")), "star_id", "left_semi").join(F.broadcast(archives.select("archive_code", "display_name")), "archive_code")
+    return holdings.join(F.broadcast(star.select("star_id")), "star_id", "left_semi").join(archives.select("archive_code", "display_name"), "archive_code")
 
 
 def star_page(holdings: DataFrame, archives: DataFrame, stars: DataFrame, query: str, **filters) -> DataFrame:
@@ -47,7 +47,7 @@ def star_page(holdings: DataFrame, archives: DataFrame, stars: DataFrame, query:
 def cone_page(holdings: DataFrame, archives: DataFrame, stars: DataFrame, ra: float, dec: float, radius_deg: float, **filters) -> DataFrame:
     """What the archives hold of every star within a cone: star_id, display_name, instrument, n."""
     inside = cone_search(stars.select("star_id", "ra", "dec"), ra, dec, radius_deg, None).select("star_id")
-    rows = holdings.join(inside, "star_id", "left_semi").join(F.broadcast(archives.select("archive_code", "display_name")), "archive_code")
+    rows = holdings.join(inside, "star_id", "left_semi").join(archives.select("archive_code", "display_name"), "archive_code")
     return filter_holdings(rows, **filters).groupBy("star_id", "display_name", "instrument").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -78,7 +78,7 @@ def filter_holdings(holdings: DataFrame, dims: DataFrame | None = None, archive:
     if wave is None:
         return kept
     good = dims.filter(overlaps(F.col("wave_min"), F.col("wave_max"), *wave)).select("display_name", "instrument").distinct()
-    return kept.join(F.broadcast(good), ["display_name", "instrument"], "left_semi")
+    return kept.join(good, ["display_name", "instrument"], "left_semi")
 
 
 def batch_lines(text: str, df: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def batch_lookup(entries: DataFrame, stars: DataFrame, holdings: DataFrame) -> D
     names = F.array_append(F.coalesce("name_aliases", F.array().cast("array<string>")), F.col("input_name"))
     listed = stars.select("star_id", F.explode(names).alias("n")).filter("trim(n) <> ''").groupBy(search_key(F.col("n")).alias("normalized_name")).agg(F.min("star_id").alias("star_id"))
     found = keyed.join(listed, "normalized_name", "left")
-    counts = holdings.join(F.broadcast(found.select("star_id").distinct()), "star_id", "left_semi").groupBy("star_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = holdings.join(found.select("star_id").distinct(), "star_id", "left_semi").groupBy("star_id").agg(F.count(F.lit(1)).alias("n"))
     return found.join(counts, "star_id", "left").select(
         "entry", F.when(F.col("star_id").isNull(), "not resolved").otherwise("tracked").alias("status"), "star_id", F.coalesce("n", F.lit(0)).alias("n_holdings")
     )
@@ -116,13 +116,13 @@ def instrument_csv(holdings: DataFrame, archives: DataFrame, instrument: str, co
     rows = holdings.filter(F.col("instrument") == instrument)
     if rows.isEmpty():
         return 404, iter(())
-    return 200, csv_lines(rows.join(F.broadcast(archives.select("archive_code", "display_name")), "archive_code"), list(columns))
+    return 200, csv_lines(rows.join(archives.select("archive_code", "display_name"), "archive_code"), list(columns))
 
 
 def per_star_groups(rows: DataFrame) -> DataFrame:
-    """Observations of each archive and instrument as a list, groups in order of their first date."""
-    key = ["display_name", "instrument"]
-    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("obs_date").alias("first_date"), F.array_sort(F.collect_list(F.struct("obs_date", "archive_obs_id"))).alias("observations"))
+    """How many observations each archive and instrument has and since when. The observations themselves are rows of
+    star_page, as a star may own a tenth of the table."""
+    return rows.groupBy("display_name", "instrument").agg(F.count(F.lit(1)).alias("n"), F.min("obs_date").alias("first_date"))
 
 
 def review_queue(queue: DataFrame, votes: DataFrame, reviewer: str) -> DataFrame:

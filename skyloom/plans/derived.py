@@ -61,7 +61,8 @@ DIVERSITY = f"""c AS (SELECT DISTINCT star_id, {PERIOD}, display_name || '::' ||
       FROM spectroscopy_holdings JOIN archives USING (archive_code) WHERE star_id IS NOT NULL AND obs_date IS NOT NULL AND instrument IS NOT NULL), {PS},
     f AS (SELECT star_id, k, min(p) AS p FROM c JOIN ps USING (yr, half) GROUP BY ALL),
     wd AS (SELECT DISTINCT display_name || '::' || instrument AS k, log10((500 + 25*(len(display_name)%9))::DOUBLE / (300 + 10*(len(instrument)%7))::DOUBLE) AS lw
-      FROM spectroscopy_holdings JOIN archives USING (archive_code) WHERE instrument IS NOT NULL AND 500 + 25*(len(display_name)%9) > 300 + 10*(len(instrument)%7)),
+      FROM spectroscopy_holdings JOIN archives USING (archive_code) WHERE instrument IS NOT NULL
+        AND 500 + 25*(len(display_name)%9) > 300 + 10*(len(instrument)%7)),
     dl AS (SELECT star_id, p, count(*) AS new_instruments, sum(coalesce(lw, 0::DOUBLE)) AS new_loglam FROM f LEFT JOIN wd USING (k) GROUP BY ALL)"""
 SPREAD = "CASE WHEN count(vx) >= 2 THEN degrees(acos(least(1.0::DOUBLE, greatest(0.0::DOUBLE, sqrt(sum(vx)**2 + sum(vy)**2 + sum(vz)**2) / count(vx))))) END"
 
@@ -75,7 +76,8 @@ def g01(spark, d):
     return D.archive_status(h(spark, d), a(spark, d), load(spark, d, "archive_sync_state"))
 
 
-@query("g02_instruments", "SELECT display_name, instrument, count(*) AS n FROM spectroscopy_holdings JOIN archives USING (archive_code) WHERE instrument IS NOT NULL GROUP BY ALL")
+@query("g02_instruments",
+       "SELECT display_name, instrument, count(*) AS n FROM spectroscopy_holdings JOIN archives USING (archive_code) WHERE instrument IS NOT NULL GROUP BY ALL")
 def g02(spark, d):
     return D.instrument_counts(h(spark, d), a(spark, d))
 
@@ -119,7 +121,8 @@ def g08(spark, d):
 
 @query("g09_leaderboard", f"""WITH {COUNTS}, {PS}, {WITHIN}, {CUM}
   SELECT star_id, gaia_source_id, bsc_hr_number, {LABEL} AS label, yr, half, n AS within_n, cum_n AS cumulative_n
-  FROM (SELECT star_id FROM w UNION SELECT star_id FROM t) CROSS JOIN (SELECT yr, half FROM ps) LEFT JOIN w USING (star_id, yr, half) LEFT JOIN t USING (star_id, yr, half) JOIN stars USING (star_id)""")
+  FROM (SELECT star_id FROM w UNION SELECT star_id FROM t) CROSS JOIN (SELECT yr, half FROM ps) LEFT JOIN w USING (star_id, yr, half) LEFT
+    JOIN t USING (star_id, yr, half) JOIN stars USING (star_id)""")
 def g09(spark, d):
     return D.leaderboard(h(spark, d), s(spark, d))
 
@@ -138,7 +141,8 @@ def g11(spark, d):
 @query("g12_diversity", f"""WITH {DIVERSITY},
     cu AS (SELECT star_id, p, sum(new_instruments) OVER x::BIGINT AS c, sum(new_loglam) OVER x AS l FROM dl WINDOW x AS (PARTITION BY star_id ORDER BY p)),
     la AS (SELECT star_id, arg_max(c, p) AS c, round(arg_max(l, p), 9) AS l FROM cu GROUP BY 1),
-    ca AS (SELECT * FROM (SELECT star_id FROM la ORDER BY c DESC, star_id LIMIT 20) UNION SELECT * FROM (SELECT star_id FROM la ORDER BY l DESC, star_id LIMIT 20))
+    ca AS (SELECT * FROM (SELECT star_id FROM la ORDER BY c DESC, star_id LIMIT 20) UNION SELECT * FROM (SELECT star_id FROM la
+      ORDER BY l DESC, star_id LIMIT 20))
   SELECT star_id, gaia_source_id, bsc_hr_number, {LABEL} AS label, yr, half,
     last_value(cu.c IGNORE NULLS) OVER x AS cum_instrument_count, round(last_value(cu.l IGNORE NULLS) OVER x, 6) AS cum_loglam_covered
   FROM ca CROSS JOIN ps LEFT JOIN cu USING (star_id, p) JOIN stars USING (star_id) WINDOW x AS (PARTITION BY star_id ORDER BY p)""")
@@ -148,7 +152,8 @@ def g12(spark, d):
 
 
 @query("g13_cmd_stars", f"""
-  SELECT gaia_source_id, round((phot_bp_mean_mag - phot_rp_mean_mag)::DOUBLE, 4) AS bp_rp, round(phot_g_mean_mag + 5 * log10(parallax::DOUBLE) - 10, 4) AS abs_g_mag, {LABEL} AS label
+ 
+    SELECT gaia_source_id, round((phot_bp_mean_mag - phot_rp_mean_mag)::DOUBLE, 4) AS bp_rp, round(phot_g_mean_mag + 5 * log10(parallax::DOUBLE) - 10, 4) AS abs_g_mag, {LABEL} AS label
   FROM stars JOIN (SELECT star_id, count(*) AS n FROM spectroscopy_holdings GROUP BY 1) USING (star_id)
   WHERE phot_bp_mean_mag IS NOT NULL AND phot_rp_mean_mag IS NOT NULL AND phot_g_mean_mag IS NOT NULL AND parallax > 0 ORDER BY n DESC, star_id LIMIT 30000""")
 def g13(spark, d):
@@ -156,7 +161,9 @@ def g13(spark, d):
     return out.withColumns({"bp_rp": F.round(F.col("bp_rp").cast("double"), 4), "abs_g_mag": F.round("abs_g_mag", 4)})
 
 
-@query("g14_totals", """SELECT (SELECT count(*) FROM stars) AS total_stars, count(*) AS total_holdings, count(*) FILTER (WHERE match_status = 'needs_review') AS needs_review_total FROM spectroscopy_holdings""")
+@query("g14_totals", """SELECT (SELECT count(*)
+    FROM stars) AS total_stars, count(*) AS total_holdings, count(*) FILTER (WHERE match_status = 'needs_review') AS needs_review_total
+    FROM spectroscopy_holdings""")
 def g14(spark, d):
     rows = h(spark, d).agg(F.count(F.lit(1)).alias("total_holdings"), F.count(F.when(F.col("match_status") == "needs_review", 1)).alias("needs_review_total"))
     return s(spark, d).agg(F.count(F.lit(1)).alias("total_stars")).crossJoin(rows)
@@ -186,7 +193,8 @@ def g16b(spark, d):
     return h(spark, d).filter("match_status = 'matched'").groupBy("match_method").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("g17_nearest", f"SELECT gaia_source_id, bsc_hr_number, {LABEL} AS known_as, 1000.0::DOUBLE / parallax::DOUBLE AS distance_pc FROM stars WHERE parallax > 0 ORDER BY parallax DESC, star_id LIMIT 20")
+@query("g17_nearest",
+       f"SELECT gaia_source_id, bsc_hr_number, {LABEL} AS known_as, 1000.0::DOUBLE / parallax::DOUBLE AS distance_pc FROM stars WHERE parallax > 0 ORDER BY parallax DESC, star_id LIMIT 20")
 def g17(spark, d):
     return D.nearest(s(spark, d))
 
@@ -197,7 +205,8 @@ def g17b(spark, d):
     return D.fastest(s(spark, d)).withColumn("total_pm", F.round("total_pm", 6))
 
 
-@query("g17_spectral_types", """SELECT CASE WHEN c < 0 THEN 'O/B (hot)' WHEN c < 0.3::DOUBLE THEN 'A' WHEN c < 0.6::DOUBLE THEN 'F' WHEN c < 0.9::DOUBLE THEN 'G' WHEN c < 1.5::DOUBLE THEN 'K' ELSE 'M (cool)' END AS bucket, count(*) AS n
+@query("g17_spectral_types", """SELECT CASE WHEN c < 0 THEN 'O/B (hot)' WHEN c < 0.3::DOUBLE THEN 'A' WHEN c < 0.6::DOUBLE THEN 'F'
+    WHEN c < 0.9::DOUBLE THEN 'G' WHEN c < 1.5::DOUBLE THEN 'K' ELSE 'M (cool)' END AS bucket, count(*) AS n
   FROM (SELECT (phot_bp_mean_mag - phot_rp_mean_mag)::DOUBLE AS c FROM stars WHERE phot_bp_mean_mag IS NOT NULL AND phot_rp_mean_mag IS NOT NULL) GROUP BY 1""")
 def g17c(spark, d):
     return D.spectral_types(s(spark, d))
@@ -217,22 +226,25 @@ def g18b(spark, d):
     return D.latest_with_status(h(spark, d), a(spark, d), "skipped")
 
 
-@query("g18_skipped_by_archive", "SELECT archive_code, display_name, count(*) AS n FROM spectroscopy_holdings JOIN archives USING (archive_code) WHERE match_status = 'skipped' GROUP BY ALL")
+@query("g18_skipped_by_archive",
+       "SELECT archive_code, display_name, count(*) AS n FROM spectroscopy_holdings JOIN archives USING (archive_code) WHERE match_status = 'skipped' GROUP BY ALL")
 def g18c(spark, d):
     per = h(spark, d).filter("match_status = 'skipped'").groupBy("archive_code").agg(F.count(F.lit(1)).alias("n"))
-    return per.join(F.broadcast(a(spark, d).select("archive_code", "display_name")), "archive_code")
+    return per.join(a(spark, d).select("archive_code", "display_name"), "archive_code")
 
 
 @query("g19_triage_queue", f"""
   WITH r AS (SELECT *, coalesce(nullif(trim(raw_target_name), ''), 'obs:' || archive_obs_id) AS group_key,
-      row_number() OVER (PARTITION BY archive_code, coalesce(nullif(trim(raw_target_name), ''), 'obs:' || archive_obs_id) ORDER BY updated_at DESC, id DESC) AS rn,
+      row_number() OVER (PARTITION BY archive_code, coalesce(nullif(trim(raw_target_name), ''), 'obs:' || archive_obs_id)
+        ORDER BY updated_at DESC, id DESC) AS rn,
       cos(radians(raw_dec))*cos(radians(raw_ra)) AS vx, cos(radians(raw_dec))*sin(radians(raw_ra)) AS vy, sin(radians(raw_dec)) AS vz
     FROM {HOLDINGS} WHERE match_status = 'skipped'),
   q AS (SELECT archive_code, group_key, max(nullif(trim(raw_target_name), '')) AS raw_target_name, count(*) AS n_records,
       list(archive_obs_id ORDER BY rn) FILTER (WHERE rn <= 50) AS ids, list(archive_url ORDER BY rn) FILTER (WHERE rn <= 50) AS urls,
       max(raw_ra) FILTER (WHERE rn = 1) AS raw_ra, max(raw_dec) FILTER (WHERE rn = 1) AS raw_dec, round({SPREAD}, 4) AS position_spread_deg,
       max(updated_at) AS updated_at, min(obs_date) AS obs_date, min(instrument) AS instrument FROM r GROUP BY 1, 2)
-  SELECT archive_code, display_name, group_key, raw_target_name, n_records, array_to_string(ids, ',') AS archive_obs_ids, array_to_string(urls, ',') AS archive_urls,
+ 
+    SELECT archive_code, display_name, group_key, raw_target_name, n_records, array_to_string(ids, ',') AS archive_obs_ids, array_to_string(urls, ',') AS archive_urls,
     raw_ra, raw_dec, position_spread_deg, updated_at, obs_date, instrument
   FROM (SELECT * FROM q ORDER BY (raw_target_name IS NOT NULL) DESC, n_records DESC, archive_code, group_key LIMIT 2000) JOIN archives USING (archive_code)""")
 def g19(spark, d):
@@ -263,33 +275,40 @@ def g21(spark, d):
 TRIPLE = "x AS (SELECT unnest(m) AS a, m FROM p), y AS (SELECT a, unnest(m) AS b, m FROM x), z AS (SELECT a, b, unnest(m) AS c FROM y WHERE a <= b)"
 
 
-@query("g21_archive_overlap_triple", f"WITH {SETS.format(c='archive_code', w='')}, {TRIPLE} SELECT a AS archive_a, b AS archive_b, c AS archive_c, count(*) AS n_overlap FROM z WHERE b <= c GROUP BY ALL")
+@query("g21_archive_overlap_triple",
+       f"WITH {SETS.format(c='archive_code', w='')}, {TRIPLE} SELECT a AS archive_a, b AS archive_b, c AS archive_c, count(*) AS n_overlap FROM z WHERE b <= c GROUP BY ALL")
 def g21b(spark, d):
     return D.archive_overlap(h(spark, d), a(spark, d), 3)
 
 
-@query("g22_instrument_overlap", f"WITH {BEST}, {SETS.format(c='instrument', w=IN_BEST)}, {TRIPLE} SELECT a AS instrument_a, b AS instrument_b, count(*) AS n_overlap FROM y WHERE a <= b GROUP BY ALL")
+@query("g22_instrument_overlap",
+       f"WITH {BEST}, {SETS.format(c='instrument', w=IN_BEST)}, {TRIPLE} SELECT a AS instrument_a, b AS instrument_b, count(*) AS n_overlap FROM y WHERE a <= b GROUP BY ALL")
 def g22(spark, d):
     return D.instrument_overlap(h(spark, d))
 
 
-@query("g22_instrument_overlap_triple", f"WITH {BEST}, {SETS.format(c='instrument', w=IN_BEST)}, {TRIPLE} SELECT a AS instrument_a, b AS instrument_b, c AS instrument_c, count(*) AS n_overlap FROM z WHERE b <= c GROUP BY ALL")
+@query("g22_instrument_overlap_triple",
+       f"WITH {BEST}, {SETS.format(c='instrument', w=IN_BEST)}, {TRIPLE} SELECT a AS instrument_a, b AS instrument_b, c AS instrument_c, count(*) AS n_overlap FROM z WHERE b <= c GROUP BY ALL")
 def g22b(spark, d):
     return D.instrument_overlap(h(spark, d), 3)
 
 
-@query("g23_by_position", f"SELECT id, star_id, archive_code, instrument, obs_date, match_status, raw_target_name, raw_ra, raw_dec FROM {HOLDINGS} WHERE raw_ra IS NOT NULL AND raw_dec IS NOT NULL")
+@query("g23_by_position",
+       f"SELECT id, star_id, archive_code, instrument, obs_date, match_status, raw_target_name, raw_ra, raw_dec FROM {HOLDINGS} WHERE raw_ra IS NOT NULL AND raw_dec IS NOT NULL")
 def g23(spark, d):
     return D.by_position(h(spark, d))
 
 
-@query("g27_overlap_totals", f"WITH {SETS.format(c='archive_code', w='')}, x AS (SELECT unnest(m) AS a FROM p) SELECT a AS archive_code, count(*) AS n_stars FROM x GROUP BY 1")
+@query("g27_overlap_totals",
+       f"WITH {SETS.format(c='archive_code', w='')}, x AS (SELECT unnest(m) AS a FROM p) SELECT a AS archive_code, count(*) AS n_stars FROM x GROUP BY 1")
 def g27(spark, d):
     return D.archive_overlap(h(spark, d), a(spark, d)).filter("archive_a = archive_b").select(F.col("archive_a").alias("archive_code"), F.col("n_overlap").alias("n_stars"))
 
 
-@query("g28_treemap", """WITH i AS (SELECT display_name, instrument, count(*) AS n FROM spectroscopy_holdings JOIN archives USING (archive_code) WHERE instrument IS NOT NULL GROUP BY ALL)
-  SELECT display_name, instrument, n, round(log10(n + 1) * log10(sum(n) OVER w + 1) / sum(log10(n + 1)) OVER w, 6) AS weight FROM i WINDOW w AS (PARTITION BY display_name)""")
+@query("g28_treemap", """WITH i AS (SELECT display_name, instrument, count(*) AS n FROM spectroscopy_holdings JOIN archives USING (archive_code)
+    WHERE instrument IS NOT NULL GROUP BY ALL)
+  SELECT display_name, instrument, n, round(log10(n + 1) * log10(sum(n) OVER w + 1) / sum(log10(n + 1)) OVER w, 6) AS weight
+    FROM i WINDOW w AS (PARTITION BY display_name)""")
 def g28(spark, d):
     return D.treemap(D.instrument_counts(h(spark, d), a(spark, d))).withColumn("weight", F.round("weight", 6))
 
@@ -309,14 +328,16 @@ def g30(spark, d):
     return D.voters(load(spark, d, "skip_classifications"))
 
 
-@query("g31_best_product", """SELECT archive_code, archive_obs_id, arg_min(id, (CASE reduction_status WHEN 'reduced' THEN 0 WHEN 'raw' THEN 1 ELSE 2 END) * 1000000000000 + id) AS id
+@query("g31_best_product", """SELECT archive_code, archive_obs_id, arg_min(id, (CASE reduction_status WHEN 'reduced' THEN 0 WHEN 'raw' THEN 1
+    ELSE 2 END) * 1000000000000 + id) AS id
   FROM spectroscopy_holdings GROUP BY ALL""")
 def g31(spark, d):
     rank = F.when(F.col("reduction_status") == "reduced", 0).when(F.col("reduction_status") == "raw", 1).otherwise(2)
     return h(spark, d).groupBy("archive_code", "archive_obs_id").agg(F.min_by("id", F.struct(rank, "id")).alias("id"))
 
 
-@query("g32_date_ordinals", """SELECT id, star_id, archive_code, obs_date, CASE WHEN count(*) OVER w > 1 THEN row_number() OVER (PARTITION BY star_id, archive_code, obs_date ORDER BY id) END::INT AS ordinal
+@query("g32_date_ordinals", """SELECT id, star_id, archive_code, obs_date, CASE
+    WHEN count(*) OVER w > 1 THEN row_number() OVER (PARTITION BY star_id, archive_code, obs_date ORDER BY id) END::INT AS ordinal
   FROM spectroscopy_holdings WHERE star_id IS NOT NULL AND obs_date IS NOT NULL WINDOW w AS (PARTITION BY star_id, archive_code, obs_date)""")
 def g32(spark, d):
     return D.date_ordinals(h(spark, d))

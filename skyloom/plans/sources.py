@@ -72,8 +72,10 @@ def s04(spark, d):
     return a(spark, d).select("archive_code", "display_name").join(counts, "archive_code", "left").na.fill(0, ["n"])
 
 
-VALID = """archive_code IS NOT NULL AND trim(coalesce(submitter, '')) <> '' AND length(submitter) <= 100 AND outcome IN ('attach_gaia_source', 'attach_bright_star', 'not_a_real_target', 'not_a_star', 'confirmed_absent_from_gaia')
-  AND trim(coalesce(archive_obs_id, '')) <> '' AND (outcome <> 'attach_gaia_source' OR proposed_gaia_source_id IS NOT NULL) AND (outcome <> 'attach_bright_star' OR proposed_bsc_hr_number IS NOT NULL)"""
+VALID = """archive_code IS NOT NULL AND trim(coalesce(submitter, '')) <> '' AND length(submitter) <= 100
+    AND outcome IN ('attach_gaia_source', 'attach_bright_star', 'not_a_real_target', 'not_a_star', 'confirmed_absent_from_gaia')
+  AND trim(coalesce(archive_obs_id, '')) <> '' AND (outcome <> 'attach_gaia_source' OR proposed_gaia_source_id IS NOT NULL)
+    AND (outcome <> 'attach_bright_star' OR proposed_bsc_hr_number IS NOT NULL)"""
 
 
 @query("s05_vote_lines", "SELECT archive_code, archive_obs_id, outcome, submitter FROM skip_classifications")
@@ -145,7 +147,8 @@ def s09(spark, d):
     return spark.read.option("header", True).option("escape", '"').schema("id bigint, archive_obs_id string, instrument string, obs_date date").csv(at)
 
 
-@query("q11_holdings_csv", "SELECT h.id, display_name, instrument FROM spectroscopy_holdings h JOIN archives USING (archive_code) WHERE instrument = (SELECT instrument FROM spectroscopy_holdings WHERE instrument IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, instrument LIMIT 1)")
+@query("q11_holdings_csv",
+       "SELECT h.id, display_name, instrument FROM spectroscopy_holdings h JOIN archives USING (archive_code) WHERE instrument = (SELECT instrument FROM spectroscopy_holdings WHERE instrument IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, instrument LIMIT 1)")
 def q11(spark, d):
     """All rows of one instrument as a stream of CSV lines, and what a bad request is answered."""
     rows = h(spark, d)
@@ -171,7 +174,8 @@ def s12(spark, d):
     return spark.createDataFrame(rows, "star_id bigint, ra double, dec double, input_name string")
 
 
-@query("s13_distilled", f"SELECT archive_obs_id || '.' || id AS specobjid, round(raw_ra, 9) AS ra, date_diff('day', DATE '1858-11-17', obs_date)::DOUBLE AS mjd FROM {HOLDINGS} WHERE obs_date BETWEEN '2010-01-01' AND '2012-12-31'")
+@query("s13_distilled",
+       f"SELECT archive_obs_id || '.' || id AS specobjid, round(raw_ra, 9) AS ra, date_diff('day', DATE '1858-11-17', obs_date)::DOUBLE AS mjd FROM {HOLDINGS} WHERE obs_date BETWEEN '2010-01-01' AND '2012-12-31'")
 def s13(spark, d):
     """A bulk FITS table distilled once into Parquet sorted by date, of which a window is read."""
     bulk, at = folder(spark, "bulk"), folder(spark, "distilled")
@@ -274,7 +278,8 @@ def parsed_sql(layout: str) -> str:
     flux = f"(f*1e-23*2.99792458e18/({wave}*{wave})*1e17)*1e-6" if spec.jansky else "f"
     labels = ", ".join(f"('{x.label}')" for x in spec.arms)
     return f"""SELECT vec_id, label, i::INT AS point, round({wave}, 5) AS wavelength, round({flux}, 7) AS flux
-      FROM (SELECT vec_id, unnest(list_transform(embedding, lambda x: abs(x::DOUBLE) + 1)) AS f, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), (VALUES {labels}) v(label)"""
+      FROM (SELECT vec_id, unnest(list_transform(embedding, lambda x: abs(x::DOUBLE) + 1)) AS f, generate_subscripts(embedding, 1) - 1 AS i
+        FROM embeddings), (VALUES {labels}) v(label)"""
 
 
 for number, group in enumerate(
@@ -291,9 +296,13 @@ for number, group in enumerate(
 POOL = "pool AS (SELECT gaia_source_id, name_aliases FROM stars WHERE source_catalog = 'gaia')"
 
 
-@query("m10_discover", f"""WITH {POOL}, r AS (SELECT CASE WHEN match_method = 'direct_gaia_column' THEN gaia_source_id END AS gid, match_method, raw_target_name FROM spectroscopy_holdings LEFT JOIN (SELECT star_id, gaia_source_id FROM stars) USING (star_id)),
+@query("m10_discover", f"""WITH {POOL}, r AS (SELECT CASE
+    WHEN match_method = 'direct_gaia_column' THEN gaia_source_id END AS gid, match_method, raw_target_name FROM spectroscopy_holdings LEFT
+    JOIN (SELECT star_id, gaia_source_id FROM stars) USING (star_id)),
   al AS (SELECT {key_sql('n')} AS k, max(gaia_source_id) AS g FROM (SELECT gaia_source_id, unnest(name_aliases) AS n FROM pool) WHERE n IS NOT NULL GROUP BY 1),
-  w AS (SELECT gid AS g, 'direct' AS how FROM r WHERE gid IS NOT NULL UNION SELECT g, 'named' FROM al WHERE k <> '' AND k IN (SELECT {key_sql('raw_target_name')} FROM r WHERE gid IS NULL AND match_method IS DISTINCT FROM 'direct_gaia_column' AND raw_target_name IS NOT NULL))
+  w AS (SELECT gid AS g, 'direct' AS how FROM r WHERE gid IS NOT NULL UNION SELECT g, 'named' FROM al WHERE k <> ''
+    AND k IN (SELECT {key_sql('raw_target_name')} FROM r WHERE gid IS NULL AND match_method IS DISTINCT FROM 'direct_gaia_column'
+    AND raw_target_name IS NOT NULL))
   SELECT g AS gaia_source_id, min(how) AS how FROM w WHERE g IN (SELECT gaia_source_id FROM pool) GROUP BY 1""")
 def m10(spark, d):
     """A catalogue of bright stars alone meets all records: what they name of the rest is discovered."""
@@ -302,7 +311,8 @@ def m10(spark, d):
     return found.select("gaia_source_id", "how")
 
 
-@query("m11_upsert_stars", """WITH f AS (SELECT gaia_source_id, CASE WHEN length(input_name) % 2 = 0 THEN NULL ELSE upper(input_name) END AS input_name, ra + 0.5::DOUBLE AS ra FROM stars WHERE gaia_source_id IS NOT NULL
+@query("m11_upsert_stars", """WITH f AS (SELECT gaia_source_id, CASE WHEN length(input_name) % 2 = 0 THEN NULL
+    ELSE upper(input_name) END AS input_name, ra + 0.5::DOUBLE AS ra FROM stars WHERE gaia_source_id IS NOT NULL
     UNION ALL SELECT 5000000000000000000 + bsc_hr_number, 'new', 1.5 FROM stars WHERE bsc_hr_number IS NOT NULL)
   SELECT s.gaia_source_id, coalesce(f.input_name, s.input_name) AS input_name, coalesce(f.ra, s.ra) AS ra FROM stars s LEFT JOIN f USING (gaia_source_id)
   UNION ALL SELECT gaia_source_id, input_name, ra FROM f WHERE gaia_source_id NOT IN (SELECT gaia_source_id FROM stars WHERE gaia_source_id IS NOT NULL)""")
@@ -316,7 +326,8 @@ def m11(spark, d):
 
 
 @query("m11_bright_stars", """SELECT bsc_hr_number, array_to_string(list_distinct_order, ';') AS aliases FROM (SELECT bsc_hr_number, list_append(
-    coalesce(list_filter(name_aliases, lambda x, i: list_position(name_aliases, x) = i OR (x IS NULL AND NOT list_contains(list_transform(name_aliases[:i-1], lambda y: y IS NULL), true))), []), 'HR ' || bsc_hr_number) AS list_distinct_order
+    coalesce(list_filter(name_aliases, lambda x, i: list_position(name_aliases, x) = i OR (x IS NULL
+      AND NOT list_contains(list_transform(name_aliases[:i-1], lambda y: y IS NULL), true))), []), 'HR ' || bsc_hr_number) AS list_distinct_order
   FROM stars WHERE bsc_hr_number IS NOT NULL)""")
 def m11b(spark, d):
     stars = s(spark, d)
@@ -324,9 +335,11 @@ def m11b(spark, d):
     return G.upsert_stars(stars, found, "bsc_hr_number").filter("bsc_hr_number IS NOT NULL").select("bsc_hr_number", F.array_join("name_aliases", ";").alias("aliases"))
 
 
-@query("m12_cone_fallback", f"""WITH c AS (SELECT star_id, CASE WHEN has_gaia_rvs THEN gaia_source_id END AS g, CASE WHEN has_xp_continuous THEN '*' ELSE 'G' END AS kind, ra, dec FROM stars),
+@query("m12_cone_fallback", f"""WITH c AS (SELECT star_id, CASE WHEN has_gaia_rvs THEN gaia_source_id END AS g, CASE WHEN has_xp_continuous THEN '*'
+    ELSE 'G' END AS kind, ra, dec FROM stars),
   p AS (SELECT gaia_source_id, ra, dec FROM stars WHERE gaia_source_id IS NOT NULL),
-  n AS (SELECT c.star_id, count(*) AS k, min(p.gaia_source_id) AS g FROM c JOIN p ON abs(c.dec - p.dec) < 0.01 AND {sep(vec('c.ra', 'c.dec'), vec('p.ra', 'p.dec'))} <= 10 WHERE c.g IS NULL AND c.kind = '*' GROUP BY 1)
+  n AS (SELECT c.star_id, count(*) AS k, min(p.gaia_source_id) AS g FROM c JOIN p ON abs(c.dec - p.dec) < 0.01
+    AND {sep(vec('c.ra', 'c.dec'), vec('p.ra', 'p.dec'))} <= 10 WHERE c.g IS NULL AND c.kind = '*' GROUP BY 1)
   SELECT c.star_id::VARCHAR AS name, CASE WHEN kind = '*' THEN coalesce(c.g, CASE WHEN k = 1 THEN n.g END) END AS gaia_source_id,
     CASE WHEN kind <> '*' THEN NULL WHEN c.g IS NOT NULL THEN 'identifier' WHEN k = 1 THEN 'place' END AS how FROM c LEFT JOIN n USING (star_id)""")
 def m12b(spark, d):
@@ -341,19 +354,23 @@ def m12b(spark, d):
     return G.resolve_names(known.select("name"), known, pool, 10.0)
 
 
-@query("m22_backfill_status", """SELECT id, CASE WHEN reduction_status = 'unknown' THEN CASE WHEN archive_code = 'nordlys' THEN 'reduced' WHEN lower(archive_url) LIKE '%.fits' THEN 'raw' WHEN lower(archive_url) LIKE '%.gz' THEN 'reduced' ELSE 'unknown' END ELSE reduction_status END AS reduction_status FROM spectroscopy_holdings""")
+@query("m22_backfill_status", """SELECT id, CASE WHEN reduction_status = 'unknown' THEN CASE WHEN archive_code = 'nordlys' THEN 'reduced'
+    WHEN lower(archive_url) LIKE '%.fits' THEN 'raw' WHEN lower(archive_url) LIKE '%.gz' THEN 'reduced' ELSE 'unknown' END
+    ELSE reduction_status END AS reduction_status FROM spectroscopy_holdings""")
 def m22(spark, d):
     return G.backfill_status(h(spark, d), {"nordlys": "reduced"}, {".fits": "raw", ".gz": "reduced"}).select("id", "reduction_status")
 
 
-@query("m23_backfill_photometry", """WITH v AS (SELECT gaia_source_id, min(phot_g_mean_mag + 0.5::FLOAT) AS bp FROM stars WHERE gaia_source_id IS NOT NULL GROUP BY 1)
+@query("m23_backfill_photometry", """WITH v AS (SELECT gaia_source_id, min(phot_g_mean_mag + 0.5::FLOAT) AS bp FROM stars
+    WHERE gaia_source_id IS NOT NULL GROUP BY 1)
   SELECT star_id, coalesce(phot_bp_mean_mag, v.bp) AS phot_bp_mean_mag FROM stars LEFT JOIN v USING (gaia_source_id)""")
 def m23(spark, d):
     values = s(spark, d).filter("gaia_source_id IS NOT NULL").select("gaia_source_id", (C("phot_g_mean_mag") + F.lit(0.5).cast("float")).cast("float").alias("phot_bp_mean_mag"))
     return G.backfill(s(spark, d), values, "gaia_source_id", ["phot_bp_mean_mag"]).select("star_id", "phot_bp_mean_mag")
 
 
-@query("m23_rewrite_urls", "SELECT id, CASE WHEN archive_code = 'nordlys' THEN regexp_replace(archive_url, '^https?://', 'https://mirror.') ELSE archive_url END AS archive_url FROM spectroscopy_holdings")
+@query("m23_rewrite_urls",
+       "SELECT id, CASE WHEN archive_code = 'nordlys' THEN regexp_replace(archive_url, '^https?://', 'https://mirror.') ELSE archive_url END AS archive_url FROM spectroscopy_holdings")
 def m23b(spark, d):
     return G.rewrite_urls(h(spark, d), "^https?://", "https://mirror.", C("archive_code") == "nordlys").select("id", "archive_url")
 
@@ -370,7 +387,8 @@ def m24(spark, d):
 
 
 # serving
-@query("q01_full", """WITH p AS (SELECT star_id FROM stars WHERE gaia_source_id = (SELECT min(gaia_source_id) FROM stars JOIN spectroscopy_holdings USING (star_id)))
+@query("q01_full", """WITH p AS (SELECT star_id FROM stars WHERE gaia_source_id = (SELECT min(gaia_source_id) FROM stars
+    JOIN spectroscopy_holdings USING (star_id)))
   SELECT id, display_name, instrument, obs_date, row_number() OVER (ORDER BY display_name, instrument NULLS FIRST, obs_date NULLS FIRST, id)::INT AS place
   FROM spectroscopy_holdings SEMI JOIN p USING (star_id) JOIN archives USING (archive_code) WHERE reduction_status = 'reduced'""")
 def q01(spark, d):
@@ -379,15 +397,20 @@ def q01(spark, d):
     return V.star_page(h(spark, d), a(spark, d), s(spark, d), str(first), reduction="reduced").select("id", "display_name", "instrument", "obs_date", "place")
 
 
-@query("q02_cone_with_holdings", """WITH c AS (SELECT star_id FROM stars WHERE dec BETWEEN 10.4 AND 50.4 AND degrees(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, sin(radians(dec))*sin(radians(30.4::DOUBLE)) + cos(radians(dec))*cos(radians(30.4::DOUBLE))*cos(radians(ra - 157.8::DOUBLE)))))) <= 20)
-  SELECT star_id, display_name, instrument, count(*) AS n FROM spectroscopy_holdings SEMI JOIN c USING (star_id) JOIN archives USING (archive_code) WHERE reduction_status = 'reduced' GROUP BY ALL""")
+@query("q02_cone_with_holdings", """WITH c AS (SELECT star_id FROM stars WHERE dec BETWEEN 10.4 AND 50.4
+    AND degrees(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, sin(radians(dec))*sin(radians(30.4::DOUBLE)) + cos(radians(dec))*cos(radians(30.4::DOUBLE))*cos(radians(ra - 157.8::DOUBLE)))))) <= 20)
+  SELECT star_id, display_name, instrument, count(*) AS n FROM spectroscopy_holdings SEMI JOIN c USING (star_id) JOIN archives USING (archive_code)
+    WHERE reduction_status = 'reduced' GROUP BY ALL""")
 def q02(spark, d):
     """All stars of a cone with what the archives have of them, for the filters of the page."""
     return V.cone_page(h(spark, d), a(spark, d), s(spark, d), 157.8, 30.4, 20.0, reduction="reduced")
 
 
-@query("q04_batch_rows", """WITH e AS (SELECT unnest(['HD 400684', 'GJ 5136', 'no such star']) AS entry), f AS (SELECT entry, min(star_id) AS star_id FROM e LEFT JOIN (SELECT star_id, unnest(list_append(coalesce(name_aliases, []), input_name)) AS n FROM stars) ON lower(n) = lower(entry) GROUP BY 1),
-  g AS (SELECT entry, f.star_id, CASE WHEN f.star_id IS NULL THEN 'not resolved' WHEN count(h.id) = 0 THEN 'not tracked' ELSE 'tracked' END AS status FROM f LEFT JOIN spectroscopy_holdings h ON h.star_id = f.star_id GROUP BY entry, f.star_id)
+@query("q04_batch_rows", """WITH e AS (SELECT unnest(['HD 400684', 'GJ 5136', 'no such star']) AS entry), f AS (SELECT entry, min(star_id) AS star_id
+    FROM e LEFT JOIN (SELECT star_id, unnest(list_append(coalesce(name_aliases, []), input_name)) AS n FROM stars) ON lower(n) = lower(entry)
+    GROUP BY 1),
+  g AS (SELECT entry, f.star_id, CASE WHEN f.star_id IS NULL THEN 'not resolved' WHEN count(h.id) = 0 THEN 'not tracked' ELSE 'tracked' END AS status
+    FROM f LEFT JOIN spectroscopy_holdings h ON h.star_id = f.star_id GROUP BY entry, f.star_id)
   SELECT entry, status, g.star_id, h.id, h.obs_date FROM g LEFT JOIN spectroscopy_holdings h ON h.star_id = g.star_id""")
 def q04(spark, d):
     """A row for each holding of each name, and one for a name without any."""
@@ -395,16 +418,20 @@ def q04(spark, d):
     return V.batch_rows(entries, s(spark, d), h(spark, d)).select("entry", "status", "star_id", "id", "obs_date")
 
 
-@query("q07_series_gaps", """WITH c AS (SELECT star_id, year(obs_date)::INT AS yr, CASE WHEN month(obs_date) <= 6 THEN 1 ELSE 2 END AS half, count(*) AS n FROM spectroscopy_holdings WHERE star_id IS NOT NULL AND obs_date IS NOT NULL GROUP BY ALL),
-  p AS (SELECT DISTINCT yr, half FROM c), t AS (SELECT star_id, yr, half, n FROM c QUALIFY row_number() OVER (PARTITION BY yr, half ORDER BY n DESC, star_id) <= 20), w AS (SELECT DISTINCT star_id FROM t)
-  SELECT star_id, string_agg(coalesce(t.n::VARCHAR, '-'), ',' ORDER BY yr, half) AS series FROM w CROSS JOIN p LEFT JOIN t USING (star_id, yr, half) GROUP BY 1""")
+@query("q07_series_gaps", """WITH c AS (SELECT star_id, year(obs_date)::INT AS yr, CASE WHEN month(obs_date) <= 6 THEN 1
+    ELSE 2 END AS half, count(*) AS n FROM spectroscopy_holdings WHERE star_id IS NOT NULL AND obs_date IS NOT NULL GROUP BY ALL),
+  p AS (SELECT DISTINCT yr, half FROM c), t AS (SELECT star_id, yr, half, n FROM c QUALIFY row_number() OVER (PARTITION BY yr, half
+    ORDER BY n DESC, star_id) <= 20), w AS (SELECT DISTINCT star_id FROM t)
+  SELECT star_id, string_agg(coalesce(t.n::VARCHAR, '-'), ',' ORDER BY yr, half) AS series FROM w CROSS JOIN p LEFT JOIN t USING (star_id, yr, half)
+    GROUP BY 1""")
 def q07(spark, d):
     """The leaders' counts by half-year, a gap where a star is not among the leaders."""
     counts = D.leaderboard_counts(h(spark, d))
     return V.series(D.top_period(counts), D.periods_of(counts), "star_id", "n").select("star_id", F.array_join(F.transform("series", lambda x: x.cast("string")), ",", "-").alias("series"))
 
 
-@query("q14_cone_summary", """WITH c AS (SELECT star_id, gaia_source_id, phot_g_mean_mag, 3600*degrees(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, sin(radians(dec))*sin(radians(30.4::DOUBLE)) + cos(radians(dec))*cos(radians(30.4::DOUBLE))*cos(radians(ra - 157.8::DOUBLE)))))) AS sep FROM stars WHERE dec BETWEEN 25.4 AND 35.4)
+@query("q14_cone_summary", """WITH c AS (SELECT star_id, gaia_source_id, phot_g_mean_mag, 3600*degrees(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, sin(radians(dec))*sin(radians(30.4::DOUBLE)) + cos(radians(dec))*cos(radians(30.4::DOUBLE))*cos(radians(ra - 157.8::DOUBLE)))))) AS sep
+    FROM stars WHERE dec BETWEEN 25.4 AND 35.4)
   SELECT count(*) AS n, min(phot_g_mean_mag) AS brightest, round(min(sep), 3) AS nearest FROM c WHERE sep <= 18000""")
 def q14(spark, d):
     return V.cone_summary(s(spark, d), 157.8, 30.4, 5.0).select("n", "brightest", F.round("nearest", 3).alias("nearest"))

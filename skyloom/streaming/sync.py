@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from skyloom.operators.derive import dated
 from skyloom.operators.match import match_records
-from skyloom.operators.merge import KEY, write_merged
+from skyloom.operators.merge import KEY, add_stars, discover_stars, write_merged
 from skyloom.sources.catalog import ARCHIVES, RAW_OBSERVATION
 from skyloom.sources.feed import Log, next_page, register, to_batch
-from skyloom.sources.tables import Snapshots, optional_current, publish
+from skyloom.sources.tables import Snapshots, current, optional_current, publish
 
 HOLDINGS = (
     "id bigint, star_id bigint, archive_code string, archive_obs_id string, archive_url string, instrument string, obs_date date, program_id string, "
@@ -117,6 +117,24 @@ def run_archives(state: SyncState, archives: list[str], fetch, sink, page_cap: i
     return failed
 
 
+def discovering_sink(spark: SparkSession, path: str, catalogue: str, pool: DataFrame):
+    """sink() for run_archives: what a page names of pool and the catalogue (a published table of stars) lacks is put into it
+    first, then the page is matched against the catalogue as it is now and upserted. Gives what each page discovered in
+    `sink.counters`. A page delivered twice discovers nothing new."""
+
+    def sink(archive: str, page: DataFrame) -> None:
+        stars = current(spark, catalogue, "stars")
+        found, counters = discover_stars(page, stars, pool)
+        sink.counters.append({"archive_code": archive, **counters.first().asDict()})
+        if sink.counters[-1]["new"]:
+            publish(add_stars(stars, found.drop("how")), catalogue, "stars")
+            stars = current(spark, catalogue, "stars")
+        write_merged(table(spark, path), to_holdings(page, stars), [F.col("updated_at")])
+
+    sink.counters = []
+    return sink
+
+
 def fetch_from(spark: SparkSession, path: str, paging: dict[str, str], size: int, mark: str = "mark", width: float = 7.0):
     """fetch() for run_archives over a recorded log."""
 

@@ -9,7 +9,7 @@ from skyloom.operators.merge import write_merged
 from skyloom.sources.catalog import ARCHIVES, PAGINGS
 from skyloom.sources.feed import FIELDS, Log, next_page, register, to_batch
 from skyloom.sources.tables import Snapshots, append_votes, count_accesses, current, optional, publish, read_votes, retry, summary_json, write_sorted
-from skyloom.streaming.sync import SyncState, drain, feed, one_vote_each, period_counts, run_archives, table, write_batch
+from skyloom.streaming.sync import SyncState, discovering_sink, drain, feed, fetch_from, one_vote_each, period_counts, run_archives, table, write_batch
 
 
 def log(tmp_path, marks, instruments=("I",)):
@@ -146,3 +146,19 @@ def test_access_log_counts_once(spark, tmp_path):
     assert key() == {"a": 1, "b": 1} == key()
     log.write_text(log.read_text() + "2024-01-01T00:00:02\ta\tx\n")
     assert key() == {"a": 2, "b": 1}
+
+
+def test_run_discovers_matches_and_records(spark, tmp_path):
+    path = log(tmp_path, range(5))
+    schema = "star_id bigint, source_catalog string, gaia_source_id bigint, ra double, dec double, ref_epoch double, pmra double, pmdec double, name_aliases array<string>"
+    star = lambda g: (g + 100, "gaia", g, 1.0 + g, 1.0, 2016.0, 0.0, 0.0, [f"HD {g}"])
+    pool = spark.createDataFrame([star(g) for g in (0, 1, 2, 9)], schema).drop("star_id", "source_catalog")
+    publish(spark.createDataFrame([star(1)], schema), str(tmp_path / "cat"), "stars")
+    sink = discovering_sink(spark, str(tmp_path / "held"), str(tmp_path / "cat"), pool)
+    state, fetch = SyncState(spark, str(tmp_path / "state")), fetch_from(spark, path, {"eso": "watermark"}, 3)
+    assert run_archives(state, ["eso"], fetch, sink) == []
+    assert [(c["direct"], c["known"], c["new"]) for c in sink.counters] == [(3, 1, 2), (2, 0, 2)]
+    stars = {r["gaia_source_id"]: r["star_id"] for r in current(spark, str(tmp_path / "cat"), "stars").collect()}
+    assert set(stars) == {0, 1, 2} and stars[1] == 101 and len(set(stars.values())) == 3
+    held = {r["archive_obs_id"]: (r["star_id"], r["match_status"]) for r in table(spark, str(tmp_path / "held")).read().collect()}
+    assert held == {f"o{i:03d}": (stars.get(i), "matched" if i in stars else "skipped") for i in range(5)}
