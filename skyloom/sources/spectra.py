@@ -8,6 +8,7 @@ flux are numbers, thinned to a number that can be drawn.
 from __future__ import annotations
 
 import re
+import urllib.parse
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -189,6 +190,15 @@ def parse(archive: str, raw: bytes, obs_id: str = "", url: str = "", instrument:
     return segments
 
 
+def header_cards(url: str, hosts: set[str], fetch, size: int, most_units: int = 20) -> list[tuple[str, dict]]:
+    """(extension, keywords) of a remote file's units, of which only headers are fetched: fetch(start, stop) gives bytes.
+    Addresses that are not http(s) on one of `hosts` are refused before anything is fetched."""
+    parts = urllib.parse.urlsplit(url or "")
+    if parts.scheme not in ("http", "https") or (parts.hostname or "").lower() not in hosts or parts.username is not None:
+        raise Unavailable("address not allowed")
+    return [(name, head) for name, head, *_ in fits.Ranges(fetch, size).units[:most_units]]
+
+
 def parse_ranges(archive: str, fetch, size: int, obs_id: str = "", url: str = "") -> list[dict]:
     """As parse(), of a file of any size that is fetched by ranges, for the layouts that hold many spectra: the headers, the
     table of targets and one row of each array are read, nothing else."""

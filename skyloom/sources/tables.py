@@ -199,6 +199,26 @@ def summary_json(parts: dict[str, DataFrame]) -> str:
     return json.dumps({n: [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"))).collect()] for n, df in parts.items()})
 
 
+class Cached:
+    """Small results kept for a while: get(key, make) gives what make() gave at most `seconds` ago. A DataFrame's rows are
+    collected, so only what is small belongs here; at most `most` keys are kept, the oldest go first."""
+
+    def __init__(self, seconds: float, most: int = 1000, clock: Callable[[], float] = time.monotonic):
+        self.seconds, self.most, self.clock, self.held = seconds, most, clock, {}
+
+    def get(self, key, make: Callable):
+        now = self.clock()
+        at, value = self.held.get(key, (None, None))
+        if at is None or now - at >= self.seconds:
+            value = make()
+            value = value.collect() if isinstance(value, DataFrame) else value
+            self.held.pop(key, None)
+            self.held[key] = (now, value)
+            while len(self.held) > self.most:
+                self.held.pop(next(iter(self.held)))
+        return value
+
+
 def retry(f: Callable, times: int = 5, first: float = 15.0, sleep: Callable[[float], None] = time.sleep):
     """f(), again after 15, 30, 60, ... seconds when it fails, `times` times in all."""
     for i in range(times):

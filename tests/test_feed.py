@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skyloom.operators.merge import write_merged
 from skyloom.sources.catalog import ARCHIVES, PAGINGS
 from skyloom.sources.feed import FIELDS, Log, next_page, register, to_batch
-from skyloom.sources.tables import Snapshots, append_votes, count_accesses, current, optional, publish, read_votes, retry, summary_json, write_sorted
+from skyloom.sources.tables import Cached, Snapshots, append_votes, count_accesses, current, optional, publish, read_votes, retry, summary_json, write_sorted
 from skyloom.streaming.sync import SyncState, discovering_sink, drain, feed, fetch_from, one_vote_each, period_counts, run_archives, table, write_batch
 
 
@@ -162,3 +162,17 @@ def test_run_discovers_matches_and_records(spark, tmp_path):
     assert set(stars) == {0, 1, 2} and stars[1] == 101 and len(set(stars.values())) == 3
     held = {r["archive_obs_id"]: (r["star_id"], r["match_status"]) for r in table(spark, str(tmp_path / "held")).read().collect()}
     assert held == {f"o{i:03d}": (stars.get(i), "matched" if i in stars else "skipped") for i in range(5)}
+
+
+def test_cached_results_expire(spark):
+    now, made = [0.0], []
+    cache = Cached(60, most=2, clock=lambda: now[0])
+    get = lambda key: cache.get(key, lambda: made.append(key) or spark.range(2))
+    assert [r["id"] for r in get("a")] == [0, 1] and get("a") and made == ["a"]
+    now[0] = 59.9
+    get("a"), get("b")
+    now[0] = 60.0
+    get("a")
+    assert made == ["a", "b", "a"]
+    get("c"), get("b")
+    assert made == ["a", "b", "a", "c", "b"] and len(cache.held) == 2

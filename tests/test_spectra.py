@@ -110,3 +110,17 @@ def test_written_files_are_read_and_ranges_fetch_one_row():
             big = raw + b"\0" * 0
             fetch = lambda a, b: fetched.append(b - a) or big[a:b]
             assert parse_ranges(archive, fetch, len(raw), "77", url) == whole
+
+
+def test_header_cards_are_read_by_ranges_from_known_hosts_only():
+    import pytest
+
+    from skyloom.sources.spectra import Unavailable, header_cards
+
+    raw, read = FILES["desi"], []
+    fetch = lambda a, b: read.append(b - a) or raw[a:b]
+    cards = header_cards("https://data.example/x.fits", {"data.example"}, fetch, len(raw))
+    assert [n for n, _ in cards][:3] == ["", "FIBERMAP", "B_WAVELENGTH"] and cards[1][1]["TFIELDS"] == 1
+    for bad in ("http://other.example/x", "file:///etc/passwd", "https://data.example@other.example/", "https://u@data.example/", "", None):
+        with pytest.raises(Unavailable):
+            header_cards(bad, {"data.example"}, lambda a, b: pytest.fail("fetched"), 1)
