@@ -149,6 +149,17 @@ def rings(pixels: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
+def ring_width(level: int) -> float:
+    """Arcseconds that a pixel and its ring reach at least beyond any point of the pixel: of the root of a pixel's area the
+    narrowest pixels have 0.69 from edge to edge."""
+    return 0.6 * math.sqrt(math.pi / 3) / (1 << level) * ARCSEC
+
+
+def ring_level(reach_arcsec: float) -> int:
+    """The deepest level whose rings reach so far, at most 18 and at least 0."""
+    return next((n for n in range(18, 0, -1) if ring_width(n) >= reach_arcsec), 0)
+
+
 def with_rings(df: DataFrame, pixel: str, out: str, level: int) -> DataFrame:
     """df with a row for each pixel of the ring about `pixel`, which must not be null, in column `out`."""
     names = df.columns

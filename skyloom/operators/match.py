@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,13 @@ def _cells(center: list[Column], reach: Column, size: Column) -> Column:
     return F.flatten(F.flatten(F.transform(x, lambda i: F.transform(y, lambda j: F.transform(z, lambda k: F.struct(i.alias("i"), j.alias("j"), k.alias("k")))))))
 
 
+def _reach(radius_arcsec: float, first_year: float, last_year: float) -> Column:
+    """How far, in arcsec, from its catalogue place a star may be within the radius of a target of those years."""
+    drift = F.sqrt(F.pow(F.coalesce("pmra", F.lit(0.0)), 2) + F.pow(F.coalesce("pmdec", F.lit(0.0)), 2)) / 1000
+    years = F.greatest(F.abs(F.lit(first_year) - F.col("ref_epoch")), F.abs(F.lit(last_year) - F.col("ref_epoch")))
+    return F.lit(radius_arcsec) + drift * F.coalesce(years, F.lit(0.0))
+
+
 def radial_pairs(targets: DataFrame, stars: DataFrame, most_arcsec: float, first_year: float, last_year: float) -> DataFrame:
     """targets joined to the stars within their own radius on their own date.
 
@@ -60,9 +69,7 @@ def radial_pairs(targets: DataFrame, stars: DataFrame, most_arcsec: float, first
     equi-join yields all candidates and the exact test decides. Stars that drift far use wider cells, by powers
     of 8; targets look into every width that occurs. No place on the sky is special, no pair comes twice."""
     arc = 1 / geo.ARCSEC
-    drift = F.sqrt(F.pow(F.coalesce("pmra", F.lit(0.0)), 2) + F.pow(F.coalesce("pmdec", F.lit(0.0)), 2)) / 1000
-    years = F.greatest(F.abs(F.lit(first_year) - F.col("ref_epoch")), F.abs(F.lit(last_year) - F.col("ref_epoch")))
-    reach = (F.lit(most_arcsec) + drift * years) * arc * 1.001 + 1e-12
+    reach = _reach(most_arcsec, first_year, last_year) * arc * 1.001 + 1e-12
     base = max(most_arcsec, 1.0) * arc * 4
     wide = F.greatest(F.lit(0), F.ceil(F.log(reach * 2.01 / base) / F.log(F.lit(8.0)))).cast("int")
     entered = stars.filter("ra IS NOT NULL AND dec IS NOT NULL").withColumns({"_reach": reach, "_w": wide})
@@ -181,14 +188,31 @@ def radius_simulation(targets: DataFrame, stars: DataFrame, radii: list[float],
     )
 
 
-def pixel_pairs(targets: DataFrame, pool: DataFrame, radius_arcsec: float, level: int = 7) -> DataFrame:
+def pixel_pairs(targets: DataFrame, pool: DataFrame, radius_arcsec: float, first_year: float, last_year: float) -> DataFrame:
     """targets (t_ra, t_dec, t_year and any others) with the catalogue sources within the radius on their date, by
-    nested pixels: every target looks into its pixel and the ring around it, which is far wider than any radius
-    used here. pool: source_id, ra, dec, ref_epoch, pmra, pmdec and others."""
-    looked = geo.with_rings(targets.withColumn("_own", geo.healpix(F.col("t_ra"), F.col("t_dec"), level)), "_own", "_pixel", level).drop("_own")
-    placed = pool.filter("ra IS NOT NULL AND dec IS NOT NULL").withColumn("_pixel", geo.healpix(F.col("ra"), F.col("dec"), level))
+    nested pixels. pool: source_id, ra, dec, ref_epoch, pmra, pmdec and others; t_year lies between the two years.
+
+    Each source is entered in its pixel and the ring around it, of a level whose pixels are wider than the radius and the
+    source's own drift over those years; every target looks into its own pixel at each level that occurs. Sources that
+    drift far use levels with pixels 8 times as wide, and 8 times again; beyond the widest, one pixel is the sky."""
+    deepest = geo.ring_level(2 * radius_arcsec)
+    levels = [*range(deepest, -1, -3), -1]
+    reach = _reach(radius_arcsec, first_year, last_year)
+    level = F.lit(-1)
+    for n in reversed(levels[:-1]):
+        level = F.when(reach <= geo.ring_width(n), n).otherwise(level)
+    entered = pool.filter("ra IS NOT NULL AND dec IS NOT NULL").filter(~F.isnan(reach)).withColumn("_level", level)
+    occur = [r[0] for r in entered.select("_level").distinct().orderBy("_level").collect()] or [deepest]  # at most as many as levels
+    ringed = [
+        geo.with_rings(entered.filter(F.col("_level") == n).withColumn("_own", geo.healpix(F.col("ra"), F.col("dec"), n)), "_own", "_pixel", n).drop("_own")
+        if n >= 0 else entered.filter(F.col("_level") == n).withColumn("_pixel", F.lit(0).cast("bigint"))
+        for n in occur
+    ]
+    finest = geo.healpix(F.col("t_ra"), F.col("t_dec"), deepest)
+    own = F.array(*[F.struct(F.lit(n).alias("_level"), (F.shiftright("_pixel", 2 * (deepest - n)) if n >= 0 else F.lit(0).cast("bigint")).alias("_pixel")) for n in occur])
+    looked = targets.withColumn("_pixel", finest).withColumn("_at", F.explode(own)).drop("_pixel").select("*", "_at._level", "_at._pixel").drop("_at")
     star = geo.moved_vector(F.col("ra"), F.col("dec"), F.col("pmra"), F.col("pmdec"), F.col("t_year") - F.col("ref_epoch"))
-    pairs = spread_join(looked, placed, ["_pixel"]).drop("_pixel")
+    pairs = spread_join(looked, reduce(DataFrame.unionByName, ringed), ["_level", "_pixel"]).drop("_level", "_pixel")
     return pairs.withColumn("sep_arcsec", geo.vector_separation(geo.unit_vector(F.col("t_ra"), F.col("t_dec")), star)).filter(F.col("sep_arcsec") <= radius_arcsec)
 
 
@@ -208,7 +232,7 @@ def fallback_match(targets: DataFrame, stars: DataFrame, pool: DataFrame, first_
     source not yet in the catalogue, theta_arcsec and the reason. Tracked stars and the pool's sources compete."""
     cols = ["t_id", "archive_code", "star_id", "gaia_source_id", "source_catalog", F.col("sep_arcsec").alias("separation_arcsec"), "phot_g_mean_mag"]
     near = radial_pairs(targets.withColumn("t_radius", F.lit(radius_arcsec)), stars, radius_arcsec, first_year, last_year).select(*cols)
-    live = pixel_pairs(targets, pool, radius_arcsec).withColumns({"star_id": F.lit(None).cast("bigint"), "source_catalog": F.lit("gaia_untracked")})
+    live = pixel_pairs(targets, pool, radius_arcsec, first_year, last_year).withColumns({"star_id": F.lit(None).cast("bigint"), "source_catalog": F.lit("gaia_untracked")})
     live = live.withColumnRenamed("source_id", "gaia_source_id").select(*cols)
     best = pick_best(merge_candidates(near, live, ["t_id"]), ["t_id"])
     return best.select("t_id", F.col("winner.star_id").alias("star_id"), F.col("winner.gaia_source_id").alias("gaia_source_id"), F.col("winner.sep").alias("theta_arcsec"), "reason")

@@ -160,6 +160,7 @@ def seed_bright_stars(spark: SparkSession, path: str, fields: dict[str, tuple[in
 def register_winners(stars: DataFrame, guesses: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(stars, guesses) of fallback_match: sources of pool that won without being in the catalogue yet are in it afterwards, once
     each, and the guesses have their star_id."""
+    guesses = cut(guesses)  # read twice below, and a filter on its columns would be pushed into all that picked them
     won = guesses.filter("star_id IS NULL AND gaia_source_id IS NOT NULL").select("gaia_source_id").distinct()
     found = pool.withColumnRenamed("source_id", "gaia_source_id").join(won, "gaia_source_id", "left_semi").withColumn("name_aliases", F.array().cast("array<string>"))
     grown = cut(add_stars(stars, found))

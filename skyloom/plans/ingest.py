@@ -196,7 +196,7 @@ def m08b(spark, d):
 @query("j17_pixel_join", f"WITH {TARGETS.format(w='needs_review')}, {NEAR} SELECT id, star_id, round(sep, 3) AS sep_arcsec FROM n WHERE sep <= 120")
 def j17(spark, d):
     t = targets(spark, d, "match_status = 'needs_review'", 120.0)
-    return M.pixel_pairs(t, s(spark, d).select(*M.MOTION), 120.0).select(F.col("t_id").alias("id"), "star_id", F.round("sep_arcsec", 3).alias("sep_arcsec"))
+    return M.pixel_pairs(t, s(spark, d).select(*M.MOTION), 120.0, *SPAN).select(F.col("t_id").alias("id"), "star_id", F.round("sep_arcsec", 3).alias("sep_arcsec"))
 
 
 @query("x07_packed_position", """SELECT star_id, round(15*(floor(ra/15) + floor((ra*4)%60)/60 + floor((ra*240)%60)/3600), 6) AS ra, round(CASE
