@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from skyloom.operators.match import fallback_match
 from skyloom.operators.merge import register_winners
 
 STARS = "star_id bigint, gaia_source_id bigint, source_catalog string, ra double, dec double, ref_epoch double, pmra double, pmdec double, phot_g_mean_mag double, name_aliases array<string>"
@@ -18,3 +19,13 @@ def test_winners_are_picked_once(spark):
     ids = {r["gaia_source_id"]: r["star_id"] for r in grown.collect()}
     assert set(ids) == {70, 71} and ids[70] == 5
     assert {r["t_id"]: r["star_id"] for r in filled.collect()} == {1: 5, 2: ids[71], 3: ids[71], 4: None}
+
+
+def test_fast_sources_compete(spark):
+    """A source that drifts out of the half degree about its place between its epoch and the record's date is a candidate."""
+    years = 2016.0 - 1850.0
+    pool = spark.createDataFrame([(71, 100.0, 0.0, 2016.0, 0.0, 30_000.0, 9.0)], "source_id bigint, ra double, dec double, ref_epoch double, pmra double, pmdec double, phot_g_mean_mag double")
+    target = spark.createDataFrame([(1, "unit", 100.0, -30.0 * years / 3600, 1850.0)], "t_id bigint, archive_code string, t_ra double, t_dec double, t_year double")
+    tracked = spark.createDataFrame([], STARS).drop("name_aliases")
+    got = fallback_match(target, tracked, pool, 1850.0, 2050.0).collect()
+    assert [(r["t_id"], r["gaia_source_id"], r["reason"]) for r in got] == [(1, 71, "only one")]
