@@ -42,11 +42,11 @@ def folder(spark: SparkSession, what: str) -> str:
 # sources and sinks
 @query("s01_jdbc", "SELECT star_id, gaia_source_id, bsc_hr_number, ra, dec, input_name FROM stars")
 def s01(spark, d):
-    """The stars in a database and back, in parts by ranges of their key. Derby, which comes with Spark, stands in for the
-    server, and lives in the driver, so this query needs a session on one machine."""
-    url = f"jdbc:derby:memory:x{uuid.uuid4().hex};create=true"
-    s(spark, d).select("star_id", "gaia_source_id", "bsc_hr_number", "ra", "dec", "input_name").write.jdbc(url, "stars")
-    return tables.read_jdbc(spark, url, "stars", "star_id", 4).toDF("star_id", "gaia_source_id", "bsc_hr_number", "ra", "dec", "input_name")
+    """The stars in a database and back, in parts by ranges of their key. Derby, which comes with Spark, stands in for a
+    server: its database is one file in the shared folder, which every executor opens."""
+    columns = ["star_id", "gaia_source_id", "bsc_hr_number", "ra", "dec", "input_name"]
+    url = tables.derby_archive(s(spark, d).select(*columns), folder(spark, "database"), "stars")
+    return tables.read_jdbc(spark, url, "stars", "star_id", 4).toDF(*columns)
 
 
 @query("s02_views", "SELECT archive_code, display_name, count(*) AS n FROM spectroscopy_holdings JOIN archives USING (archive_code) GROUP BY ALL")

@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
+import shutil
+import tempfile
 import time
+import uuid
+import zipfile
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -129,14 +134,51 @@ def read_documents(spark: SparkSession, path: str, schema: str | None = None) ->
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, partitions: int = 8, **options: str) -> DataFrame:
     """A table of a database. With a numeric key the table is read in as many parts by ranges of it, whose limits are its
     least and greatest value, so no part of the table is left out and the parts are read side by side."""
-    reader = spark.read.format("jdbc").option("url", url).options(**options)
+    reader = lambda: spark.read.format("jdbc").option("url", url).options(**options)
     if key is None:
-        return reader.option("dbtable", table).load()
-    low, high = reader.option("query", f'SELECT min("{key}") AS "low", max("{key}") AS "high" FROM {table}').load().first()
+        return reader().option("dbtable", table).load()
+    low, high = reader().option("query", f'SELECT min("{key}") AS "low", max("{key}") AS "high" FROM {table}').load().first()
     if low is None:
-        return reader.option("dbtable", table).load()
+        return reader().option("dbtable", table).load()
     limits = {"partitionColumn": key, "lowerBound": str(low), "upperBound": str(int(high) + 1), "numPartitions": str(partitions)}
-    return spark.read.format("jdbc").option("url", url).options(**options).option("dbtable", table).options(**limits).load()
+    return reader().option("dbtable", table).options(**limits).load()
+
+
+def derby_archive(df: DataFrame, folder: str, table: str) -> str:
+    """Puts df in a Derby database and the database in one file in `folder`, which all executors share; gives its JDBC URL.
+
+    Derby without a server belongs to one process, but any number of them may open such a file, as it can only be read. The
+    executors write the rows as text, and the driver has Derby load each part, so no rows pass through the driver's memory
+    but Derby's pages. `folder` must be a mounted one. Derby knows no NaN; the rows must hold none."""
+    spark, at = df.sparkSession, folder.removeprefix("file://").removeprefix("file:")
+    os.makedirs(at, exist_ok=True)
+    text, own = f"{at}/{table}-text", tempfile.mkdtemp(prefix="derby-")
+    quoted = [F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"')) if t == "string" else F.col(c).cast("string") for c, t in df.dtypes]
+    df.select(F.concat_ws(",", *[F.coalesce(x, F.lit("")) for x in quoted])).write.text(f"file://{os.path.abspath(text)}")  # nothing at all is null
+    url = f"jdbc:derby:directory:{own}/db"
+    spark.createDataFrame([], df.schema).limit(0).write.jdbc(f"{url};create=true", table)  # Spark's own types, and no task
+    sql = spark._jvm.java.sql
+    con = sql.DriverManager.getConnection(url)
+    call = con.prepareCall("CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, ?, ?, ',', '\"', 'UTF-8', 0)")
+    for part in sorted(x for x in os.listdir(text) if x.endswith(".txt") and os.path.getsize(f"{text}/{x}")):
+        call.setString(1, table.upper())
+        call.setString(2, f"{text}/{part}")
+        call.execute()
+    con.close()
+    try:
+        sql.DriverManager.getConnection(f"{url};shutdown=true")
+    except Exception as e:  # noqa: BLE001
+        if "08006" not in str(e.java_exception.getSQLState()):  # which says that it was shut down
+            raise
+    shutil.rmtree(text)
+    file = f"{at}/{table}-{uuid.uuid4().hex}.jar"
+    with zipfile.ZipFile(file, "w", zipfile.ZIP_STORED) as z:  # uncompressed, so that pages are found without reading all before
+        for top, _, names in os.walk(f"{own}/db"):
+            for n in names:
+                if not n.endswith(".lck"):
+                    z.write(f"{top}/{n}", os.path.relpath(f"{top}/{n}", own))
+    shutil.rmtree(own)
+    return f"jdbc:derby:jar:({file})db"
 
 
 def valid_votes(votes: DataFrame, outcomes: list[str]) -> DataFrame:
