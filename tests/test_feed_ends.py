@@ -7,9 +7,11 @@ import random
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql.datasource import DataSourceStreamReader
 
 from skyloom.sources.catalog import PAGINGS
-from skyloom.sources.feed import Ends, FeedStream, Log, next_page
+from skyloom.sources.feed import ArchiveFeed, Ends, FeedStream, Log, next_page
+from skyloom.streaming.sync import feed, period_counts
 
 BASE = datetime.date(2020, 1, 1)
 
@@ -72,3 +74,20 @@ def test_a_page_of_ties_is_cut_by_id(tmp_path):
         sizes.append(end["id"])
         cursor = end
     assert sizes == ["0099", "0199", "0299", "0299"]
+
+
+def test_half_years_are_counted_from_tasks(spark, tmp_path):
+    """A page as large as the log, counted by a stream: the driver plans it, and no row is read there."""
+    path = str(tmp_path / "log.parquet")
+    t = written(path)
+    stream = ArchiveFeed({"path": path, "archive": "a,b,c", "mark": "id", "page_size": "1000", "paging": "id"}).streamReader(None)
+    assert isinstance(stream, DataSourceStreamReader) and len(stream.partitions(stream.initialOffset(), stream.latestOffset())) == 7
+    counts = period_counts(feed(spark, path, "a,b,c", paging="id", mark="id", page_size="150"))
+    q = counts.writeStream.outputMode("complete").format("memory").queryName("halves_by_tasks").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    want = {}
+    for day in t["obs_date"].to_pylist():
+        if day is not None:
+            want[day.year, 1 + (day.month > 6)] = want.get((day.year, 1 + (day.month > 6)), 0) + 1
+    assert {(r["yr"], r["half"]): r["n"] for r in spark.table("halves_by_tasks").collect()} == want
