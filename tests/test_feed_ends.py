@@ -91,3 +91,18 @@ def test_half_years_are_counted_from_tasks(spark, tmp_path):
         if day is not None:
             want[day.year, 1 + (day.month > 6)] = want.get((day.year, 1 + (day.month > 6)), 0) + 1
     assert {(r["yr"], r["half"]): r["n"] for r in spark.table("halves_by_tasks").collect()} == want
+
+
+def test_pages_of_ties_are_read_by_row_groups(tmp_path):
+    """Pages that end within a date, for rows with and without an instrument: each comes once, in a task of its row group."""
+    path, n = str(tmp_path / "log.parquet"), 240
+    rows = {"archive_code": ["a"] * n, "archive_obs_id": [f"{(i * 7) % n:04d}" for i in range(n)], "obs_date": [BASE] * n, "instrument": pa.array([["I", None, "J"][i % 3] for i in range(n)], pa.string())}
+    pq.write_table(pa.table(rows), path, row_group_size=40)
+    for paging in ("watermark", "watermark with ids", "per instrument"):
+        stream, start, seen = ArchiveFeed({"path": path, "archive": "a", "mark": "obs_date", "page_size": "30", "paging": paging}).streamReader(None), {"a": "{}"}, []
+        while (end := stream.latestOffset()) != start:
+            own = [[x for b in stream.read(p) for x in b.column("archive_obs_id").to_pylist()] for p in stream.partitions(start, end)]
+            assert len(own) == 6 and max(map(len, own)) <= 40 and sum(map(len, own)) == (90 if paging == "per instrument" else 30) or seen
+            seen += sum(own, [])
+            start = end
+        assert sorted(seen) == sorted(rows["archive_obs_id"])
