@@ -106,3 +106,14 @@ def test_pages_of_ties_are_read_by_row_groups(tmp_path):
             seen += sum(own, [])
             start = end
         assert sorted(seen) == sorted(rows["archive_obs_id"])
+
+
+def test_the_driver_holds_two_pages_of_marks(tmp_path, monkeypatch):
+    path = str(tmp_path / "log.parquet")
+    n = 200_000
+    pq.write_table(pa.table({"archive_code": ["a"] * n, "archive_obs_id": [str(i) for i in range(n)], "id": list(range(n))[::-1]}), path, row_group_size=10_000)
+    held, least = [], Ends._least
+    monkeypatch.setattr(Ends, "_least", staticmethod(lambda values, k: held.append(sum(map(len, values))) or least(values, k)))
+    stream = ArchiveFeed({"path": path, "archive": "a", "mark": "id", "page_size": "5000", "paging": "id"}).streamReader(None)
+    assert json.loads(stream.latestOffset()["a"]) == {"mark": 4999, "id": "195000"}
+    assert max(held) <= 2 * 5000 + 10_000
