@@ -52,6 +52,23 @@ def vector_separation(u: list[Column], v: list[Column]) -> Column:
     return 2 * F.asin(clamp(chord / 2, 0.0, 1.0)) * ARCSEC
 
 
+def motion(ra: Column, dec: Column, pmra: Column, pmdec: Column) -> list[Column]:
+    """A star's unit vector, its motion in a year and the square of that, as columns that moved_separation reads."""
+    a, d = F.radians(ra), F.radians(dec)
+    east, north = F.coalesce(pmra, F.lit(0.0)) * MAS, F.coalesce(pmdec, F.lit(0.0)) * MAS
+    by = [-F.sin(a) * east - F.sin(d) * F.cos(a) * north, F.cos(a) * east - F.sin(d) * F.sin(a) * north, F.cos(d) * north]
+    return [*unit_vector(ra, dec), *by, east * east + north * north]
+
+
+def moved_separation(u: list[Column], star: list[Column], years: Column) -> Column:
+    """vector_separation of u and the moved_vector of motion()'s columns; nothing in it is named so often that what tests each
+    pair of a join outgrows the size that Java still compiles."""
+    t = F.coalesce(years, F.lit(0.0))
+    length = F.sqrt(1 + star[6] * t * t)
+    x, y, z = (a - (b + by * t) / length for a, b, by in zip(u, star[:3], star[3:6]))
+    return 2 * F.asin(F.least(F.hypot(F.hypot(x, y), z) / 2, F.lit(1.0))) * ARCSEC
+
+
 def separation(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
     return vector_separation(unit_vector(ra1, dec1), unit_vector(ra2, dec2))
 

@@ -59,6 +59,23 @@ def _reach(radius_arcsec: float, first_year: float, last_year: float) -> Column:
     return F.lit(radius_arcsec) + drift * F.coalesce(years, F.lit(0.0))
 
 
+POINTED, MOVING = ["_ux", "_uy", "_uz"], ["_sx", "_sy", "_sz", "_mx", "_my", "_mz", "_mm"]
+
+
+def _pointed(targets: DataFrame) -> DataFrame:
+    return targets.withColumns(dict(zip(POINTED, geo.unit_vector(F.col("t_ra"), F.col("t_dec")))))
+
+
+def _moving(stars: DataFrame) -> DataFrame:
+    return stars.withColumns(dict(zip(MOVING, geo.motion(*(F.col(c) for c in ("ra", "dec", "pmra", "pmdec"))))))
+
+
+def _within(pairs: DataFrame, radius: Column) -> DataFrame:
+    """The pairs of _pointed targets and _moving stars within radius, with sep_arcsec: all sines are taken before the join."""
+    sep = geo.moved_separation([F.col(c) for c in POINTED], [F.col(c) for c in MOVING], F.col("t_year") - F.col("ref_epoch"))
+    return pairs.withColumn("sep_arcsec", sep).filter(F.col("sep_arcsec") <= radius).drop(*POINTED, *MOVING)
+
+
 def radial_pairs(targets: DataFrame, stars: DataFrame, most_arcsec: float, first_year: float, last_year: float) -> DataFrame:
     """targets joined to the stars within their own radius on their own date.
 
@@ -75,14 +92,13 @@ def radial_pairs(targets: DataFrame, stars: DataFrame, most_arcsec: float, first
     entered = stars.filter("ra IS NOT NULL AND dec IS NOT NULL").withColumns({"_reach": reach, "_w": wide})
     widths = [r[0] for r in entered.select("_w").distinct().orderBy("_w").collect()] or [0]  # a log of the sky's size, so few
     size = lambda w: F.lit(base) * F.pow(F.lit(8.0), w)
-    catalogue = entered.withColumn("_c", F.explode(_cells(geo.unit_vector(F.col("ra"), F.col("dec")), F.col("_reach"), size(F.col("_w"))))).drop("_reach")
-    u = geo.unit_vector(F.col("t_ra"), F.col("t_dec"))
-    looked = targets.withColumn("_w", F.explode(F.array(*[F.lit(w) for w in widths]))).withColumn(
+    catalogue = _moving(entered).withColumn("_c", F.explode(_cells(geo.unit_vector(F.col("ra"), F.col("dec")), F.col("_reach"), size(F.col("_w"))))).drop("_reach")
+    u = [F.col(c) for c in POINTED]
+    looked = _pointed(targets).withColumn("_w", F.explode(F.array(*[F.lit(w) for w in widths]))).withColumn(
         "_c", F.struct(*[F.floor(v / size(F.col("_w"))).alias(n) for v, n in zip(u, "ijk")])
     )
-    star = geo.moved_vector(F.col("ra"), F.col("dec"), F.col("pmra"), F.col("pmdec"), F.col("t_year") - F.col("ref_epoch"))
     pairs = spread_join(looked, catalogue, ["_w", "_c"]).drop("_w", "_c")
-    return pairs.withColumn("sep_arcsec", geo.vector_separation(u, star)).filter(F.col("sep_arcsec") <= F.col("t_radius"))
+    return _within(pairs, F.col("t_radius"))
 
 
 def alias_table(stars: DataFrame) -> DataFrame:
@@ -202,6 +218,7 @@ def pixel_pairs(targets: DataFrame, pool: DataFrame, radius_arcsec: float, first
     for n in reversed(levels[:-1]):
         level = F.when(reach <= geo.ring_width(n), n).otherwise(level)
     entered = pool.filter("ra IS NOT NULL AND dec IS NOT NULL").filter(~F.isnan(reach)).withColumn("_level", level)
+    entered = _moving(entered)
     occur = [r[0] for r in entered.select("_level").distinct().orderBy("_level").collect()] or [deepest]  # at most as many as levels
     ringed = [
         geo.with_rings(entered.filter(F.col("_level") == n).withColumn("_own", geo.healpix(F.col("ra"), F.col("dec"), n)), "_own", "_pixel", n).drop("_own")
@@ -210,10 +227,9 @@ def pixel_pairs(targets: DataFrame, pool: DataFrame, radius_arcsec: float, first
     ]
     finest = geo.healpix(F.col("t_ra"), F.col("t_dec"), deepest)
     own = F.array(*[F.struct(F.lit(n).alias("_level"), (F.shiftright("_pixel", 2 * (deepest - n)) if n >= 0 else F.lit(0).cast("bigint")).alias("_pixel")) for n in occur])
-    looked = targets.withColumn("_pixel", finest).withColumn("_at", F.explode(own)).drop("_pixel").select("*", "_at._level", "_at._pixel").drop("_at")
-    star = geo.moved_vector(F.col("ra"), F.col("dec"), F.col("pmra"), F.col("pmdec"), F.col("t_year") - F.col("ref_epoch"))
+    looked = _pointed(targets).withColumn("_pixel", finest).withColumn("_at", F.explode(own)).drop("_pixel").select("*", "_at._level", "_at._pixel").drop("_at")
     pairs = spread_join(looked, reduce(DataFrame.unionByName, ringed), ["_level", "_pixel"]).drop("_level", "_pixel")
-    return pairs.withColumn("sep_arcsec", geo.vector_separation(geo.unit_vector(F.col("t_ra"), F.col("t_dec")), star)).filter(F.col("sep_arcsec") <= radius_arcsec)
+    return _within(pairs, F.lit(radius_arcsec))
 
 
 def brightest_match(targets: DataFrame, pool: DataFrame, first_year: float, last_year: float, radius_arcsec: float = 15.0, net_arcsec: float = 300.0, most_fainter: float = 3.0) -> DataFrame:

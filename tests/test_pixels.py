@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom.functions import geo
-from skyloom.operators.match import pixel_pairs
+from skyloom.operators.match import pixel_pairs, radial_pairs
 
 T = "t_id bigint, t_ra double, t_dec double, t_year double"
 POOL = "source_id bigint, ra double, dec double, ref_epoch double, pmra double, pmdec double"
@@ -60,3 +60,15 @@ def test_rings_reach_their_width(spark, level):
     of, near = geo.rings(got.p.to_numpy(), level)
     ringed = set(zip(of.tolist(), near.tolist()))
     assert all((i, q) in ringed for i, q in enumerate(got.q.tolist()))
+
+
+def test_a_pair_needs_no_sine(spark):
+    """What tests each candidate stays small enough for Java to compile it, and gives the angle of the moved vectors."""
+    targets, pool = spark.createDataFrame([(1, 10.0, 10.0, 1900.0), (2, 10.0, 10.0, None)], T), spark.createDataFrame([(5, 10.0, 10.001, 2016.0, 300.0, -40.0), (6, 10.0, 10.001, None, None, None)], POOL)
+    for pairs in (pixel_pairs(targets, pool, 120.0, 1850.0, 2050.0), radial_pairs(targets.withColumn("t_radius", F.lit(120.0)), pool, 120.0, 1850.0, 2050.0)):
+        tests = [x for x in pairs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+        assert tests and all("COS(" not in x and x.count("SQRT(") <= 3 for x in tests)
+        star = geo.moved_vector(F.col("ra"), F.col("dec"), F.col("pmra"), F.col("pmdec"), F.col("t_year") - F.col("ref_epoch"))
+        want = geo.vector_separation(geo.unit_vector(F.col("t_ra"), F.col("t_dec")), star)
+        got = pairs.select("sep_arcsec", want.alias("want")).collect()
+        assert len(got) == 4 and all(abs(r["sep_arcsec"] - r["want"]) < 1e-9 for r in got)
