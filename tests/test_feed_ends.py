@@ -117,3 +117,18 @@ def test_the_driver_holds_two_pages_of_marks(tmp_path, monkeypatch):
     stream = ArchiveFeed({"path": path, "archive": "a", "mark": "id", "page_size": "5000", "paging": "id"}).streamReader(None)
     assert json.loads(stream.latestOffset()["a"]) == {"mark": 4999, "id": "195000"}
     assert max(held) <= 2 * 5000 + 10_000
+
+
+@pytest.mark.parametrize("kind", ["int64", "date32[day]", "timestamp[us]", "double"])
+def test_the_driver_holds_no_page_of_marks(tmp_path, monkeypatch, kind):
+    path, n, back = str(tmp_path / "log.parquet"), 50_000, 0 if kind == "timestamp[us]" else 20_000
+    x = pa.array([(i * 7919) % n - back for i in range(n)], pa.int32())
+    marks = x.cast(pa.date32()) if kind[:4] == "date" else x.cast(pa.int64()).cast({"int64": pa.int64(), "timestamp[us]": pa.timestamp("us"), "double": pa.float64()}[kind])
+    pq.write_table(pa.table({"archive_code": ["a"] * n, "archive_obs_id": [f"{i:05d}" for i in range(n)], "at": marks}), path, row_group_size=5_000)
+    held, least = [], Ends._least
+    monkeypatch.setattr(Ends, "_least", staticmethod(lambda values, k: held.append(sum(map(len, values))) or least(values, k)))
+    cursor = {}
+    for end in (9_999, 29_999, 49_999, 49_999):
+        cursor = Ends(Log(path, "", "at"), {"a": ("watermark", cursor, 20_000 if cursor else 10_000)}, 7.0).cursors()["a"]
+        assert cursor["mark"] == end - back
+    assert max(held) == 1
