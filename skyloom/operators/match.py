@@ -243,12 +243,41 @@ def brightest_match(targets: DataFrame, pool: DataFrame, first_year: float, last
     return best.filter(F.coalesce(F.col("b.phot_g_mean_mag") <= F.col("t_mag") + most_fainter, F.lit(True))).select("t_id", "b.star_id", "b.sep_arcsec")
 
 
+def _rivals(stars: DataFrame, pool: DataFrame, first_year: float, last_year: float, radius_arcsec: float) -> DataFrame:
+    """The tracked stars (_rank 0) and the pool's sources (_rank 1) that can decide a fallback match, cut, as MOTION, gaia_source_id,
+    source_catalog and phot_g_mean_mag. _free says that no target can have another candidate of the same id.
+
+    Sources that share place, epoch and motion are equally far from any target. Of those with one id the tracked one stays; of
+    the free ones with any ids the two brightest and the first of the bright catalogue, which alone decide in pick_best."""
+    cols = [*MOTION, "gaia_source_id", "source_catalog", "phot_g_mean_mag"]
+    live = pool.withColumnRenamed("source_id", "gaia_source_id").withColumns({"star_id": F.lit(None).cast("bigint"), "source_catalog": F.lit("gaia_untracked")})
+    both = stars.select(*cols, F.lit(0).alias("_rank")).unionByName(live.select(*cols, F.lit(1).alias("_rank")))
+    both = both.filter("ra IS NOT NULL AND dec IS NOT NULL").filter(_reach(radius_arcsec, first_year, last_year) < float("inf"))  # nor NaN
+    place = MOTION[1:]
+    alike = Window.partitionBy("gaia_source_id", *place).orderBy("_rank", "star_id", "phot_g_mean_mag")
+    known = both.filter("gaia_source_id IS NOT NULL").repartition("gaia_source_id").withColumn("_rn", F.row_number().over(alike)).filter("_rn = 1").drop("_rn")
+    known = known.withColumn("_free", F.count(F.lit(1)).over(Window.partitionBy("gaia_source_id")) == 1)
+    both = known.unionByName(both.filter("gaia_source_id IS NULL").withColumn("_free", F.col("_rank") == 0))
+    here = Window.partitionBy("_free", *place)
+    bright = F.coalesce(F.col("source_catalog") == "bsc5", F.lit(False))
+    ranked = both.withColumns({
+        "_by_mag": F.row_number().over(here.orderBy(F.asc_nulls_last("phot_g_mean_mag"), "star_id", "gaia_source_id")),
+        "_by_catalog": F.row_number().over(here.orderBy(F.desc(bright), "phot_g_mean_mag", "star_id", "gaia_source_id")),
+    })
+    return cut(ranked.filter("NOT _free OR _by_mag <= 2 OR _by_catalog = 1").drop("_by_mag", "_by_catalog"))
+
+
 def fallback_match(targets: DataFrame, stars: DataFrame, pool: DataFrame, first_year: float, last_year: float, radius_arcsec: float = 60.0) -> DataFrame:
     """A guess for records that nothing else matched, always for review: t_id, star_id or the gaia_source_id of a
     source not yet in the catalogue, theta_arcsec and the reason. Tracked stars and the pool's sources compete."""
     cols = ["t_id", "archive_code", "star_id", "gaia_source_id", "source_catalog", F.col("sep_arcsec").alias("separation_arcsec"), "phot_g_mean_mag"]
-    near = radial_pairs(targets.withColumn("t_radius", F.lit(radius_arcsec)), stars, radius_arcsec, first_year, last_year).select(*cols)
-    live = pixel_pairs(targets, pool, radius_arcsec, first_year, last_year).withColumns({"star_id": F.lit(None).cast("bigint"), "source_catalog": F.lit("gaia_untracked")})
-    live = live.withColumnRenamed("source_id", "gaia_source_id").select(*cols)
-    best = pick_best(merge_candidates(near, live, ["t_id"]), ["t_id"])
+    rivals = _rivals(stars, pool, first_year, last_year, radius_arcsec)
+    looked = targets.withColumn("t_radius", F.lit(radius_arcsec))
+    near = radial_pairs(looked, rivals.filter("_free").drop("_free", "_rank"), radius_arcsec, first_year, last_year).select(*cols)
+    if not rivals.filter("NOT _free").isEmpty():
+        # tracked stars without id outdo sources without id, and are candidates already
+        shared = radial_pairs(looked, rivals.filter("NOT _free OR gaia_source_id IS NULL"), radius_arcsec, first_year, last_year)
+        tracked, live = (shared.filter(F.col("_rank") == n).select(*cols, "_free") for n in (0, 1))
+        near = near.unionByName(merge_candidates(tracked, live, ["t_id"]).filter("NOT _free").drop("_free"))
+    best = pick_best(near, ["t_id"])
     return best.select("t_id", F.col("winner.star_id").alias("star_id"), F.col("winner.gaia_source_id").alias("gaia_source_id"), F.col("winner.sep").alias("theta_arcsec"), "reason")
